@@ -24,6 +24,7 @@ WORD_REPAIRS = [
 REPLACEMENT_CHARS = r"[\uFFFD\uFFFE\uFFFF]"
 CONTROL_CHARS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 FOREIGN_CHARS = r"[^\x09\x0A\x0D\x20-\x7E\u00A0-\u024F\u2000-\u206F\u20A0-\u20CF]"
+WRAPPED = r"""(?U)\A[\s\x1C-\x1F]*(?:"([^"]*)"|'([^']*)')[\s\x1C-\x1F]*\z"""
 EDGE_SPACE = r"(?U)\A[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z"
 # Letters without a decomposition, and their Latin spelling.
 SPELLED = {
@@ -101,13 +102,7 @@ def drop_foreign_chars(c: Column) -> Column:
 
 def unwrap_quotes(c: Column) -> Column:
     """Take off one pair of equal quotes around the text unless it is also inside."""
-    t = strip(c)
-    quote, inner = F.substring(t, 1, 1), F.substr(t, F.lit(2), F.length(t) - 2)
-    wrapped = (
-        (F.length(t) >= 2) & quote.isin('"', "'") & (F.right(t, F.lit(1)) == quote)
-        & ~F.contains(inner, quote)
-    )
-    return F.when(wrapped, inner).otherwise(c)
+    return F.regexp_replace(c, WRAPPED, "$1$2")
 
 
 def collapse_spaces(c: Column) -> Column:
@@ -132,10 +127,11 @@ def text_changed(before: Column, after: Column) -> Column:
 def removed_characters(before: Column, after: Column) -> Column:
     """Code points that are in the first text and no longer in the second, sorted."""
     gone = F.array_except(F.split(before, ""), F.split(after, ""))
-    named = F.transform(
-        F.filter(gone, lambda ch: ch != ""),
-        lambda ch: F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(ch)), 4, "0")),
-    )
+    def code_point(ch: Column) -> Column:
+        digits = F.hex(F.ascii(ch))
+        return F.concat(F.lit("U+"), F.repeat(F.lit("0"), 4 - F.length(digits)), digits)
+
+    named = F.transform(F.filter(gone, lambda ch: ch != ""), code_point)
     return F.array_sort(F.array_distinct(named))
 
 

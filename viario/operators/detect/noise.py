@@ -51,7 +51,7 @@ def noise_points(
     })
     cells = placed.groupBy(*c).agg(
         (F.sum(weight) >= min_points).alias("dense"),
-        F.ceil(F.count(F.lit(1)) / cell_points).cast("int").alias("salts"),
+        F.ceil(F.count(F.lit(1)) / cell_points).alias("salts"),
     )
     placed = materialise(
         placed.join(cells, c).withColumn("salt", F.pmod(F.xxhash64(*columns), "salts")), "points"
@@ -64,7 +64,7 @@ def noise_points(
     sparse = placed.where(~F.col("dense")).select(*columns, *z, *c)
     asked = (
         _near_cells(sparse, axes).join(cells, c)
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).cast("bigint"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)))
     )
     around = (
         asked.join(other, [*c, "salt"]).where(_within(axes, eps, "z", "oz"))

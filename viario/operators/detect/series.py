@@ -50,7 +50,8 @@ def speed_drop(series: Series, df: DataFrame, key: str, **options) -> dict[str,
     now = F.coalesce(F.col(speed), before)
     change = (
         F.when(before != 0, now / F.when(before != 0, before) - 1)
-        .when(now > 0, F.lit(float("inf"))).when(now < 0, F.lit(float("-inf")))
+        .when((before == 0) & (now > 0), F.lit(float("inf")))
+        .when((before == 0) & (now < 0), F.lit(float("-inf")))
     )
     pct = F.when(F.col(key).isNotNull(), change * 100)
     fell = pct <= -options.get("drop_pct", SPEED_DROP_PCT)

@@ -2,26 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from viario.functions.text import area_key
 from viario.schema import has
 
 
-def _parts(text: Column, lengths: Column) -> Column:
-    """All pieces of a text that have one of the given lengths."""
-    fitting = F.filter(lengths, lambda n: n <= F.length(text))
-    cut = F.transform(fitting, lambda n: F.transform(
-        F.sequence(F.lit(1), F.length(text) - n + 1), lambda at: F.substr(text, at, n)
-    ))
-    return F.array_distinct(F.flatten(cut))
-
-
-def _lengths(df: DataFrame, key: str) -> Column:
-    """The distinct lengths of a key, as one small array."""
-    return df.select(F.length(key).alias("n")).where("n > 0").distinct().agg(
-        F.collect_list("n")
-    ).scalar()
+def _pieces(df: DataFrame, text: str, lengths: DataFrame, name: str) -> DataFrame:
+    """One row per piece of a text that is as long as some text in `lengths.n`."""
+    wanted = lengths.agg(F.collect_set("n")).scalar()
+    return (
+        df.withColumn("__n", F.explode(wanted)).where(F.col("__n") <= F.length(text))
+        .withColumn("__at", F.explode(F.sequence(F.lit(1), F.length(text) - F.col("__n") + 1)))
+        .withColumn(name, F.substr(F.col(text), F.col("__at"), F.col("__n")))
+        .drop("__n", "__at").distinct()
+    )
 
 
 def match_names(
@@ -42,12 +37,11 @@ def match_names(
     exact = keys.join(table, F.col("key") == F.col("area")).select("key", "v")
     open_keys = keys.join(table, F.col("key") == F.col("area"), "left_anti").where("key <> ''")
     named = table.where("area <> ''")
-    inside = open_keys.select("key", F.explode(_parts(F.col("key"), _lengths(named, "area"))).alias("area"))
-    around = named.select("area", "pos", "v", F.explode(
-        _parts(F.col("area"), _lengths(open_keys, "key"))).alias("key"))
+    inside = _pieces(open_keys, "key", named.select(F.length("area").alias("n")), "area")
+    around = _pieces(named, "area", open_keys.select(F.length("key").alias("n")), "key")
     found = (
         inside.join(named, "area").select("key", "pos", "v")
-        .unionByName(around.join(open_keys, "key").select("key", "pos", "v"))
+        .unionByName(around.select("key", "pos", "v").join(open_keys, "key", "left_semi"))
     )
     partial = found.groupBy("key").agg(F.min(F.struct("pos", "v")).alias("best"))
     return exact.unionByName(partial.select("key", F.col("best.v").alias("v"))).withColumnRenamed(

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from viario.config import CLEANED_FILES
 from viario.operators.cleaning import LOG_SCHEMA, change_counts, change_log, clean_columns, text_columns
-from viario.sources.files import ROW_NUMBER, read_csv, write_csv
+from viario.sources.files import FILE, ROW_NUMBER, read_csv, write_csv
 from viario.storage import materialise, path_exists
 
 NOTHING = {"filas_procesadas": 0, "celdas_modificadas": 0, "columnas_limpias": []}
@@ -45,11 +45,11 @@ class CsvCleaner:
             self.spark, source, encoding=spec["encoding"], separator=spec["separator"],
             row_numbers=True,
         )
-        names = spec.get("text") or text_columns(table.drop(ROW_NUMBER), spec.get("skip", []))
+        names = spec.get("text") or text_columns(table.drop(FILE, ROW_NUMBER), spec.get("skip", []))
         log = materialise(change_log(table, names, spec["filename"], ROW_NUMBER), "cleaning-log")
         self._logs.append(log)
         if not self.dry_run:
-            cleaned = clean_columns(table.drop(ROW_NUMBER), names)
+            cleaned = clean_columns(table.drop(FILE, ROW_NUMBER), names)
             write_csv(cleaned, posixpath.join(self.clean_dir, spec["filename"]))
         # At most one row per text column comes back to the driver.
         touched = {r["columna"]: r["celdas_modificadas"] for r in change_counts(log).collect()}

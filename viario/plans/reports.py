@@ -19,11 +19,24 @@ def mean(name: str, alias: str) -> Column:
     return F.avg(name).alias(alias)
 
 
-SPEED = mean("velocidad_km_h", "velocidad_media")
-FLOW = mean("intensidad", "intensidad_media")
-ICV = mean("icv", "icv_medio")
-ROWS = F.count("icv").alias("n_registros")
-PEAK_SHARE = (F.avg(to_bool(F.col("es_hora_pico")).cast("int")) * 100).alias("pct_hora_pico")
+def speed() -> Column:
+    return mean("velocidad_km_h", "velocidad_media")
+
+
+def flow() -> Column:
+    return mean("intensidad", "intensidad_media")
+
+
+def icv() -> Column:
+    return mean("icv", "icv_medio")
+
+
+def indexed_rows() -> Column:
+    return F.count("icv").alias("n_registros")
+
+
+def peak_share(alias: str = "pct_hora_pico") -> Column:
+    return (F.avg(to_bool(F.col("es_hora_pico")).cast("int")) * 100).alias(alias)
 
 
 def group_means(df: DataFrame, key: str, *aggregates: Column) -> DataFrame:
@@ -52,13 +65,13 @@ def overview_measures(df: DataFrame) -> DataFrame:
 
 def speed_by_slot(df: DataFrame) -> DataFrame:
     return group_means(
-        df, "franja_horaria", SPEED, F.stddev_samp("velocidad_km_h").alias("velocidad_std"),
-        F.count("velocidad_km_h").alias("n_registros"), ICV,
+        df, "franja_horaria", speed(), F.stddev_samp("velocidad_km_h").alias("velocidad_std"),
+        F.count("velocidad_km_h").alias("n_registros"), icv(),
     ).orderBy("velocidad_media")
 
 
 def icv_by_day(df: DataFrame) -> DataFrame:
-    by_day = group_means(df, "dia_num", ICV, F.stddev_samp("icv").alias("icv_std"), SPEED, ROWS)
+    by_day = group_means(df, "dia_num", icv(), F.stddev_samp("icv").alias("icv_std"), speed(), indexed_rows())
     label = F.nullif(day_label(F.col("dia_num"), unknown=""), F.lit(""))
     return by_day.select(
         "dia_num", label.alias("dia"), "icv_medio", "icv_std", "velocidad_media", "n_registros"
@@ -66,14 +79,14 @@ def icv_by_day(df: DataFrame) -> DataFrame:
 
 
 def worst_hours(df: DataFrame, n: int = 5) -> DataFrame:
-    return top_rows(group_means(df, "hora", ICV, ROWS, SPEED, FLOW), n, "icv_medio", "hora")
+    return top_rows(group_means(df, "hora", icv(), indexed_rows(), speed(), flow()), n, "icv_medio", "hora")
 
 
 def corridor_profile(df: DataFrame) -> DataFrame:
     """Weekday measures per corridor."""
     return group_means(
-        features.weekdays(df), "corredor", ICV, F.max("icv").alias("icv_maximo"), SPEED, FLOW,
-        mean("ocupacion", "ocupacion_media"), ROWS, PEAK_SHARE,
+        features.weekdays(df), "corredor", icv(), F.max("icv").alias("icv_maximo"), speed(), flow(),
+        mean("ocupacion", "ocupacion_media"), indexed_rows(), peak_share(),
     )
 
 
@@ -84,8 +97,8 @@ def critical_corridors(df: DataFrame, n: int = 10) -> DataFrame:
 def commune_pressure(df: DataFrame) -> DataFrame:
     """All communes in peak hours, with vehicles per thousand inhabitants."""
     table = group_means(
-        features.peak_hours(df), "nombre_comuna", ICV, F.max("icv").alias("icv_maximo"), SPEED,
-        FLOW, ROWS, F.max("poblacion_2019").alias("poblacion_2019"),
+        features.peak_hours(df), "nombre_comuna", icv(), F.max("icv").alias("icv_maximo"), speed(),
+        flow(), indexed_rows(), F.max("poblacion_2019").alias("poblacion_2019"),
     )
     per_thousand = F.when(
         F.col("poblacion_2019") > 0, F.col("intensidad_media") / F.col("poblacion_2019") * 1000
@@ -103,17 +116,16 @@ def first_value(df: DataFrame, key: str, value: str, order: list[str], name: str
 
 def hotspot_places(df: DataFrame, config: dict, n: int = 20) -> DataFrame:
     """(corridor, commune) pairs with the most hotspot rows."""
-    share = (F.avg(to_bool(F.col("es_hora_pico")).cast("int")) * 100).alias("hora_pico_pct")
     pairs = ranking.hotspots(df, config).dropna(subset=["corredor", "nombre_comuna"]).groupBy(
         "corredor", "nombre_comuna"
-    ).agg(F.count("icv").alias("n_eventos"), SPEED, FLOW, ICV, share)
+    ).agg(F.count("icv").alias("n_eventos"), speed(), flow(), icv(), peak_share("hora_pico_pct"))
     return ranked_top(pairs, n, "n_eventos", "corredor", "nombre_comuna")
 
 
 def hotspot_slots(df: DataFrame, config: dict) -> DataFrame:
     slots = group_means(
         ranking.hotspots(df, config), "franja_horaria", F.count("icv").alias("n_eventos"),
-        SPEED, FLOW, ICV,
+        speed(), flow(), icv(),
     )
     return stats.share_of_total(slots, "n_eventos", "pct_del_total").orderBy(
         F.desc("n_eventos"), "franja_horaria"
@@ -163,7 +175,7 @@ def severity_counts(anomalies: DataFrame) -> DataFrame:
 def anomalous_corridors(anomalies: DataFrame, n: int = 20) -> DataFrame:
     """Corridors with the most anomalies, with one column per severity level."""
     top = top_rows(group_means(
-        anomalies, "corredor", F.count(F.lit(1)).alias("n_anomalias"), ICV, SPEED, FLOW,
+        anomalies, "corredor", F.count(F.lit(1)).alias("n_anomalias"), icv(), speed(), flow(),
         mean("anomaly_score", "anomaly_score_med"),
     ), n, "n_anomalias", "corredor")
     levels = count_pivot(anomalies, "corredor", "severity_level", fixed.SEVERITY_LEVELS[1:])
@@ -172,18 +184,18 @@ def anomalous_corridors(anomalies: DataFrame, n: int = 20) -> DataFrame:
 
 def anomalous_communes(anomalies: DataFrame) -> DataFrame:
     return group_means(
-        anomalies, "nombre_comuna", F.count(F.lit(1)).alias("n_anomalias"), ICV, SPEED
+        anomalies, "nombre_comuna", F.count(F.lit(1)).alias("n_anomalias"), icv(), speed()
     ).orderBy(F.desc("n_anomalias"), "nombre_comuna")
 
 
 def anomalous_slots(anomalies: DataFrame) -> DataFrame:
     return group_means(
-        anomalies, "franja_horaria", F.count("corredor").alias("n_anomalias"), ICV
+        anomalies, "franja_horaria", F.count("corredor").alias("n_anomalias"), icv()
     ).orderBy(F.desc("n_anomalias"), "franja_horaria")
 
 
 def icv_by_hour(df: DataFrame) -> DataFrame:
-    return group_means(df, "hora", ICV).orderBy("hora")
+    return group_means(df, "hora", icv()).orderBy("hora")
 
 
 def passenger_trend(passengers: DataFrame) -> DataFrame:
@@ -213,10 +225,10 @@ def commune_map(df: DataFrame) -> DataFrame:
     rows = df.dropna(subset=["nombre_comuna", "icv"]).withColumn(
         "codigo_geo", commune_code(F.trim(F.col("codigo_comuna").cast("string")))
     ).dropna(subset=["codigo_geo"])
-    optional = {"velocidad_km_h": SPEED, "intensidad": FLOW,
+    optional = {"velocidad_km_h": speed(), "intensidad": flow(),
                 "corredor": F.countDistinct("corredor").alias("corredores_activos")}
     table = rows.groupBy("codigo_geo", "nombre_comuna").agg(
-        ICV, F.count(F.lit(1)).alias("registros"),
+        icv(), F.count(F.lit(1)).alias("registros"),
         *[c for name, c in optional.items() if has(df, name)],
     )
     label = F.concat_ws(" - ", "codigo_geo", "nombre_comuna")
@@ -268,7 +280,7 @@ def flow_stats(df: DataFrame) -> DataFrame:
     """One row: means, and how many rows are slow and busy at once."""
     both = F.col("criticidad") == fixed.FLOW_CLASSES["both"]
     return features.flow_class(df).agg(
-        SPEED, FLOW, ICV, F.count_if(both).alias("n_criticos"),
+        speed(), flow(), icv(), F.count_if(both).alias("n_criticos"),
         (100.0 * F.count_if(both) / F.count(F.lit(1))).alias("pct_criticos"),
     )
 
@@ -306,7 +318,7 @@ def service_level_counts(df: DataFrame) -> DataFrame:
 
 def hourly_means(df: DataFrame) -> DataFrame:
     """Speed and flow per hour; the slowest and the busiest hour are marked."""
-    hours = group_means(df, "hora", SPEED, FLOW)
+    hours = group_means(df, "hora", speed(), flow())
     slowest = extreme_group(df, "hora", "velocidad_km_h", largest=False).select("hora").scalar()
     busiest = extreme_group(df, "hora", "intensidad").select("hora").scalar()
     return hours.withColumns({
@@ -317,7 +329,7 @@ def hourly_means(df: DataFrame) -> DataFrame:
 def icv_by_slot(df: DataFrame) -> DataFrame:
     """Mean, deviation, median and maximum of the index per time slot."""
     basic = group_means(
-        df, "franja_horaria", ICV, F.stddev_samp("icv").alias("icv_std"),
+        df, "franja_horaria", icv(), F.stddev_samp("icv").alias("icv_std"),
         F.max("icv").alias("icv_maximo"),
     )
     middle = quantiles(df, "icv", {"icv_mediana": 0.5}, ["franja_horaria"]).drop("n_values")

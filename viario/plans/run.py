@@ -15,7 +15,7 @@ from viario.plans.detection import AnomalyDetector
 from viario.plans.master import build_indexed_master
 from viario.schema import typed
 from viario.sources.files import (
-    ROW_NUMBER, load_dataset, read_columns, read_or_compute, write_table,
+    FILE, ROW_NUMBER, load_dataset, read_columns, read_or_compute, write_table,
 )
 from viario.storage import path_exists
 
@@ -33,7 +33,7 @@ def load_clean(spark: SparkSession, config: dict) -> dict:
         numbered = key == "poblacion"
         raw = load_dataset(spark, config, key, row_numbers=numbered)
         if raw is not None and numbered:
-            raw = raw.withColumnRenamed(ROW_NUMBER, datasets.POSITION)
+            raw = raw.drop(FILE).withColumnRenamed(ROW_NUMBER, datasets.POSITION)
         tables[key] = None if raw is None else cleaner(raw)
     return tables
 

@@ -12,6 +12,7 @@ from viario.storage import path_exists
 
 _SURPLUS = "__surplus"
 ROW_NUMBER = "__row_number"
+FILE = "__file"
 
 
 def csv_header(spark: SparkSession, path: str, encoding: str = "UTF-8", separator: str = ",") -> list[str]:
@@ -37,7 +38,7 @@ def read_csv(
     multiline: bool = False, row_numbers: bool = False,
 ) -> DataFrame:
     """All columns as text. Lines with too many fields are skipped, short ones are filled
-    with nulls, and empty fields are null."""
+    with nulls, and empty fields are null. `row_numbers` adds FILE and ROW_NUMBER."""
     charset = detect_encoding(spark, path) if encoding is None else _spark_encoding(encoding)
     names = csv_header(spark, path, charset, separator)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _SURPLUS]])
@@ -55,12 +56,12 @@ def _number_lines(df: DataFrame) -> DataFrame:
     Rows of one file block are read in order by one task. The rows per block are counted
     first, and a position is the rows of earlier blocks plus the offset in the block; the
     blocks of a file are few, so summing them up needs no large window."""
-    split = ["__file", "__block"]
+    split = [FILE, "__block"]
     placed = df.withColumns({
-        "__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"),
+        FILE: F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"),
         "__at": F.monotonically_increasing_id(),
     })
-    earlier = Window.partitionBy("__file").orderBy("__block").rowsBetween(
+    earlier = Window.partitionBy(FILE).orderBy("__block").rowsBetween(
         Window.unboundedPreceding, -1
     )
     blocks = placed.groupBy(*split).agg(
@@ -68,7 +69,7 @@ def _number_lines(df: DataFrame) -> DataFrame:
     ).select(*split, "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     return placed.join(blocks, split).withColumn(
         ROW_NUMBER, F.col("__before") + F.col("__at") - F.col("__first")
-    ).drop(*split, "__at", "__first", "__before")
+    ).drop("__block", "__at", "__first", "__before")
 
 
 def load_dataset(spark: SparkSession, config: dict, key: str, **options) -> DataFrame | None:
