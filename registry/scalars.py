@@ -10,6 +10,7 @@ from registry.tables import MEASUREMENTS_SQL, measurements, query, rounded, tabl
 from viario.functions import dates, numbers, text
 from viario.operators import cleaning, features, stats
 from viario.plans.datasets import passenger_columns
+from viario.sources.files import spread
 
 BROKEN = "�"
 # What is put around the documents so that every rule has something to do.
@@ -20,7 +21,7 @@ FOREIGN_DIRT = "Привет 你好 مرحبا"
 
 def dirty(spark, sf):
     """Whole texts with control characters, broken words, doubled spaces and quotes."""
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "text"))
     return docs.select(
         "doc_id", "lang",
         F.concat(F.lit(CONTROL_DIRT), F.replace("text", F.lit(" "), F.lit("   ")),

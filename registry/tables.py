@@ -12,6 +12,7 @@ from viario.operators.detect.score import add_score
 from viario.operators.detect.series import detect_along_series
 from viario.operators.features import add_time_features
 from viario.operators.index import add_icv
+from viario.sources.files import spread
 from viario.storage import materialise, path_exists
 
 CONFIG = default_config()
@@ -53,7 +54,9 @@ def once(spark: SparkSession, folder: str, label: str, build: Callable[[], DataF
 
 def measurements(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines as measurements: supplier is the corridor, its nation the commune."""
-    lines = table(spark, folder, "lineitem")
+    lines = spread(table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity",
+        "l_extendedprice", "l_discount"))
     suppliers = table(spark, folder, "supplier")
     nations = table(spark, folder, "nation")
     people = F.when(F.col("n_nationkey") % 5 != 0, 100000.0 + 1000.0 * F.col("n_nationkey"))
@@ -125,7 +128,7 @@ def from_hotspots(body: str) -> str:
 
 def series(spark: SparkSession, folder: str) -> DataFrame:
     """Events as a time series per user, with gaps in the speed."""
-    events = table(spark, folder, "events")
+    events = spread(table(spark, folder, "events"))
     props = F.get_json_object("props", "$.k").cast("double")
     rows = events.select(
         "event_id", F.col("user_id").cast("string").alias("corredor"),

@@ -25,7 +25,10 @@ REPLACEMENT_CHARS = r"[\uFFFD\uFFFE\uFFFF]"
 CONTROL_CHARS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 FOREIGN_CHARS = r"[^\x09\x0A\x0D\x20-\x7E\u00A0-\u024F\u2000-\u206F\u20A0-\u20CF]"
 WRAPPED = r"""(?U)\A[\s\x1C-\x1F]*(?:"([^"]*)"|'([^']*)')[\s\x1C-\x1F]*\z"""
-EDGE_SPACE = r"(?U)\A[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z"
+EDGE_SPACE = "".join(chr(c) for c in [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+])
 # Letters without a decomposition, and their Latin spelling.
 SPELLED = {
     "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th",
@@ -57,7 +60,7 @@ def _translate(c: Column, table: dict[str, str]) -> Column:
 
 def strip(c: Column) -> Column:
     """Remove any Unicode white space at both ends."""
-    return F.regexp_replace(c, EDGE_SPACE, "")
+    return F.btrim(c, F.lit(EDGE_SPACE))
 
 
 def without_marks(c: Column) -> Column:
@@ -110,11 +113,13 @@ def collapse_spaces(c: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """All cell rules in order; null becomes the empty text."""
+    """All cell rules in order; null becomes the empty text.
+
+    What the rules on replacement and control characters delete is outside the kept
+    character ranges too, so one pass over the text does for all three."""
     steps = [
         lambda x: repair_words(x, leading=False, drop_rest=False),
-        drop_replacement_chars, drop_control_chars, drop_foreign_chars,
-        unwrap_quotes, collapse_spaces, strip,
+        drop_foreign_chars, unwrap_quotes, collapse_spaces, strip,
     ]
     return F.coalesce(reduce(lambda x, step: step(x), steps, c.cast("string")), F.lit(""))
 

@@ -11,6 +11,7 @@ import json
 import math
 from collections.abc import Iterator
 from functools import reduce
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -92,7 +93,7 @@ class Trees:
 
 
 def _grower(features: list[str], subsample: int, seed: int):
-    def grow(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         group, tree = key
         rows = rows.sort_values([_HASH, *features], kind="stable")
         rng = np.random.default_rng([seed, int(tree)])
@@ -109,17 +110,20 @@ def features_of(df: DataFrame) -> list[str]:
     return [f for f in FOREST_FEATURES if f in df.columns]
 
 
-def prepare(df: DataFrame, group: str, features: list[str]) -> DataFrame:
-    """Features as numbers f0, f1, .. with the gaps filled by the median of the group."""
+def prepare(df: DataFrame, group: str, features: list[str]) -> tuple[DataFrame, int]:
+    """Features as numbers f0, f1, .. with the gaps filled by the median of the group, and
+    the number of rows."""
     numeric = df.withColumns({f"__f{i}": no_nan(F.col(f)) for i, f in enumerate(features)})
     numeric = numeric.withColumn(_GROUP, F.col(group).cast("string"))
     names = [f"__f{i}" for i in range(len(features))]
-    gaps = numeric.agg(*[F.count_if(F.col(n).isNull()).alias(n) for n in names]).first()
+    counts = numeric.agg(
+        F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(n).isNull()).alias(n) for n in names]
+    ).first()
     for n in names:
-        if gaps[n]:
+        if counts[n]:
             middle = quantiles(numeric, n, {"__m": 0.5}, [_GROUP]).select(_GROUP, "__m")
             numeric = numeric.join(middle, _GROUP, "left").withColumn(n, F.coalesce(n, "__m")).drop("__m")
-    return numeric
+    return numeric, counts["rows"]
 
 
 def _eligible(df: DataFrame, group: str, features: list[str]) -> DataFrame:
@@ -132,7 +136,7 @@ def _eligible(df: DataFrame, group: str, features: list[str]) -> DataFrame:
 
 
 def train(
-    prepared: DataFrame, groups: DataFrame, n_features: int, params: dict,
+    prepared: DataFrame, groups: DataFrame, n_features: int, params: dict, n_rows: int,
     row_id: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Node table of all trees of all groups, and the sample they grew from."""
@@ -142,10 +146,9 @@ def train(
     rows = source.where(complete).select(_GROUP, _HASH, *names).join(
         groups.select(_GROUP), _GROUP, "left_semi"
     )
-    sample = materialise(
-        sample_by_group(rows, [_GROUP], F.lit(params["train_rows"]), params["seed"], [_HASH, *names]),
-        "forest-sample",
-    )
+    sample = materialise(sample_by_group(
+        rows, [_GROUP], F.lit(params["train_rows"]), params["seed"], [_HASH, *names], n_rows
+    ), "forest-sample")
     trees = F.explode(F.sequence(F.lit(0), F.lit(params["trees"] - 1))).alias("__tree")
     grow = _grower(names, params["subsample"], params["seed"])
     nodes = sample.select("*", trees).groupBy(_GROUP, "__tree").applyInPandas(grow, NODES)
@@ -245,7 +248,7 @@ def detect_forest(
     if group is None or len(features) < MIN_FEATURES:
         return plain
     spark, n = df.sparkSession, len(features)
-    prepared = prepare(df, group, features)
+    prepared, n_rows = prepare(df, group, features)
     path = models_path and f"{models_path}/forest-{model_key(features, group, params)}"
     model = _saved(spark, path)
     missing = _eligible(df, group, features)
@@ -253,7 +256,7 @@ def detect_forest(
         known = model.select(F.col("grp").alias(_GROUP)).distinct()
         missing = missing.join(known, _GROUP, "left_anti")
     if model is None or missing.limit(1).count():
-        nodes, sample = train(prepared, missing, n, params, row_id)
+        nodes, sample = train(prepared, missing, n, params, n_rows, row_id)
         nodes = materialise(nodes, "forest-nodes")
         own = score(sample, nodes, n, [_HASH], broadcast_nodes, salt_rows)
         cut = own.groupBy(F.col(_GROUP).alias("grp")).agg(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from viario import config as fixed
 from viario.functions.numbers import number, to_bool
-from viario.operators.quantiles import quantile
+from viario.operators.quantiles import several_quantiles
 from viario.schema import has
 
 
@@ -108,8 +108,9 @@ def corridor_options(options: DataFrame, commune: str | None = None) -> DataFram
 def flow_class(df: DataFrame, slow_pct: float = 0.30, flow_pct: float = 0.70) -> DataFrame:
     """Four classes by the speed and flow quantiles of this very table."""
     names = fixed.FLOW_CLASSES
-    slow = F.col("velocidad_km_h") <= quantile(df, "velocidad_km_h", slow_pct)
-    busy = F.col("intensidad") >= quantile(df, "intensidad", flow_pct)
+    limits = several_quantiles(df, {"velocidad_km_h": slow_pct, "intensidad": flow_pct})
+    slow = F.col("velocidad_km_h") <= limits["velocidad_km_h"]
+    busy = F.col("intensidad") >= limits["intensidad"]
     return df.withColumn(
         "criticidad",
         F.when(slow & busy, names["both"]).when(busy, names["flow"])

@@ -57,12 +57,22 @@ def join_population(
     """Value of the area whose name matches; only distinct names are looked up."""
     if areas is None or not has(areas, area_name, value) or not has(df, name):
         return df.withColumn(result, F.lit(None).cast("double"))
-    keyed = df.withColumn("__key", area_key(F.col(name)))
-    names = df.select(name).distinct().select(area_key(F.col(name)).alias("key")).distinct()
+    names = _name_keys(df, name)
     matched = match_names(names, areas, area_name, value, position).select(
-        F.col("key").alias("__key"), F.col(value).cast("double").alias(result)
+        "key", F.col(value).cast("double").alias(result)
     )
-    return keyed.join(matched, "__key", "left").drop("__key")
+    return _by_name(df, name, names.join(matched, "key", "left").drop("key"))
+
+
+def _name_keys(df: DataFrame, name: str) -> DataFrame:
+    """(__name, key) of the distinct names, so that the key is not made for every row."""
+    distinct = df.select(F.coalesce(name, F.lit("")).alias("__name")).distinct()
+    return distinct.withColumn("key", area_key(F.col("__name")))
+
+
+def _by_name(df: DataFrame, name: str, figures: DataFrame) -> DataFrame:
+    named = df.withColumn("__name", F.coalesce(name, F.lit("")))
+    return named.join(figures, "__name", "left").drop("__name")
 
 
 def join_counts(
@@ -72,10 +82,13 @@ def join_counts(
     """Mean count of the area; spellings of one name share one mean, so no row is doubled."""
     if counts is None or not has(counts, name, value) or not has(df, name):
         return df.withColumn(result, F.lit(None).cast("double"))
-    means = counts.dropna(subset=[name]).groupBy(area_key(F.col(name)).alias("__key")).agg(
-        F.avg(value).alias(result)
+    by_spelling = counts.dropna(subset=[name]).groupBy(name).agg(
+        F.sum(value).alias("s"), F.count(value).alias("n")
+    )
+    means = by_spelling.groupBy(area_key(F.col(name)).alias("key")).agg(
+        F.try_divide(F.sum("s"), F.sum("n")).alias(result)
     )
-    return df.withColumn("__key", area_key(F.col(name))).join(means, "__key", "left").drop("__key")
+    return _by_name(df, name, _name_keys(df, name).join(means, "key", "left").drop("key"))
 
 
 SENSOR_MEANS = {

@@ -28,19 +28,20 @@ def quantiles(
     keys: list[str] | None = None,
     *,
     distinct_values: int | None = None,
-    check: bool = True,
+    known_distinct: int | None = None,
 ) -> DataFrame:
     """One row per group with the named quantiles of a column.
 
     Values are counted first, so an aggregation buffer holds distinct values, not rows.
     Where a group has too many distinct values for one buffer, the counted values are
-    sorted by ranges and the quantile positions are looked up there. `check=False` skips
-    the look at the number of distinct values, for columns that cannot have many.
+    sorted by ranges and the quantile positions are looked up there. `known_distinct`
+    saves the look at the number of distinct values when a caller has it already.
     """
     keys = keys or []
     limit = DISTINCT_VALUES if distinct_values is None else distinct_values
     counted = value_counts_by_group(df, value, keys)
-    if not check or _most_values(df, value, keys) <= limit:
+    most = _most_values(df, value, keys) if known_distinct is None else known_distinct
+    if most <= limit:
         at = F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("__n"))
         packed = counted.groupBy(*keys).agg(at.alias("__q"), F.sum("__n").alias("__rows"))
         return packed.select(
@@ -85,5 +86,11 @@ def quantile(df: DataFrame, value: str, p: float, **options) -> Column:
     return quantiles(df, value, {"q": p}, **options).select("q").scalar()
 
 
+def several_quantiles(df: DataFrame, probs: dict[str, float]) -> dict[str, Column]:
+    """One quantile for each of several columns, after one look at all of them."""
+    distinct = df.agg(*[F.approx_count_distinct(c).alias(c) for c in probs]).first()
+    return {c: quantile(df, c, p, known_distinct=distinct[c]) for c, p in probs.items()}
+
+
 def median(df: DataFrame, value: str, **options) -> Column:
     return quantile(df, value, 0.5, **options)

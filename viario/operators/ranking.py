@@ -10,7 +10,7 @@ from viario.operators.features import (
     estimated_capacity, flow_range, peak_hours, service_level, weekdays,
 )
 from viario.operators.ordered import number_rows
-from viario.operators.quantiles import quantile
+from viario.operators.quantiles import several_quantiles
 
 
 def top_rows(df: DataFrame, n: int, by: str, *ties: str | Column) -> DataFrame:
@@ -50,16 +50,20 @@ def rank_corridors_by_load(df: DataFrame, config: dict) -> DataFrame:
     capacity, free_speed = cfg.get("capacidad_base", 2500), cfg.get("velocidad_libre", 60)
     measured = df.withColumns({c: number(F.col(c)) for c in ("intensidad", "velocidad_km_h")})
     loss = 1 - F.col("velocidad_km_h") / free_speed
-    rows = flow_range(measured).select(
-        corridor_label(F.col("corredor")).alias("corredor"), "intensidad", "velocidad_km_h",
-        (F.col("intensidad") / capacity).alias("ivc"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), loss)).alias("icv_simple"),
+    rows = flow_range(measured).withColumn(
+        "icv_simple", F.greatest(F.lit(0.0), F.least(F.lit(1.0), loss))
     )
-    means = rows.groupBy("corredor").agg(
-        F.avg("ivc").alias("ivc_medio"), F.avg("velocidad_km_h").alias("velocidad_media"),
-        F.avg("intensidad").alias("intensidad_media"),
-        F.avg("icv_simple").alias("icv_simple_medio"), F.count("ivc").alias("n_registros"),
+    # Sums per raw name first: the label is then made once per name, not once per row.
+    summed = {"velocidad_media": "velocidad_km_h", "intensidad_media": "intensidad",
+              "icv_simple_medio": "icv_simple"}
+    by_name = rows.groupBy("corredor").agg(
+        F.count(F.lit(1)).alias("n_registros"), *[F.sum(c).alias(a) for a, c in summed.items()]
     )
+    by_label = by_name.groupBy(corridor_label(F.col("corredor")).alias("corredor")).agg(
+        F.sum("n_registros").alias("n_registros"),
+        *[(F.sum(a) / F.sum("n_registros")).alias(a) for a in summed],
+    )
+    means = by_label.withColumn("ivc_medio", F.col("intensidad_media") / capacity)
     return ranked_top(means, top_n, "ivc_medio", "corredor").select(
         "rank", "corredor", "ivc_medio", "velocidad_media", "intensidad_media",
         "icv_simple_medio", "n_registros",
@@ -79,9 +83,14 @@ def rank_communes(df: DataFrame, config: dict) -> DataFrame:
 def hotspots(df: DataFrame, config: dict) -> DataFrame:
     """Rows that are slow and busy by the quantiles of this very table."""
     cfg = config["rankings"]
-    slow = quantile(df, "velocidad_km_h", cfg["hotspot_velocidad_pct"] / 100)
-    busy = quantile(df, "intensidad", cfg["hotspot_intensidad_pct"] / 100)
-    return df.where((F.col("velocidad_km_h") <= slow) & (F.col("intensidad") >= busy))
+    limits = several_quantiles(df, {
+        "velocidad_km_h": cfg["hotspot_velocidad_pct"] / 100,
+        "intensidad": cfg["hotspot_intensidad_pct"] / 100,
+    })
+    return df.where(
+        (F.col("velocidad_km_h") <= limits["velocidad_km_h"])
+        & (F.col("intensidad") >= limits["intensidad"])
+    )
 
 
 def extreme_group(df: DataFrame, key: str, value: str, *, largest: bool = True) -> DataFrame:

@@ -9,53 +9,61 @@ from viario.schema import row_hash
 BUCKET_ROWS = 500_000  # rows that are sorted together to settle the border of a sample
 
 
-def _smallest(
-    df: DataFrame, keys: list[str], quotas: DataFrame, rows: int, rank: Column
-) -> DataFrame:
-    """Per group the `__quota` rows of smallest rank number.
+def _from_whole_groups(df: DataFrame, keys: list[str], quota: Column, rank: Column) -> DataFrame:
+    group = Window.partitionBy(*keys)
+    place = F.row_number().over(group.orderBy("__rank", *df.columns))
+    ranked = df.withColumn("__rank", rank).withColumns(
+        {"n": F.count(F.lit(1)).over(group), "__place": place}
+    )
+    return ranked.where(F.col("__place") <= quota).select(*df.columns)
 
-    The numbers are spread evenly over 64 bits. Their leading bits cut a group into
+
+def _from_buckets(
+    df: DataFrame, keys: list[str], quota: Column, rank: Column, bits: int
+) -> DataFrame:
+    """The ranks are spread evenly over 64 bits. Their leading bits cut a group into
     buckets; whole buckets are taken while they fit, and only the bucket at the border
-    is sorted, so a large group is never sorted as one.
-    """
-    bits = max(0, (rows // BUCKET_ROWS).bit_length())
-    bucket = F.shiftrightunsigned("__rank", 64 - bits) if bits else F.lit(0).cast("bigint")
-    ranked = df.withColumn("__rank", rank).withColumn("__bucket", bucket)
+    is sorted, so a large group is never sorted as one."""
+    ranked = df.withColumn("__rank", rank).withColumn(
+        "__bucket", F.shiftrightunsigned("__rank", 64 - bits)
+    )
     counts = ranked.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     so_far = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(
         Window.unboundedPreceding, -1
     )
     taken = (
-        counts.withColumn("__before", F.coalesce(F.sum("__n").over(so_far), F.lit(0)))
-        .join(quotas, keys).where(F.col("__before") < F.col("__quota"))
-        .select(*keys, "__bucket", (F.col("__quota") - F.col("__before")).alias("__left"), "__n")
+        counts.withColumns({
+            "__before": F.coalesce(F.sum("__n").over(so_far), F.lit(0)),
+            "n": F.sum("__n").over(Window.partitionBy(*keys)),
+        })
+        .withColumn("__left", quota - F.col("__before")).where(F.col("__left") > 0)
+        .select(*keys, "__bucket", "__left", "__n")
     )
+    chosen = ranked.join(taken, [*keys, "__bucket"])
+    fits = F.col("__n") <= F.col("__left")
     place = F.row_number().over(
         Window.partitionBy(*keys, "__bucket").orderBy("__rank", *df.columns)
     )
-    chosen = ranked.join(taken, [*keys, "__bucket"])
-    return (
-        chosen.where(F.col("__n") <= F.col("__left")).select(*df.columns)
-        .unionByName(
-            chosen.where(F.col("__n") > F.col("__left")).withColumn("__place", place)
-            .where(F.col("__place") <= F.col("__left")).select(*df.columns)
-        )
+    border = chosen.where(~fits).withColumn("__place", place).where(
+        F.col("__place") <= F.col("__left")
     )
+    return chosen.where(fits).select(*df.columns).unionByName(border.select(*df.columns))
 
 
 def sample_by_group(
     df: DataFrame, keys: list[str], quota: Column, seed: int = 42,
-    row_id: list[str] | None = None, rows: int | None = None,
+    row_id: list[str] | None = None, rows: int | None = None, bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Per group as many rows as `quota` says, a column expression over the group size `n`.
 
     Rows without a key are in no group."""
     grouped = df.dropna(subset=keys)
-    quotas = grouped.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(
-        *keys, F.least(F.col("n"), quota).cast("bigint").alias("__quota")
-    )
     rows = df.count() if rows is None else rows
-    return _smallest(grouped, keys, quotas, rows, row_hash(df, row_id, seed))
+    bits = (rows // bucket_rows).bit_length()
+    rank = row_hash(df, row_id, seed)
+    if bits == 0:
+        return _from_whole_groups(grouped, keys, quota, rank)
+    return _from_buckets(grouped, keys, quota, rank, bits)
 
 
 def sample_rows(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from viario.functions.numbers import no_nan
@@ -20,23 +22,51 @@ def min_max(value: Column, low: Column, high: Column) -> Column:
     )
 
 
-def filled_scaled(df: DataFrame, name: str) -> Column:
+@dataclass(frozen=True)
+class Facts:
+    """What one pass over a table tells about a column."""
+
+    low: float | None
+    high: float | None
+    gaps: int
+    distinct: int
+
+
+def column_facts(df: DataFrame, names: list[str]) -> dict[str, Facts]:
+    """Ends, missing values and about how many distinct ones, of all columns in one pass."""
+    numeric = {n: no_nan(F.col(n)) for n in names if n in df.columns}
+    if not numeric:
+        return {}
+    kinds = {"low": F.min, "high": F.max, "gaps": lambda v: F.count_if(v.isNull()),
+             "distinct": F.approx_count_distinct}
+    row = df.agg(*[
+        F.struct(*[f(v).alias(kind) for kind, f in kinds.items()]).alias(n)
+        for n, v in numeric.items()
+    ]).first()
+    return {n: Facts(**row[n].asDict()) for n in numeric}
+
+
+def scaled_column(name: str, facts: Facts | None) -> Column:
+    """Min-max scaling; an empty column gives null, one that does not exist gives 0."""
+    if facts is None:
+        return F.lit(0.0)
+    return min_max(no_nan(F.col(name)), F.lit(facts.low), F.lit(facts.high))
+
+
+def filled_scaled_column(df: DataFrame, name: str, facts: Facts | None) -> Column:
     """Min-max scaling after filling gaps with the median; a missing or empty column gives 0.
 
-    The median lies between the ends, so filling does not move them.
-    """
-    if name not in df.columns:
+    The median lies between the ends, so filling does not move them."""
+    if facts is None or facts.low is None:
         return F.lit(0.0)
     value = no_nan(F.col(name))
-    ends = one_row(df, low=F.min(value), high=F.max(value))
-    filled = F.coalesce(value, median(df, name), F.lit(0.0))
-    return F.coalesce(min_max(filled, ends["low"], ends["high"]), F.lit(0.0))
+    if facts.gaps:
+        value = F.coalesce(value, median(df, name, known_distinct=facts.distinct))
+    return min_max(value, F.lit(facts.low), F.lit(facts.high))
 
 
 def scaled(df: DataFrame, name: str) -> Column:
-    value = no_nan(F.col(name))
-    ends = one_row(df, low=F.min(value), high=F.max(value))
-    return min_max(value, ends["low"], ends["high"])
+    return scaled_column(name, column_facts(df, [name]).get(name))
 
 
 def standardised(df: DataFrame, names: list[str]) -> dict[str, Column]:
@@ -63,8 +93,9 @@ def describe(df: DataFrame, names: list[str]) -> DataFrame:
         for name in names for kind, f in basic.items()
     ])
     rows = []
+    distinct = df.agg(*[F.approx_count_distinct(name).alias(name) for name in names]).first()
     for name in names:
-        middle = quantiles(df, name, QUARTILES).select(F.struct(*QUARTILES).alias("s")).scalar()
+        middle = quantiles(df, name, QUARTILES, known_distinct=distinct[name]).select(F.struct(*QUARTILES).alias("s")).scalar()
         fields = {kind: F.col(f"`{name}|{kind}`") for kind in basic}
         fields |= {q: middle[q] for q in QUARTILES}
         order = ["count", "mean", "std", "min", *QUARTILES, "max"]

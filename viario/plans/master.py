@@ -8,6 +8,7 @@ from viario.operators.features import add_time_features
 from viario.operators.index import add_icv
 from viario.operators.joins import join_counts, join_population, join_sensors
 from viario.plans.datasets import POSITION
+from viario.storage import materialise
 
 
 def build_master(
@@ -22,5 +23,10 @@ def build_master(
     return join_sensors(master, sensors)
 
 
-def build_indexed_master(speed, counts, sensors, population, config) -> DataFrame:
-    return add_icv(build_master(speed, counts, sensors, population, config), config)
+def build_indexed_master(
+    speed: DataFrame, counts: DataFrame | None, sensors: DataFrame | None,
+    population: DataFrame | None, config: dict,
+) -> DataFrame:
+    """The index reads the table several times, so the joined table is written first."""
+    joined = materialise(build_master(speed, counts, sensors, population, config), "joined")
+    return add_icv(joined, config)

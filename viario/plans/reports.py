@@ -82,11 +82,11 @@ def worst_hours(df: DataFrame, n: int = 5) -> DataFrame:
     return top_rows(group_means(df, "hora", icv(), indexed_rows(), speed(), flow()), n, "icv_medio", "hora")
 
 
-def corridor_profile(df: DataFrame) -> DataFrame:
+def corridor_profile(df: DataFrame, *more: Column) -> DataFrame:
     """Weekday measures per corridor."""
     return group_means(
         features.weekdays(df), "corredor", icv(), F.max("icv").alias("icv_maximo"), speed(), flow(),
-        mean("ocupacion", "ocupacion_media"), indexed_rows(), peak_share(),
+        mean("ocupacion", "ocupacion_media"), indexed_rows(), peak_share(), *more,
     )
 
 
@@ -135,14 +135,11 @@ def hotspot_slots(df: DataFrame, config: dict) -> DataFrame:
 def interventions(df: DataFrame, config: dict) -> DataFrame:
     """Weekday corridor profiles with the kind of intervention they call for."""
     rows = features.weekdays(df)
-    population = group_means(rows, "corredor", mean("poblacion_2019", "poblacion_2019"))
+    profile = corridor_profile(df, mean("poblacion_2019", "poblacion_2019"))
     commune = stats.mode_by_group(rows, "nombre_comuna", ["corredor"], "nombre_comuna")
-    base = (
-        corridor_profile(df).join(population, "corredor", "left")
-        .join(commune, "corredor", "left")
-    )
+    base = profile.join(commune, "corredor", "left")
     busy = quantile(rows, "intensidad", 0.80)
-    populous = quantile(population, "poblacion_2019", 0.67)
+    populous = quantile(profile, "poblacion_2019", 0.67)
     spots = ranking.hotspots(df, config).where(
         F.col("nombre_comuna").isNotNull()).select("corredor").distinct()
     marked = base.join(spots.withColumn("__spot", F.lit(True)), "corredor", "left")

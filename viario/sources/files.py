@@ -15,6 +15,14 @@ ROW_NUMBER = "__row_number"
 FILE = "__file"
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores for a file too small to be split into as many parts.
+
+    A large source has more parts than cores and is left as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def csv_header(spark: SparkSession, path: str, encoding: str = "UTF-8", separator: str = ",") -> list[str]:
     """Column names on the first line."""
     names = spark.read.options(header=True, sep=separator, encoding=encoding).csv(path).columns
