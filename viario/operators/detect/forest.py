@@ -147,7 +147,8 @@ def train(
         groups.select(_GROUP), _GROUP, "left_semi"
     )
     sample = materialise(sample_by_group(
-        rows, [_GROUP], F.lit(params["train_rows"]), params["seed"], [_HASH, *names], n_rows
+        rows, [_GROUP], lambda size: F.lit(params["train_rows"]), params["seed"],
+        [_HASH, *names], n_rows,
     ), "forest-sample")
     trees = F.explode(F.sequence(F.lit(0), F.lit(params["trees"] - 1))).alias("__tree")
     grow = _grower(names, params["subsample"], params["seed"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from viario.schema import row_hash
@@ -9,17 +11,20 @@ from viario.schema import row_hash
 BUCKET_ROWS = 500_000  # rows that are sorted together to settle the border of a sample
 
 
-def _from_whole_groups(df: DataFrame, keys: list[str], quota: Column, rank: Column) -> DataFrame:
+Quota = Callable[[Column], Column]
+
+
+def _from_whole_groups(df: DataFrame, keys: list[str], quota: Quota, rank: Column) -> DataFrame:
     group = Window.partitionBy(*keys)
     place = F.row_number().over(group.orderBy("__rank", *df.columns))
     ranked = df.withColumn("__rank", rank).withColumns(
-        {"n": F.count(F.lit(1)).over(group), "__place": place}
+        {"__size": F.count(F.lit(1)).over(group), "__place": place}
     )
-    return ranked.where(F.col("__place") <= quota).select(*df.columns)
+    return ranked.where(F.col("__place") <= quota(F.col("__size"))).select(*df.columns)
 
 
 def _from_buckets(
-    df: DataFrame, keys: list[str], quota: Column, rank: Column, bits: int
+    df: DataFrame, keys: list[str], quota: Quota, rank: Column, bits: int
 ) -> DataFrame:
     """The ranks are spread evenly over 64 bits. Their leading bits cut a group into
     buckets; whole buckets are taken while they fit, and only the bucket at the border
@@ -34,9 +39,9 @@ def _from_buckets(
     taken = (
         counts.withColumns({
             "__before": F.coalesce(F.sum("__n").over(so_far), F.lit(0)),
-            "n": F.sum("__n").over(Window.partitionBy(*keys)),
+            "__size": F.sum("__n").over(Window.partitionBy(*keys)),
         })
-        .withColumn("__left", quota - F.col("__before")).where(F.col("__left") > 0)
+        .withColumn("__left", quota(F.col("__size")) - F.col("__before")).where(F.col("__left") > 0)
         .select(*keys, "__bucket", "__left", "__n")
     )
     chosen = ranked.join(taken, [*keys, "__bucket"])
@@ -51,10 +56,10 @@ def _from_buckets(
 
 
 def sample_by_group(
-    df: DataFrame, keys: list[str], quota: Column, seed: int = 42,
+    df: DataFrame, keys: list[str], quota: Quota, seed: int = 42,
     row_id: list[str] | None = None, rows: int | None = None, bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """Per group as many rows as `quota` says, a column expression over the group size `n`.
+    """Per group as many rows as `quota` gives for the group size.
 
     Rows without a key are in no group."""
     grouped = df.dropna(subset=keys)
@@ -75,7 +80,7 @@ def sample_rows(
         return df
     whole = df.withColumn("__all", F.lit(0))
     return sample_by_group(
-        whole, ["__all"], F.lit(n), seed, row_id or df.columns, rows
+        whole, ["__all"], lambda size: F.lit(n), seed, row_id or df.columns, rows
     ).drop("__all")
 
 
@@ -92,5 +97,8 @@ def sample_stratified(
     key = next((c for c in ("nombre_comuna", "corredor") if c in df.columns), None)
     if key is None:
         return sample_rows(df, max_rows, seed, row_id)
-    share = F.floor(F.lit(max_rows) * F.col("n") / F.lit(rows))
-    return sample_by_group(df, [key], F.greatest(F.lit(10), share), seed, row_id, rows)
+
+    def quota(size: Column) -> Column:
+        return F.greatest(F.lit(10), F.floor(F.lit(max_rows) * size / F.lit(rows)))
+
+    return sample_by_group(df, [key], quota, seed, row_id, rows)
