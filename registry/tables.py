@@ -47,7 +47,7 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 def once(spark: SparkSession, folder: str, label: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A table that several queries start from, written to the shared folder at first use."""
     key = (spark.sparkContext.applicationId, folder, label)
-    if key not in _written or not path_exists(spark, _written[key].inputFiles()[0]):
+    if key not in _written or not all(path_exists(spark, f) for f in _written[key].inputFiles()[:1]):
         _written[key] = materialise(build(), label)
     return _written[key]
 

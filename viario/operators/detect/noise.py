@@ -84,21 +84,24 @@ def noise_points(
 def detect_noise(
     df: DataFrame, coordinates: tuple[str, ...] = COORDINATES, hour: str = "hora",
     eps: float = NOISE_EPS, min_points: int = NOISE_MIN_POINTS,
-    cell_points: int = CELL_POINTS,
+    cell_points: int = CELL_POINTS, places: DataFrame | None = None,
 ) -> DataFrame:
-    """Add dbscan_anomaly; false everywhere when too few rows have coordinates."""
+    """Add dbscan_anomaly; false everywhere when too few rows have coordinates.
+
+    `places` is a written table with the same rows, where looking at them several times
+    is cheap."""
     plain = df.withColumn("dbscan_anomaly", F.lit(False))
     if any(c not in df.columns for c in (*coordinates, hour)):
         return plain
     keys = {f"__p{i}": F.col(c).cast("double") for i, c in enumerate(coordinates)}
     keys[f"__p{len(coordinates)}"] = F.coalesce(F.col(hour).cast("double"), F.lit(0.0))
-    keyed = df.withColumns(keys)
+    keyed, source = df.withColumns(keys), (df if places is None else places).withColumns(keys)
     columns = list(keys)
     valid = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in columns])
-    n, n_valid = keyed.agg(F.count(F.lit(1)), F.count_if(valid)).first()
+    n, n_valid = source.agg(F.count(F.lit(1)), F.count_if(valid)).first()
     if n_valid < max(10, int(0.10 * n)):
         return plain
-    rows = keyed.where(valid)
+    rows = source.where(valid)
     points = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("__w")).withColumns(
         {f"z{i}": z for i, z in enumerate(standardised(rows, columns).values())}
     )

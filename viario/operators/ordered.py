@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
@@ -25,11 +26,19 @@ _ROW_BITS = 33
 
 @dataclass(frozen=True)
 class Series:
-    """Windows over one series: all rows of the key, and the rows in order."""
+    """Windows over one series: all its rows, and the rows in order. Both have the same
+    order, so that they share one sort."""
 
     rows: WindowSpec
     ordered: WindowSpec
 
+    @classmethod
+    def over(cls, partition: list[Column | str], order: list[str]) -> Series:
+        ordered = Window.partitionBy(*partition).orderBy(*order)
+        return cls(
+            ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), ordered
+        )
+
 
 def _in_ranges(df: DataFrame, order: list[Column | str], rows: int | None) -> DataFrame:
     spark = df.sparkSession
@@ -74,10 +83,13 @@ def weight_before(
     return placed.withColumn(name, F.col("__start") + inside).drop("__at", "__chunk", "__start")
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest group, not counting rows without a key."""
-    counts = df.dropna(subset=keys).groupBy(*keys).count()
-    return counts.agg(F.max("count")).first()[0] or 0
+def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """Rows of the largest group, not counting rows without a key, and of the whole table."""
+    keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    sizes = df.groupBy(*keys).count().agg(
+        F.max(F.when(keyed, F.col("count"))), F.sum("count")
+    ).first()
+    return sizes[0] or 0, sizes[1] or 0
 
 
 def over_series(
@@ -98,15 +110,15 @@ def over_series(
     `carry` also at its last value however far back. Rows without a key are their own
     series each; `compute` has to mask them.
     """
-    if largest_group(df, keys) <= group_rows:
-        alone = F.when(F.greatest(*[F.col(k).isNull() for k in keys]) if len(keys) > 1
-                       else F.col(keys[0]).isNull(), F.xxhash64(*order))
-        rows = Window.partitionBy(*keys, alone)
-        return df.withColumns(compute(Series(rows, rows.orderBy(*order))))
+    largest, total = group_sizes(df, keys)
+    if largest <= group_rows:
+        unkeyed = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+        alone = F.when(unkeyed, F.xxhash64(*order))
+        return df.withColumns(compute(Series.over([*keys, alone], order)))
 
     if block_rows <= max(before, after):
         raise ValueError("a block must be longer than the rows its windows look at")
-    numbered = number_rows(df, [*keys, *order], "__g")
+    numbered = number_rows(df, [*keys, *order], "__g", total)
     block = F.floor(F.col("__g") / F.lit(block_rows)).cast("bigint")
     inside = F.col("__g") % block_rows
     reaches = F.array_compact(F.array(
@@ -122,9 +134,8 @@ def over_series(
         blocks = blocks.unionByName(
             _carried(numbered, keys, carry, block, block_rows, before), allowMissingColumns=True
         )
-    rows = Window.partitionBy("__block", *keys)
     return (
-        blocks.withColumns(compute(Series(rows, rows.orderBy("__g"))))
+        blocks.withColumns(compute(Series.over(["__block", *keys], ["__g"])))
         .where("__own").drop("__g", "__block", "__own")
     )
 

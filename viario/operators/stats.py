@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from viario.functions.numbers import no_nan
-from viario.operators.quantiles import median, quantiles
+from viario.operators.quantiles import quantiles
 
 
 def one_row(df: DataFrame, **aggregates: Column) -> Column:
@@ -61,7 +61,8 @@ def filled_scaled_column(df: DataFrame, name: str, facts: Facts | None) -> Colum
         return F.lit(0.0)
     value = no_nan(F.col(name))
     if facts.gaps:
-        value = F.coalesce(value, median(df, name, known_distinct=facts.distinct))
+        middle = quantiles(df, name, {"q": 0.5}, known_distinct=facts.distinct).first()["q"]
+        value = F.coalesce(value, F.lit(middle))
     return min_max(value, F.lit(facts.low), F.lit(facts.high))
 
 

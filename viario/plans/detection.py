@@ -41,8 +41,8 @@ class AnomalyDetector:
                 "speed_drop_pct": F.lit(None).cast("double"),
             })
         rows = materialise(detect_iqr(rows), "detectors")
-        rows = detect_forest(rows, self.models_path, self.forest, self.row_id)
-        return add_score(detect_noise(rows))
+        scored = detect_forest(rows, self.models_path, self.forest, self.row_id)
+        return add_score(detect_noise(scored, places=rows))
 
     def run(self, df: DataFrame, max_rows: int = 0) -> dict:
         flagged = materialise(self.detect(df, max_rows), "flagged")
