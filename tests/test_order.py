@@ -90,6 +90,22 @@ def test_whole_quantiles_both_ways(skewed):
         assert quantiles(df, "v", {"q": 0.67}, distinct_values=limit).first()["q"] == pytest.approx(want)
 
 
+def test_quantiles_in_brackets(spark, monkeypatch):
+    """Many distinct values: brackets, then the same with brackets too wide for a buffer."""
+    from viario.operators import quantiles as module
+
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(0, 1, 30_000), np.full(4_000, 0.25), rng.exponential(9, 6_000)])
+    df = spark.createDataFrame(pd.DataFrame({"v": values})).repartition(7)
+    probs = {"a": 0.05, "b": 0.5, "c": 0.5003, "d": 0.97, "e": 1.0, "f": 0.0}
+    want = [np.quantile(values, p) for p in probs.values()]
+    monkeypatch.setattr(module, "FEW_VALUES", 100)
+    for limit in (500_000, 1):
+        row = quantiles(df, "v", probs, distinct_values=limit).first()
+        assert np.allclose([row[p] for p in probs], want, rtol=0, atol=1e-12)
+        assert row["n_values"] == len(values)
+
+
 def test_quantile_of_nothing(spark):
     empty = spark.createDataFrame([], "v double")
     assert spark.range(1).select(quantile(empty, "v", 0.5)).first()[0] is None

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from viario.functions.numbers import no_nan
 from viario.operators.ordered import weight_before
 
-DISTINCT_VALUES = 1_000_000  # values per group up to here fit one aggregation buffer
+DISTINCT_VALUES = 500_000  # values per group up to here fit one aggregation buffer
+FEW_VALUES = 20_000        # up to here a whole column is counted without looking for brackets
+ACCURACY = 10_000          # an approximate quantile is off by at most one in so many ranks
+MARGIN = 4 / ACCURACY      # half the width of a bracket, in ranks
 
 
 def value_counts_by_group(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
@@ -34,34 +37,74 @@ def quantiles(
 
     Values are counted first, so an aggregation buffer holds distinct values, not rows.
     Where a group has too many distinct values for one buffer, the counted values are
-    sorted by ranges and the quantile positions are looked up there. `known_distinct`
-    saves the look at the number of distinct values when a caller has it already.
+    sorted by ranges and the quantile positions are looked up there. For a whole table
+    with many values, approximate quantiles first give brackets that the exact ones lie
+    in, and values outside all brackets are counted together. `known_distinct` saves the
+    look at the number of distinct values when a caller has it already.
     """
     keys = keys or []
     limit = DISTINCT_VALUES if distinct_values is None else distinct_values
-    counted = value_counts_by_group(df, value, keys)
     most = _most_values(df, value, keys) if known_distinct is None else known_distinct
-    if most <= limit:
-        at = F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("__n"))
-        packed = counted.groupBy(*keys).agg(at.alias("__q"), F.sum("__n").alias("__rows"))
-        return packed.select(
-            *keys, *[F.col("__q")[i].alias(name) for i, name in enumerate(probs)],
-            F.coalesce("__rows", F.lit(0).cast("bigint")).alias("n_values"),
-        )
-    return _by_position(counted, probs, keys)
+    if not keys and FEW_VALUES < most and limit > 0:
+        return _in_brackets(df, value, probs, limit)
+    counted = value_counts_by_group(df, value, keys)
+    if most > limit:
+        return _by_position(counted, probs, keys)
+    return _by_window(counted, probs, keys) if keys else _from_buffer(counted, probs)
+
+
+def _from_buffer(counted: DataFrame, probs: dict[str, float]) -> DataFrame:
+    at = F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("__n"))
+    packed = counted.agg(at.alias("__q"), F.sum("__n").alias("__rows"))
+    return packed.select(
+        *[F.col("__q")[i].alias(name) for i, name in enumerate(probs)],
+        F.coalesce("__rows", F.lit(0).cast("bigint")).alias("n_values"),
+    )
+
+
+def _by_window(counted: DataFrame, probs: dict[str, float], keys: list[str]) -> DataFrame:
+    """Positions within a group by a window; a group has at most DISTINCT_VALUES rows here."""
+    order = Window.partitionBy(*keys).orderBy("__v")
+    placed = counted.withColumns({
+        "__first": F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n"),
+        "__rows": F.sum("__n").over(
+            order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+    })
+    return _pick(placed, probs, keys)
+
+
+def _in_brackets(df: DataFrame, value: str, probs: dict[str, float], limit: int) -> DataFrame:
+    v = no_nan(F.col(value))
+    ends = [min(1.0, max(0.0, p + d)) for p in sorted(probs.values()) for d in (-MARGIN, MARGIN)]
+    n, at = df.agg(F.count(v), F.percentile_approx(v, ends, ACCURACY)).first()
+    if n * 2 * MARGIN * len(probs) > limit:
+        return _by_position(value_counts_by_group(df, value, []), probs, [])
+    # Moving the values between two brackets to the next one keeps the order of all values
+    # and the values inside the brackets, so the quantiles stay the same.
+    brackets = list(zip(at[::2], at[1::2]))
+    snapped = F.when(v.isNull(), v)
+    for low, high in brackets:
+        snapped = snapped.when(v < low, F.lit(low)).when(v <= high, v)
+    moved = df.select(snapped.otherwise(F.lit(brackets[-1][1])).alias(value))
+    return _from_buffer(value_counts_by_group(moved, value, []), probs)
 
 
 def _by_position(counted: DataFrame, probs: dict[str, float], keys: list[str]) -> DataFrame:
     placed = weight_before(counted, [*keys, "__v"], "__n", "__before")
-    groups = placed.groupBy(*keys).agg(
-        F.min("__before").alias("__base"), F.sum("__n").alias("__rows")
-    )
     if keys:
+        groups = placed.groupBy(*keys).agg(
+            F.min("__before").alias("__base"), F.sum("__n").alias("__rows")
+        )
         joined = placed.join(groups, keys)
     else:
         total = counted.agg(F.sum("__n")).scalar()
         joined = placed.withColumns({"__base": F.lit(0), "__rows": total})
-    first = F.col("__before") - F.col("__base")
+    return _pick(joined.withColumn("__first", F.col("__before") - F.col("__base")), probs, keys)
+
+
+def _pick(placed: DataFrame, probs: dict[str, float], keys: list[str]) -> DataFrame:
+    """Quantiles out of counted values that know their first position and the group's rows."""
+    first = F.col("__first")
     last = first + F.col("__n") - 1
 
     def value_at(position: Column) -> Column:
@@ -77,7 +120,7 @@ def _by_position(counted: DataFrame, probs: dict[str, float], keys: list[str]) -
         part = position - F.floor(position)
         low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
         result.append(F.when(low == high, low).otherwise(low * (1 - part) + high * part).alias(name))
-    found = joined.groupBy(*keys, "__rows").agg(*ends)
+    found = placed.groupBy(*keys, "__rows").agg(*ends)
     return found.select(*keys, *result, F.col("__rows").alias("n_values"))
 
 
