@@ -304,10 +304,12 @@ DAYS = ["Lun", "Mar", "Mié", "Jue", "Vie", "Sáb", "Dom"]
 
 
 @query("flow_by_hour_and_day", from_master("SELECT hora, " + ", ".join(
-    f"round(coalesce(avg(intensidad) FILTER (dia_num = {i}), 0), 3) AS \"{d}\"" for i, d in enumerate(DAYS, 1))
-    + " FROM master GROUP BY hora"))
+    f"round(coalesce(avg(CAST(round(intensidad * 100) AS BIGINT)) FILTER (dia_num = {i}), 0), 4) AS \"{d}\""
+    for i, d in enumerate(DAYS, 1)) + " FROM master GROUP BY hora"))
 def flow_by_hour_and_day(spark, sf):
-    return rounded(pivots.flow_by_hour_and_day(master(spark, sf)), 3)
+    """In whole hundredths, whose sums are exact: means of few rows often end in a 5."""
+    whole = F.round(F.col("intensidad") * 100).cast("bigint")
+    return rounded(pivots.flow_by_hour_and_day(master(spark, sf).withColumn("intensidad", whole)))
 
 
 @query("overview", from_master("""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from registry.tables import MEASUREMENTS_SQL, measurements, query, rounded, table
 from viario.functions import dates, numbers, text
 from viario.operators import cleaning, features, stats
+from viario.plans import reports
 from viario.plans.datasets import passenger_columns
 from viario.sources.files import spread
 
@@ -169,10 +170,11 @@ def blank_to_null(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", text.blank_to_null(mixed).alias("valor"))
 
 
-@query("area_key", """SELECT doc_id, md5(trim(regexp_replace(replace(replace(replace(replace(lower(strip_accents(
-  replace(replace(replace(regexp_replace(left(text, 0) || text, '[–—]', '-', 'g'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'))),
-  '-', ' '), chr(160), ' '), '’', ''''), '‘', ''''), '\\s+', ' ', 'g'))) AS huella FROM documents
-  WHERE regexp_full_match(strip_accents(replace(replace(replace(regexp_replace(text, '[–—]', '-', 'g'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe')), '[\\x00-\\x7F]*')""")
+@query("area_key", r"""
+WITH spelled AS (SELECT doc_id, strip_accents(replace(replace(replace(
+    regexp_replace(text, '[–—]', '-', 'g'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe')) AS t FROM documents)
+SELECT doc_id, md5(trim(regexp_replace(replace(lower(t), '-', ' '), '\s+', ' ', 'g'))) AS huella
+FROM spelled WHERE regexp_full_match(t, '[\x00-\x7F]*')""")
 def area_key(spark, sf):
     plain = F.translate("text", "–—", "--")
     spelled = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])),
@@ -199,9 +201,8 @@ def commune_code(spark, sf):
         text.commune_code(F.col("o_custkey")).alias("cliente"))
 
 
-@query("safe_name", """SELECT o_orderkey, regexp_replace(replace(replace('Vía ' || o_orderpriority || '/' || o_orderstatus, 'í', 'i'),
-  ' ', '_'), '[^A-Za-z0-9_]', '', 'g') AS nombre_x FROM (SELECT * REPLACE (replace(o_orderpriority, '/', '_') AS o_orderpriority) FROM orders)
-""".replace("nombre_x", "nombre").replace("'/' ||", "'_' ||"))
+@query("safe_name", """SELECT o_orderkey, regexp_replace(replace('Via_' || replace(o_orderpriority, '/', '_') || '_' || o_orderstatus,
+  ' ', '_'), '[^A-Za-z0-9_]', '', 'g') AS nombre FROM orders""")
 def safe_name(spark, sf):
     label = F.concat(F.lit("Vía "), "o_orderpriority", F.lit("/"), "o_orderstatus")
     return table(spark, sf, "orders").select("o_orderkey", text.safe_name(label).alias("nombre"))
@@ -329,7 +330,7 @@ def day_labels(spark, sf):
 @query("passenger_trend", """SELECT date_trunc('month', o_orderdate) AS fecha_periodo, round(sum(o_totalprice), 2) AS total_pax,
   date_trunc('month', o_orderdate) >= TIMESTAMP '2020-03-01' AS pandemia FROM orders GROUP BY ALL""")
 def passenger_trend(spark, sf):
-    return rounded(_trend(spark, sf), 2)
+    return rounded(reports.passenger_trend(_passengers(spark, sf)), 2)
 
 
 def _passengers(spark, sf):
@@ -338,23 +339,17 @@ def _passengers(spark, sf):
         F.col("o_totalprice").alias("total_pax"))
 
 
-def _trend(spark, sf):
-    from viario.plans.reports import passenger_trend as trend
-    return trend(_passengers(spark, sf))
-
-
 @query("passenger_peak", """SELECT date_trunc('month', o_orderdate) AS fecha_periodo, round(sum(o_totalprice), 2) AS total_pax
 FROM orders GROUP BY ALL ORDER BY sum(o_totalprice) DESC LIMIT 1""")
 def passenger_peak(spark, sf):
-    from viario.plans.reports import passenger_peak as peak
-    return rounded(peak(_passengers(spark, sf)), 2)
+    return rounded(reports.passenger_peak(_passengers(spark, sf)), 2)
 
 
 @query("bike_lanes_by_state", """SELECT o_orderstatus AS estado, count(*) AS n_tramos,
   round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS pct FROM orders GROUP BY o_orderstatus""")
 def bike_lanes_by_state(spark, sf):
-    from viario.plans.reports import bike_lanes_by_state as by_state
-    return rounded(by_state(table(spark, sf, "orders").withColumnRenamed("o_orderstatus", "estado")))
+    lanes = table(spark, sf, "orders").withColumnRenamed("o_orderstatus", "estado")
+    return rounded(reports.bike_lanes_by_state(lanes))
 
 
 @query("capacity_by_name", f"""WITH {MEASUREMENTS_SQL}, n AS (SELECT CASE WHEN hora < 8 THEN 'Avenida Regional '

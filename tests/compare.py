@@ -21,6 +21,10 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def _cell(value):
     if isinstance(value, float):
         return None if math.isnan(value) else value + 0.0
@@ -36,9 +40,8 @@ def rows(columns: list[str], values) -> list[tuple]:
     return sorted((tuple(_cell(r[i]) for i in order) for r in values), key=repr)
 
 
-def differences(spark, con, folder: str, function, sql: str) -> str | None:
+def differences(df, con, sql: str) -> str | None:
     """None when columns, row count and values agree."""
-    df = function(spark, folder)
     got = rows(df.columns, df.collect())
     result = con.execute(sql)
     names = [d[0] for d in result.description]
@@ -70,7 +73,7 @@ def main(names: list[str]) -> None:
         start = time.time()
         try:
             if name in sql:
-                answer = differences(spark, con, folder, function, sql[name]) or "ok"
+                answer = differences(function(spark, folder), con, sql[name]) or "ok"
             else:
                 answer = f"rows {function(spark, folder).count()} (no SQL)"
         except Exception as error:

@@ -51,6 +51,13 @@ def to_bool(c: Column) -> Column:
     return F.coalesce(F.lower(F.trim(c.cast("string"))).isin(TRUE_WORDS), F.lit(False))
 
 
+def flag(df: DataFrame, name: str) -> Column:
+    """A boolean column as it is, a text column by its words of truth; missing is false."""
+    if isinstance(df.schema[name].dataType, T.BooleanType):
+        return F.coalesce(F.col(name), F.lit(False))
+    return to_bool(F.col(name))
+
+
 def restore_booleans(df: DataFrame, names: list[str]) -> DataFrame:
     """Text flags back to booleans; a column with no known word stays as it is."""
     texts = [n for n in names if n in df.columns

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from viario.config import IQR_FACTOR, IQR_MIN_ROWS
-from viario.functions.numbers import no_nan, to_bool
+from viario.functions.numbers import flag, no_nan
 from viario.operators.quantiles import quantiles
 
 GROUP = ("corredor", "franja_horaria", "es_fin_semana")
@@ -20,7 +20,7 @@ def detect_iqr(
     if value not in df.columns or not keys:
         return df.withColumn("iqr_anomaly", F.lit(False))
     as_key = {
-        f"__k{i}": to_bool(F.col(c)) if c == "es_fin_semana" else F.col(c)
+        f"__k{i}": flag(df, c) if c == "es_fin_semana" else F.col(c)
         for i, c in enumerate(keys)
     }
     keyed = df.withColumns(as_key)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from viario import config as fixed
-from viario.functions.numbers import to_bool
+from viario.functions.numbers import flag
 from viario.operators.features import severity
 from viario.operators.pivots import severity_by_hour
 from viario.operators.ranking import top_rows
@@ -16,13 +16,13 @@ from viario.operators.ranking import top_rows
 def add_score(df: DataFrame) -> DataFrame:
     """Add anomaly_score (0..100, more in peak hours and on weekdays) and severity_level."""
     base = reduce(lambda a, b: a + b, [
-        F.col(flag).cast("int") * weight for flag, weight in fixed.DETECTOR_WEIGHTS.items()
+        F.col(name).cast("int") * weight for name, weight in fixed.DETECTOR_WEIGHTS.items()
     ]).cast("double")
     factor = F.lit(1.0)
     if "es_hora_pico" in df.columns:
-        factor *= F.when(to_bool(F.col("es_hora_pico")), fixed.PEAK_FACTOR).otherwise(1.0)
+        factor *= F.when(flag(df, "es_hora_pico"), fixed.PEAK_FACTOR).otherwise(1.0)
     if "es_fin_semana" in df.columns:
-        factor *= F.when(to_bool(F.col("es_fin_semana")), 1.0).otherwise(fixed.WEEKDAY_FACTOR)
+        factor *= F.when(flag(df, "es_fin_semana"), 1.0).otherwise(fixed.WEEKDAY_FACTOR)
     score = F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), base * factor)), 2)
     return df.withColumn("anomaly_score", score).withColumn(
         "severity_level", severity(F.col("anomaly_score"))
@@ -56,8 +56,8 @@ def summary_counts(df: DataFrame) -> DataFrame:
     total, found = F.count(F.lit(1)), F.count_if(is_anomaly)
     levels = {f"nivel_{i}": F.count_if(F.col("severity_level") == name)
               for i, name in enumerate(fixed.SEVERITY_LEVELS)}
-    flags = {f"n_{name}": F.count_if(F.col(flag))
-             for name, flag in fixed.DETECTOR_COLUMNS.items()}
+    flags = {f"n_{name}": F.count_if(F.col(column))
+             for name, column in fixed.DETECTOR_COLUMNS.items()}
     share = F.bround(F.lit(100.0) * found / F.greatest(total, F.lit(1)), 2)
     return df.agg(
         found.alias("total_anomalias"), total.alias("total_registros"),

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from viario import config as fixed
-from viario.functions.numbers import number, to_bool
+from viario.functions.numbers import flag, number
 from viario.operators.quantiles import several_quantiles
 from viario.schema import has
 
@@ -62,11 +62,11 @@ def flow_range(df: DataFrame) -> DataFrame:
 
 
 def weekdays(df: DataFrame) -> DataFrame:
-    return df.where(~to_bool(F.col("es_fin_semana"))) if has(df, "es_fin_semana") else df
+    return df.where(~flag(df, "es_fin_semana")) if has(df, "es_fin_semana") else df
 
 
 def peak_hours(df: DataFrame) -> DataFrame:
-    return df.where(to_bool(F.col("es_hora_pico"))) if has(df, "es_hora_pico") else df
+    return df.where(flag(df, "es_hora_pico")) if has(df, "es_hora_pico") else df
 
 
 def apply_filters(

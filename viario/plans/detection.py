@@ -7,7 +7,7 @@ import posixpath
 from pyspark.sql import DataFrame, functions as F
 
 from viario.config import DETECTOR_COLUMNS, FOREST
-from viario.functions.numbers import to_bool
+from viario.functions.numbers import flag
 from viario.operators.detect.fence import detect_iqr
 from viario.operators.detect.forest import detect_forest
 from viario.operators.detect.noise import detect_noise
@@ -56,7 +56,7 @@ def detector_breakdown(anomalies: DataFrame) -> DataFrame:
     present = {n: c for n, c in DETECTOR_COLUMNS.items() if c in anomalies.columns}
     counts = anomalies.agg(
         F.count(F.lit(1)).alias("__all"),
-        *[F.count_if(to_bool(F.col(c))).alias(c) for c in present.values()],
+        *[F.count_if(flag(anomalies, c)).alias(c) for c in present.values()],
     )
     rows = F.array(*[F.struct(F.lit(n).alias("detector"), F.col(c).alias("n")) for n, c in present.items()])
     return counts.select("__all", F.inline(rows)).select(

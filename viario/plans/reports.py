@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from viario import config as fixed
 from viario.functions.dates import day_label, with_hour
-from viario.functions.numbers import to_bool
+from viario.functions.numbers import flag
 from viario.functions.text import commune_code
 from viario.operators import features, ranking, stats
 from viario.operators.pivots import count_pivot
@@ -35,8 +35,8 @@ def indexed_rows() -> Column:
     return F.count("icv").alias("n_registros")
 
 
-def peak_share(alias: str = "pct_hora_pico") -> Column:
-    return (F.avg(to_bool(F.col("es_hora_pico")).cast("int")) * 100).alias(alias)
+def peak_share(df: DataFrame, alias: str = "pct_hora_pico") -> Column:
+    return (F.avg(flag(df, "es_hora_pico").cast("int")) * 100).alias(alias)
 
 
 def group_means(df: DataFrame, key: str, *aggregates: Column) -> DataFrame:
@@ -45,7 +45,7 @@ def group_means(df: DataFrame, key: str, *aggregates: Column) -> DataFrame:
 
 def overview(df: DataFrame) -> DataFrame:
     """One row: rows, date range, distinct corridors and communes, weekday and peak shares."""
-    weekend, peak = to_bool(F.col("es_fin_semana")), to_bool(F.col("es_hora_pico"))
+    weekend, peak = flag(df, "es_fin_semana"), flag(df, "es_hora_pico")
     total = F.count(F.lit(1))
     return df.agg(
         total.alias("n_total"), F.min("fecha_trafico").alias("fecha_min"),
@@ -86,7 +86,7 @@ def corridor_profile(df: DataFrame, *more: Column) -> DataFrame:
     """Weekday measures per corridor."""
     return group_means(
         features.weekdays(df), "corredor", icv(), F.max("icv").alias("icv_maximo"), speed(), flow(),
-        mean("ocupacion", "ocupacion_media"), indexed_rows(), peak_share(), *more,
+        mean("ocupacion", "ocupacion_media"), indexed_rows(), peak_share(df), *more,
     )
 
 
@@ -118,7 +118,7 @@ def hotspot_places(df: DataFrame, config: dict, n: int = 20) -> DataFrame:
     """(corridor, commune) pairs with the most hotspot rows."""
     pairs = ranking.hotspots(df, config).dropna(subset=["corredor", "nombre_comuna"]).groupBy(
         "corredor", "nombre_comuna"
-    ).agg(F.count("icv").alias("n_eventos"), speed(), flow(), icv(), peak_share("hora_pico_pct"))
+    ).agg(F.count("icv").alias("n_eventos"), speed(), flow(), icv(), peak_share(df, "hora_pico_pct"))
     return ranked_top(pairs, n, "n_eventos", "corredor", "nombre_comuna")
 
 

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_tables: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: the checkpoint folder that the cluster names."""
@@ -30,9 +32,20 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this program, once no result is needed any more."""
+    for path in _tables:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    count = len(_tables)
+    _tables.clear()
+    return count
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
