@@ -122,7 +122,9 @@ _cell_rule("strip_text", text.strip, strip_sql("citado"), "citado")
 _cell_rule("unwrap_quotes", text.unwrap_quotes, unwrap_sql("citado"), "citado")
 
 
-@query("removed_characters")
+@query("removed_characters", f"""WITH {DIRTY_SQL}, {_steps_sql('sucio')},
+gone AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split(original, ''), lambda ch: NOT contains(cleaned, ch)))) AS ch FROM cleaned)
+SELECT printf('U+%04X', unicode(ch)) AS codigo, count(*) AS n FROM gone WHERE ch <> '' GROUP BY codigo""")
 def removed_characters(spark, sf):
     df = dirty(spark, sf)
     gone = text.removed_characters(F.col("sucio"), text.clean_text(F.col("sucio")))
@@ -133,22 +135,27 @@ def _two_texts(spark, sf):
     return dirty(spark, sf).select("doc_id", "sucio", "citado", "limpio")
 
 
-@query("change_log", f"""WITH {DIRTY_SQL},
-both_columns AS (SELECT doc_id, 'sucio' AS columna, sucio AS v FROM dirty UNION ALL
+LOG_SQL = f"""WITH {DIRTY_SQL},
+all_cells AS (SELECT doc_id, 'sucio' AS columna, sucio AS v FROM dirty UNION ALL
   SELECT doc_id, 'citado', citado FROM dirty UNION ALL SELECT doc_id, 'limpio', limpio FROM dirty),
-s0 AS (SELECT doc_id, columna, v AS original, {repair_sql('v', False)} AS t FROM both_columns),
+s0 AS (SELECT doc_id, columna, v AS original, {repair_sql('v', False)} AS t FROM all_cells),
 s1 AS (SELECT doc_id, columna, original, regexp_replace(regexp_replace(regexp_replace(t, '[\\x{{FFFD}}-\\x{{FFFF}}]', '', 'g'),
   '{CONTROL}', '', 'g'), '{FOREIGN}', '', 'g') AS t FROM s0),
 s2 AS (SELECT doc_id, columna, original, regexp_replace({unwrap_sql('t')}, ' {{2,}}', ' ', 'g') AS t FROM s1),
-s3 AS (SELECT doc_id, columna, original, {strip_sql('t')} AS cleaned FROM s2)
-SELECT 'documents' AS archivo, doc_id + 2 AS fila, columna, md5(original) AS valor_original, md5(cleaned) AS valor_limpio
-FROM s3 WHERE cleaned <> original""")
+s3 AS (SELECT doc_id, columna, original, {strip_sql('t')} AS cleaned FROM s2),
+log AS (SELECT 'documents' AS archivo, doc_id + 2 AS fila, columna, md5(original) AS valor_original,
+  md5(cleaned) AS valor_limpio FROM s3 WHERE cleaned <> original)"""
+
+
+@query("change_log", LOG_SQL + " SELECT * FROM log")
 def change_log(spark, sf):
     log = cleaning.change_log(_two_texts(spark, sf), ["sucio", "citado", "limpio"], "documents", "doc_id")
     return log.withColumns({c: F.md5(F.col(c).cast("binary")) for c in ("valor_original", "valor_limpio")})
 
 
-@query("cleaning_totals")
+@query("cleaning_totals", LOG_SQL + """,
+t AS (SELECT count(*) AS celdas_modificadas, string_agg(DISTINCT columna, ',' ORDER BY columna) AS columnas_limpias FROM log)
+SELECT 'documents' AS archivo, * FROM t UNION ALL SELECT NULL, * FROM t""")
 def cleaning_totals(spark, sf):
     log = cleaning.change_log(_two_texts(spark, sf), ["sucio", "citado", "limpio"], "documents", "doc_id")
     return cleaning.cleaning_totals(log).withColumn("columnas_limpias", F.concat_ws(",", "columnas_limpias"))

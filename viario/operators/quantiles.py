@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from viario.functions.numbers import no_nan
 from viario.operators.ordered import weight_before
 
-DISTINCT_VALUES = 500_000  # values per group up to here fit one aggregation buffer
-FEW_VALUES = 20_000        # up to here a whole column is counted without looking for brackets
-ACCURACY = 10_000          # an approximate quantile is off by at most one in so many ranks
-MARGIN = 4 / ACCURACY      # half the width of a bracket, in ranks
+DISTINCT_VALUES = 500_000   # values per group up to here fit one aggregation buffer
+FEW_VALUES = 20_000         # up to here a whole column is counted without looking for brackets
+BROADCAST_GROUPS = 200_000  # groups up to here are sent to all tasks with their positions
+ACCURACY = 10_000           # an approximate quantile is off by at most one in so many ranks
+MARGIN = 4 / ACCURACY       # half the width of a bracket, in ranks
 
 
 def value_counts_by_group(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
@@ -95,7 +96,8 @@ def _by_position(counted: DataFrame, probs: dict[str, float], keys: list[str]) -
         groups = placed.groupBy(*keys).agg(
             F.min("__before").alias("__base"), F.sum("__n").alias("__rows")
         )
-        joined = placed.join(groups, keys)
+        few = groups.count() <= BROADCAST_GROUPS
+        joined = placed.join(F.broadcast(groups) if few else groups, keys)
     else:
         total = counted.agg(F.sum("__n")).scalar()
         joined = placed.withColumns({"__base": F.lit(0), "__rows": total})

@@ -158,13 +158,13 @@ def histogram(df: DataFrame, value: str, bins: int = 60) -> DataFrame:
 
 
 def mode_by_group(df: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
-    """Most frequent value per group, the smallest on ties. Counting first keeps a group
-    from being gathered as a whole."""
+    """Most frequent value per group, the smallest on ties. Values are counted first, so a
+    group is never gathered as a whole."""
     counts = df.dropna(subset=[*keys, value]).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("__n")
     )
-    most = counts.groupBy(*keys).agg(F.max("__n").alias("__n"))
-    return counts.join(most, [*keys, "__n"]).groupBy(*keys).agg(F.min(value).alias(name))
+    best = F.min(F.struct((-F.col("__n")).alias("rarity"), F.col(value).alias("value")))
+    return counts.groupBy(*keys).agg(best["value"].alias(name))
 
 
 def share_of_total(df: DataFrame, count: str, name: str, percent: bool = True) -> DataFrame:

@@ -22,19 +22,24 @@ class AnomalyDetector:
     """Runs all detectors on a master table and delivers the summaries.
 
     `max_rows` asks for a stratified sample first; 0, the default, looks at every row.
+    `row_id` names columns that tell rows of one instant apart, `sizes` sets group_rows and
+    block_rows of the windows.
     """
 
-    def __init__(self, config: dict, row_id: list[str] | None = None, forest: dict | None = None):
+    def __init__(
+        self, config: dict, row_id: list[str] | None = None, forest: dict | None = None,
+        sizes: dict | None = None,
+    ):
         processed = config["paths"].get("processed")
         self.models_path = processed and posixpath.join(str(processed), "models")
         self.anomalies_path = processed and posixpath.join(str(processed), "anomalies")
-        self.row_id, self.forest = row_id, forest or FOREST
+        self.row_id, self.forest, self.sizes = row_id, forest or FOREST, sizes
 
     def detect(self, df: DataFrame, max_rows: int = 0) -> DataFrame:
         """The table with the nine result columns."""
         rows = sample_stratified(df, max_rows, row_id=self.row_id)
         if "corredor" in df.columns:
-            rows = detect_along_series(rows, row_id=self.row_id)
+            rows = detect_along_series(rows, row_id=self.row_id, sizes=self.sizes)
         else:
             rows = rows.withColumns({
                 "z_score_anomaly": F.lit(False), "speed_drop_anomaly": F.lit(False),
