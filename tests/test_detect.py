@@ -183,7 +183,7 @@ def test_tree_paths():
     x = rng.normal(size=(256, 3))
     x[0] = 40.0
     nodes = pd.concat([forest.grow_tree(x, np.random.default_rng(i)).assign(tree=i) for i in range(50)])
-    scores = forest.Trees(nodes, 256).scores(x)
+    scores = forest.tree_scores(forest.pack_trees(nodes, 256), x)
     assert scores.argmin() == 0 and scores.min() < -0.7
     assert forest.expected_path(2) == 1.0 and forest.expected_path(1) == 0.0
     assert forest.expected_path(256) == pytest.approx(10.2448, abs=1e-3)

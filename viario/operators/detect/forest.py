@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import sys
 from collections.abc import Iterator
 from functools import reduce
 from typing import Any
@@ -16,6 +17,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from py4j.protocol import Py4JJavaError
+from pyspark import cloudpickle
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -34,6 +36,9 @@ SALT_ROWS = 200_000          # rows of a group scored in one task when nodes are
 NODES = "grp string, tree int, node int, feature int, threshold double, lo int, hi int, path double"
 _GROUP, _HASH, _SALT = "__grp", "__hash", "__salt"
 
+# The code of this module travels with the tasks, so that workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def expected_path(n: np.ndarray | int) -> np.ndarray:
     """Mean depth of an unsuccessful search in a binary search tree of n values."""
@@ -64,32 +69,32 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=["node", "feature", "threshold", "lo", "hi", "path"])
 
 
-class Trees:
-    """All trees of one group as arrays."""
-
-    def __init__(self, nodes: pd.DataFrame, subsample: int):
-        shape = (nodes["tree"].max() + 1, nodes["node"].max() + 1)
-        at = (nodes["tree"].to_numpy(), nodes["node"].to_numpy())
-        self.arrays = {}
-        for name, kind in (("feature", np.int32), ("threshold", float), ("lo", np.int32),
-                           ("hi", np.int32), ("path", float)):
-            table = np.zeros(shape, dtype=kind)
-            table[at] = nodes[name].to_numpy()
-            self.arrays[name] = table
-        self.depth = math.ceil(math.log2(max(subsample, 2)))
-        self.norm = float(expected_path(subsample)) or 1.0
-
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        """The more negative, the easier a row is to isolate."""
-        trees = np.arange(len(self.arrays["feature"]))[None, :]
-        rows = np.arange(len(x))[:, None]
-        at = np.zeros((len(x), trees.shape[1]), dtype=np.int32)
-        for _ in range(self.depth):
-            feature = self.arrays["feature"][trees, at]
-            left = x[rows, np.maximum(feature, 0)] <= self.arrays["threshold"][trees, at]
-            step = np.where(left, self.arrays["lo"][trees, at], self.arrays["hi"][trees, at])
-            at = np.where(feature < 0, at, step)
-        return -np.exp2(-self.arrays["path"][trees, at].mean(axis=1) / self.norm)
+def pack_trees(nodes: pd.DataFrame, subsample: int) -> dict:
+    """All trees of one group as plain arrays."""
+    shape = (nodes["tree"].max() + 1, nodes["node"].max() + 1)
+    at = (nodes["tree"].to_numpy(), nodes["node"].to_numpy())
+    packed = {
+        "depth": math.ceil(math.log2(max(subsample, 2))),
+        "norm": float(expected_path(subsample)) or 1.0,
+    }
+    for name, kind in (("feature", np.int32), ("threshold", float), ("lo", np.int32),
+                       ("hi", np.int32), ("path", float)):
+        packed[name] = np.zeros(shape, dtype=kind)
+        packed[name][at] = nodes[name].to_numpy()
+    return packed
+
+
+def tree_scores(packed: dict, x: np.ndarray) -> np.ndarray:
+    """The more negative, the easier a row is to isolate. All trees are followed at once."""
+    trees = np.arange(len(packed["feature"]))[None, :]
+    rows = np.arange(len(x))[:, None]
+    at = np.zeros((len(x), trees.shape[1]), dtype=np.int32)
+    for _ in range(packed["depth"]):
+        feature = packed["feature"][trees, at]
+        left = x[rows, np.maximum(feature, 0)] <= packed["threshold"][trees, at]
+        step = np.where(left, packed["lo"][trees, at], packed["hi"][trees, at])
+        at = np.where(feature < 0, at, step)
+    return -np.exp2(-packed["path"][trees, at].mean(axis=1) / packed["norm"])
 
 
 def _grower(features: list[str], subsample: int, seed: int):
@@ -170,7 +175,7 @@ def score(prepared: DataFrame, nodes: DataFrame, n_features: int, keep: list[str
 
 def _score_by_broadcast(prepared, nodes, names, keep) -> DataFrame:
     table = nodes.toPandas()  # at most BROADCAST_NODES rows, counted before
-    model = {g: Trees(t, int(t["subsample"].iloc[0])) for g, t in table.groupby("grp")}
+    model = {g: pack_trees(t, int(t["subsample"].iloc[0])) for g, t in table.groupby("grp")}
     shared = prepared.sparkSession.sparkContext.broadcast(model)
 
     def follow(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -179,7 +184,7 @@ def _score_by_broadcast(prepared, nodes, names, keep) -> DataFrame:
             out = np.full(len(group), np.nan)
             for name, rows in group.groupby(group).indices.items():
                 if name in shared.value:
-                    out[rows] = shared.value[name].scores(x[rows])
+                    out[rows] = tree_scores(shared.value[name], x[rows])
             yield pd.Series(out)
 
     udf = F.pandas_udf(follow, "double")
@@ -202,8 +207,8 @@ def _score_by_salt(prepared, nodes, names, keep, salt_rows) -> DataFrame:
         out = data.drop(columns=[*names, _SALT])
         out["__score"] = np.nan
         if len(data) and len(trees):
-            model = Trees(trees, int(trees["subsample"].iloc[0]))
-            out["__score"] = model.scores(data[names].to_numpy(dtype=float))
+            packed = pack_trees(trees, int(trees["subsample"].iloc[0]))
+            out["__score"] = tree_scores(packed, data[names].to_numpy(dtype=float))
         return out
 
     kept = rows.drop(*names, _SALT).withColumn("__score", F.lit(None).cast("double"))
