@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from viario.llm.words import Tokeniser, grams
+from viario.llm.words import Tokeniser, grams, kept
 from viario.storage import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -162,7 +162,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, text: str = "
     are joined block by block, with the documents written in between, so that what is sent to
     the executors stays bounded; the result is the same.
     """
-    keep = [c for c in documents.columns if c != text] if keep is None else keep
+    keep = kept(documents, keep, text, ("n_words", "n_hit", "items", "spans"))
     windows = materialise(item_windows(benchmark, item_id, item_text, size), "item-windows")
     total = windows.count()
     n_blocks = max(1, -(-total // block_windows))

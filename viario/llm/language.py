@@ -18,6 +18,8 @@ import zstandard
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
+from viario.llm.words import kept
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 UNKNOWN = "und"
@@ -98,7 +100,7 @@ def identify(documents: DataFrame, dictionaries: dict[str, bytes], text: str = "
     language by name, margin 0, rejected. Only the text column decides.
     """
     names = list(dictionaries)
-    keep = [c for c in documents.columns if c != text] if keep is None else keep
+    keep = kept(documents, keep, text, ("lang_pred", "score", "margin", "rejected"))
     rows = documents.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text"),
                             F.coalesce(F.col(text).rlike(_LETTER), F.lit(False)).alias("__letters"))
     schema = rows.drop("__text", "__letters").schema

@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
+
+from viario.llm.chat import format_conversations, masked_text, read_turns
 from viario.llm.decontaminate import find_contamination
 from viario.llm.language import identify, learn_dictionaries
+from viario.llm.packing import copy_cluster, pack, word_count
+from viario.llm.simhash import near_duplicates
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,3 +86,64 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents").select("doc_id", "text", "lang", (fold(4) == 2).alias("held_out"))
     dictionaries = learn_dictionaries(rows.where(F.coalesce(~F.col("held_out"), F.lit(False))))
     return identify(rows, dictionaries, keep=["doc_id", "held_out"])
+
+
+@query("op1_pack")
+def op1_pack(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").select(
+        "doc_id", word_count(F.col("text")).alias("length"), "source", copy_cluster(F.col("text")).alias("cluster"))
+    return pack(rows, keep=["doc_id"])
+
+
+@query("op4_simhash")
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    rows = near_duplicates(table(spark, folder, "documents"))
+    digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
+    return rows.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+CHAT_SQL = r"""
+WITH all_turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+escaped AS (
+  SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') AS body,
+    replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\:') AS head
+  FROM all_turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(4 + length(head) + 2 + length(body) + 8) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id"""
+
+
+@query("op8_chat", CHAT_SQL)
+def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
+    columns = ["conv_id", "turn", "role", "text"]
+    said = F.lit("\\### Assistant: </turn> ok")
+    odd = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    rows = table(spark, folder, "conversations").select(columns).union(odd)
+    with open(TOKENIZER, encoding="utf-8") as file:
+        made = format_conversations(rows, file.read())
+    schema = made.select("conv_id", "n_turns").schema.add("turns_sha256", "string").add("loss_chars", "long").add(
+        "loss_sha256", "string").add("formatted_chars", "long")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                turns = read_turns(row["formatted"])
+                spans = [(s["start"], s["stop"]) for s in row["spans"]]
+                loss = masked_text(row["formatted"], spans, row["token_starts"], row["token_stops"], row["loss_mask"])
+                said = "".join(f"{who}\n{text}\n" for who, text in turns)
+                out.append((row["conv_id"], len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss),
+                            hashlib.sha256(loss.encode()).hexdigest(), len(row["formatted"])))
+            names = [f.name for f in schema.fields]
+            kinds = [batch.schema.field("conv_id").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names)
+
+    return made.mapInArrow(digest, schema)

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 
 # The code travels with the tasks, so that workers need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -61,6 +62,11 @@ def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0]:at[-1]], at - at[0]
 
 
+def kept(documents: DataFrame, keep: list[str] | None, but: str, made: tuple[str, ...]) -> list[str]:
+    """The columns to keep: those named, or all but one; a column with the name of a result gives way to it."""
+    return [c for c in (documents.columns if keep is None else keep) if c not in made and (keep is not None or c != but)]
+
+
 class Words:
     """Words of some texts: start and end in `data`, `hash`, and `first`, the number of each text's first word."""
 
