@@ -18,6 +18,7 @@ from viario.llm.decontaminate import find_contamination
 from viario.llm.language import identify, learn_dictionaries
 from viario.llm.packing import copy_cluster, pack, word_count
 from viario.llm.simhash import near_duplicates
+from viario.llm.substrings import remove_repeated
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -147,3 +148,11 @@ def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
                 [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names)
 
     return made.mapInArrow(digest, schema)
+
+
+@query("op9_substrings")
+def op9_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    rows = remove_repeated(table(spark, folder, "documents").select("doc_id", "text"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    kept = F.coalesce("kept_text", F.array_join(words, " "))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
