@@ -17,6 +17,7 @@ from viario.llm.chat import format_conversations, masked_text, read_turns
 from viario.llm.decontaminate import find_contamination
 from viario.llm.language import identify, learn_dictionaries
 from viario.llm.packing import copy_cluster, pack, word_count
+from viario.llm.quality import judge
 from viario.llm.simhash import near_duplicates
 from viario.llm.substrings import remove_repeated
 
@@ -156,3 +157,9 @@ def op9_substrings(spark: SparkSession, folder: str) -> DataFrame:
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     kept = F.coalesce("kept_text", F.array_join(words, " "))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+
+
+@query("op3_quality")
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return judge(table(spark, folder, "documents"), keep=["doc_id"]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
