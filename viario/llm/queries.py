@@ -16,8 +16,10 @@ from pyspark import cloudpickle
 from viario.llm.chat import format_conversations, masked_text, read_turns
 from viario.llm.decontaminate import find_contamination
 from viario.llm.language import identify, learn_dictionaries
+from viario.llm.licenses import scan, template_table
 from viario.llm.packing import copy_cluster, pack, word_count
 from viario.llm.quality import judge
+from viario.llm.scoring import score_documents
 from viario.llm.simhash import near_duplicates
 from viario.llm.substrings import remove_repeated
 
@@ -163,3 +165,14 @@ def op9_substrings(spark: SparkSession, folder: str) -> DataFrame:
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return judge(table(spark, folder, "documents"), keep=["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+@query("op10_licenses")
+def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return scan(table(spark, folder, "documents"), template_table(spark))
+
+
+@query("op5_scoring")
+def op5_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").select("doc_id", "text", F.coalesce(fold(10) == 0, F.lit(False)).alias("held_out"))
+    return score_documents(rows, ~F.col("held_out"), keep=["doc_id", "held_out"])
