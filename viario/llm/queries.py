@@ -22,6 +22,7 @@ from viario.llm.quality import judge
 from viario.llm.scoring import score_documents
 from viario.llm.simhash import near_duplicates
 from viario.llm.substrings import remove_repeated
+from viario.llm.toxicity import learn_toxicity, score_toxicity
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -176,3 +177,11 @@ def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
 def op5_scoring(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents").select("doc_id", "text", F.coalesce(fold(10) == 0, F.lit(False)).alias("held_out"))
     return score_documents(rows, ~F.col("held_out"), keep=["doc_id", "held_out"])
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").select("doc_id", "text", (fold(4) == 2).alias("held_out"))
+    net = learn_toxicity(rows.where(~F.col("held_out")), table(spark, folder, "labels"))
+    return score_toxicity(rows, net, keep=["doc_id", "held_out"]).withColumn(
+        "predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
