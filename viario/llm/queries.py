@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from viario.llm.chat import format_conversations, masked_text, read_turns
 from viario.llm.decontaminate import find_contamination
 from viario.llm.language import identify, learn_dictionaries
-from viario.llm.licenses import scan, template_table
+from viario.llm.licenses import TEMPLATES, scan, template_table
 from viario.llm.packing import copy_cluster, pack, word_count
 from viario.llm.quality import judge
 from viario.llm.scoring import score_documents
@@ -154,7 +154,24 @@ def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
     return made.mapInArrow(digest, schema)
 
 
-@query("op9_substrings")
+SUBSTRINGS_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents),
+place AS (
+  SELECT doc_id, s, md5(array_to_string(words[s : s + 34], ' ')) AS w FROM (
+    SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS s FROM doc WHERE len(words) >= 35)),
+often AS (SELECT w FROM place GROUP BY w HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS p FROM place SEMI JOIN often USING (w)),
+word AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM doc),
+left_over AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM doc LEFT JOIN left_over USING (doc_id) LEFT JOIN removed USING (doc_id)"""
+
+
+@query("op9_substrings", SUBSTRINGS_SQL)
 def op9_substrings(spark: SparkSession, folder: str) -> DataFrame:
     rows = remove_repeated(table(spark, folder, "documents").select("doc_id", "text"))
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -168,7 +185,38 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
-@query("op10_licenses")
+_TEMPLATE_ROWS = ", ".join(
+    "(" + ", ".join("'" + part.replace("'", "''") + "'" for part in (name, text)) + ")"
+    for name, texts in TEMPLATES.items() for text in texts)
+LICENSES_SQL = rf"""
+WITH text AS (
+  SELECT 'doc' AS kind, doc_id, NULL AS license, text FROM documents
+  UNION ALL SELECT 'template', NULL, column0, column1 FROM (VALUES {_TEMPLATE_ROWS}) AS v(column0, column1)),
+words AS (
+  SELECT *, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'),
+    lambda w: w <> '') AS ws FROM text),
+shingled AS (
+  SELECT kind, doc_id, license, text, list_transform(range(1, greatest(len(ws) - 4, 1) + 1),
+    lambda i: array_to_string(ws[i : i + 4], ' ')) AS own FROM words WHERE len(ws) > 0),
+template AS (SELECT license, text, own, len(own) AS n FROM shingled WHERE kind = 'template'),
+flagged AS (
+  SELECT DISTINCT doc_id, own FROM shingled WHERE kind = 'doc'
+    AND list_has_any(own, (SELECT flatten(list(own)) FROM template))),
+cut AS (
+  SELECT DISTINCT doc_id, own, n, unnest(list_append(range(0, greatest(len(own) - n, 0) + 1, greatest(n // 4, 1)),
+    greatest(len(own) - n, 0))) AS start FROM flagged, (SELECT DISTINCT n FROM template)),
+window_ AS (SELECT doc_id, n, start, list_distinct(own[start + 1 : start + n + n // 4]) AS own FROM cut),
+hit AS (
+  SELECT doc_id, license, n, start,
+    CAST(len(list_intersect(w.own, t.own)) AS DOUBLE) / len(list_distinct(t.own)) AS containment
+  FROM window_ w JOIN template t USING (n) WHERE list_has_any(w.own, t.own)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, start, n DESC) AS r
+  FROM hit WHERE containment >= 0.8)
+SELECT doc_id, license, containment, CAST(start AS BIGINT) AS start, CAST(n AS BIGINT) AS n_shingles FROM ranked WHERE r = 1"""
+
+
+@query("op10_licenses", LICENSES_SQL)
 def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return scan(table(spark, folder, "documents"), template_table(spark))
 
