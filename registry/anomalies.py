@@ -222,13 +222,28 @@ def bounded_sample(spark, sf):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("distintos"))
 
 
-@query("sampled_rows", """SELECT count(*) AS n FROM events""")
+def _spread_key(key: str):
+    """A rank both engines can compute: odd steps through 63 bits, then the sign bit by the last bit."""
+    mixed = F.col(key) * F.lit(40503) % F.lit(65521) * F.lit(65521) + F.col(key) % F.lit(65521)
+    return mixed * F.lit(2147483647) + F.when(F.col(key) % 2 == 0, F.lit(-(1 << 63))).otherwise(F.lit(0))
+
+
+SPREAD_KEY_SQL = """((CAST(event_id AS HUGEINT) * 40503 % 65521 * 65521 + event_id % 65521) * 2147483647
+  + CASE WHEN event_id % 2 = 0 THEN 9223372036854775808::HUGEINT ELSE 0 END)"""
+
+
+@query("sampled_rows", f"""SELECT event_id FROM events ORDER BY {SPREAD_KEY_SQL}, event_id LIMIT 777""")
 def sampled_rows(spark, sf):
-    """Every sampled row is a row of the table, and the rest was not sampled."""
+    """The sample is the rows with the smallest ranks, whatever the way they are found."""
+    events = table(spark, sf, "events")
+    return sampling.sample_rows(events, 777, row_id=["event_id"], rank=_spread_key("event_id")).select("event_id")
+
+
+@query("sampled_rows_in_buckets", f"""SELECT event_id FROM events ORDER BY {SPREAD_KEY_SQL}, event_id LIMIT 777""")
+def sampled_rows_in_buckets(spark, sf):
     events = table(spark, sf, "events")
-    part = sampling.sample_rows(events, 777)
-    rest = events.join(part.select("event_id"), "event_id", "left_anti")
-    return part.select("event_id").unionByName(rest.select("event_id")).agg(F.count(F.lit(1)).alias("n"))
+    return sampling.sample_rows(
+        events, 777, row_id=["event_id"], rank=_spread_key("event_id"), bucket_rows=100).select("event_id")
 
 
 @query("detector_run")

@@ -161,13 +161,24 @@ def cleaning_totals(spark, sf):
     return cleaning.cleaning_totals(log).withColumn("columnas_limpias", F.concat_ws(",", "columnas_limpias"))
 
 
-@query("text_column_detection", """SELECT unnest(['o_orderpriority', 'o_orderstatus']) AS columna""")
+_NUMBER_SQL = "regexp_full_match({0}, '\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*')"
+_TEXT_COLUMNS = {
+    "o_orderstatus": "o_orderstatus", "o_orderpriority": "o_orderpriority",
+    "o_totalprice": "CAST(o_totalprice AS VARCHAR)",
+    "numbers_first": "CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority ELSE CAST(o_orderkey AS VARCHAR) END",
+    "few_texts": "CASE WHEN o_orderkey % 32 = 0 THEN o_orderpriority ELSE CAST(o_orderkey AS VARCHAR) END",
+    "nulls": "CAST(NULL AS VARCHAR)",
+}
+
+
+@query("text_column_detection", "WITH " + ", ".join(["s AS (SELECT " + ", ".join(
+    f"avg(CASE WHEN {c} IS NOT NULL THEN CAST({_NUMBER_SQL.format('(' + c + ')')} AS INT) END) AS {n}" for n, c in _TEXT_COLUMNS.items())
+    + " FROM orders)", "u AS (UNPIVOT s ON COLUMNS(*) INTO NAME columna VALUE parte)"]) + " SELECT columna FROM u WHERE parte < 0.9")
 def text_column_detection(spark, sf):
-    orders = table(spark, sf, "orders")
-    texts = orders.select(*[F.col(c).cast("string") for c in orders.columns if c != "o_orderdate"])
-    names = cleaning.text_columns(texts, skip=["o_custkey"])
-    marks = F.array(*[F.lit(n) for n in names])
-    return texts.limit(1).select(F.explode(marks).alias("columna"))
+    """Columns with texts, some of them behind many numbers."""
+    columns = {n: F.expr(c.replace("VARCHAR", "STRING")) for n, c in _TEXT_COLUMNS.items()}
+    names = cleaning.text_columns(table(spark, sf, "orders").select(*[c.alias(n) for n, c in columns.items()]))
+    return spark.createDataFrame([(n,) for n in names], "columna string")
 
 
 @query("blank_to_null", """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority END AS valor FROM orders""")
@@ -180,15 +191,16 @@ def blank_to_null(spark, sf):
 @query("area_key", r"""
 WITH spelled AS (SELECT doc_id, strip_accents(replace(replace(replace(
     regexp_replace(text, '[–—]', '-', 'g'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe')) AS t FROM documents)
-SELECT doc_id, md5(trim(regexp_replace(replace(lower(t), '-', ' '), '\s+', ' ', 'g'))) AS huella
-FROM spelled WHERE regexp_full_match(t, '[\x00-\x7F]*')""")
+SELECT doc_id, md5(trim(regexp_replace(replace(lower(regexp_replace(t, '[^\x00-\x7F\p{L}\p{N}]', '', 'g')), '-', ' '), '\s+', ' ', 'g')))
+  AS huella FROM spelled
+UNION ALL SELECT doc_id, md5('привет ' || doc_id) FROM documents""")
 def area_key(spark, sf):
+    """Keys of all texts, and of names in another script."""
     plain = F.translate("text", "–—", "--")
-    spelled = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])),
-                     [("ß", "ss"), ("æ", "ae"), ("œ", "oe")], plain)
-    latin = text.without_marks(spelled).rlike(r"\A[\x00-\x7F]*\z")
-    return table(spark, sf, "documents").where(latin).select(
-        "doc_id", F.md5(text.area_key(plain).cast("binary")).alias("huella"))
+    documents = table(spark, sf, "documents")
+    other = documents.select("doc_id", F.concat(F.lit("  ПРИВЕТ-"), F.col("doc_id").cast("string")).alias("t"))
+    return documents.select("doc_id", plain.alias("t")).unionByName(other).select(
+        "doc_id", F.md5(text.area_key(F.col("t")).cast("binary")).alias("huella"))
 
 
 @query("corridor_label", """WITH s AS (SELECT doc_id, lower(strip_accents(text)) AS t FROM documents),

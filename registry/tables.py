@@ -54,7 +54,7 @@ def once(spark: SparkSession, folder: str, label: str, build: Callable[[], DataF
 
 def measurements(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines as measurements: supplier is the corridor, its nation the commune."""
-    lines = table(spark, folder, "lineitem")
+    lines = spread(table(spark, folder, "lineitem"))
     suppliers = table(spark, folder, "supplier")
     nations = table(spark, folder, "nation")
     people = F.when(F.col("n_nationkey") % 5 != 0, 100000.0 + 1000.0 * F.col("n_nationkey"))
@@ -77,8 +77,7 @@ def measurements(spark: SparkSession, folder: str) -> DataFrame:
 
 def master(spark: SparkSession, folder: str) -> DataFrame:
     """The measurements with the index, as the reports read them."""
-    return once(spark, folder, "master",
-                lambda: spread(add_icv(measurements(spark, folder), CONFIG)))
+    return once(spark, folder, "master", lambda: add_icv(measurements(spark, folder), CONFIG))
 
 
 SLOTS_SQL = """CASE WHEN hora BETWEEN 0 AND 4 THEN 'madrugada' WHEN hora BETWEEN 5 AND 10 THEN 'manana'

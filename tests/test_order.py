@@ -137,7 +137,11 @@ def test_bucketed_sample_takes_the_same_rows(skewed):
     _, df = skewed
     whole = sampling.sample_by_group(df, ["k"], lambda n: F.lit(30), row_id=["id"])
     parts = sampling.sample_by_group(df, ["k"], lambda n: F.lit(30), row_id=["id"], bucket_rows=10)
-    assert whole.count() == parts.count()
+    ids = sorted(r["id"] for r in whole.collect())
+    assert ids == sorted(r["id"] for r in parts.collect())
+    for size in (100, 777):
+        other = sampling.sample_rows(df, size, row_id=["id"], bucket_rows=64)
+        assert {r["id"] for r in other.collect()} == {r["id"] for r in sampling.sample_rows(df, size, row_id=["id"]).collect()}
 
 
 def test_stratified_sample_keeps_small_tables(skewed):

@@ -98,7 +98,7 @@ ANOMALY_COLUMNS = [
 Z_WINDOW, Z_MIN_ROWS, Z_THRESHOLD = 24, 24, 2.5
 IQR_FACTOR, IQR_MIN_ROWS = 1.5, 4
 SPEED_DROP_PCT = 30.0
-FOREST = {"trees": 50, "subsample": 256, "train_rows": 3000, "contamination": 0.05, "seed": 42}
+FOREST = {"trees": 50, "subsample": 256, "contamination": 0.05, "seed": 42}
 FOREST_FEATURES = ["velocidad_km_h", "intensidad", "ocupacion", "hora", "dia_num", "icv"]
 NOISE_EPS, NOISE_MIN_POINTS = 0.5, 5
 

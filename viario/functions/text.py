@@ -74,6 +74,13 @@ def to_ascii(c: Column) -> Column:
     return F.regexp_replace(_translate(spelled, BASE_LETTERS | SINGLE), r"[^\x00-\x7F]", "")
 
 
+def to_latin(c: Column) -> Column:
+    """Latin text in ASCII; of other scripts letters and digits stay, without their marks."""
+    spelled = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), SPELLED.items(), c)
+    plain = _translate(spelled, BASE_LETTERS | SINGLE)
+    return F.regexp_replace(plain, r"[^\x00-\x7F\p{L}\p{N}]|\p{M}", "")
+
+
 def snake_case(name: str) -> str:
     """A column name in ASCII snake case."""
     table = str.maketrans(BASE_LETTERS | SINGLE | SPELLED)
@@ -146,8 +153,9 @@ def blank_to_null(c: Column) -> Column:
 
 
 def area_key(c: Column) -> Column:
-    """Spelling-independent key of an area name."""
-    plain = F.regexp_replace(F.lower(to_ascii(F.coalesce(c.cast("string"), F.lit("")))), "-", " ")
+    """Spelling-independent key of an area name: Latin letters in ASCII, letters and digits of
+    other scripts as they are, in lower case and without marks."""
+    plain = F.regexp_replace(F.lower(to_latin(F.coalesce(c.cast("string"), F.lit("")))), "-", " ")
     return strip(F.regexp_replace(plain, r"\s+", " "))
 
 

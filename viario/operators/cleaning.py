@@ -64,17 +64,15 @@ def cleaning_totals(log: DataFrame) -> DataFrame:
     )
 
 
-def text_columns(
-    df: DataFrame, skip: Iterable[str] = (), sample: int = 200, numeric_share: float = 0.9
-) -> list[str]:
-    """String columns that hold text by their first present values, not mostly numbers."""
-    skip = set(skip)
-    found = []
-    for name in string_columns(df):
-        if name in skip:
-            continue
-        first = df.select(_quoted(name).alias("v")).dropna().limit(sample)
-        share = first.agg(F.avg(number(F.col("v")).isNotNull().cast("int"))).first()[0]
-        if share is not None and share < numeric_share:
-            found.append(name)
-    return found
+def text_columns(df: DataFrame, skip: Iterable[str] = (), numeric_share: float = 0.9) -> list[str]:
+    """String columns that hold text: fewer of their present values are numbers than the share.
+
+    One pass over all rows and columns."""
+    names = [n for n in string_columns(df) if n not in set(skip)]
+    if not names:
+        return []
+    shares = df.agg(*[
+        F.avg(F.when(_quoted(n).isNotNull(), number(_quoted(n)).isNotNull().cast("int"))).alias(f"c{i}")
+        for i, n in enumerate(names)
+    ]).first()
+    return [n for i, n in enumerate(names) if shares[i] is not None and shares[i] < numeric_share]

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from viario.config import IQR_FACTOR, IQR_MIN_ROWS
 from viario.functions.numbers import flag, no_nan
 from viario.operators.quantiles import quantiles
+from viario.operators.small import join_groups
 
 GROUP = ("corredor", "franja_horaria", "es_fin_semana")
 
@@ -31,6 +32,6 @@ def detect_iqr(
     )
     above = F.coalesce(no_nan(F.col(value)) > F.col("__fence"), F.lit(False))
     return (
-        keyed.join(bounds, list(as_key), "left").withColumn("iqr_anomaly", above)
+        join_groups(keyed, bounds, list(as_key)).withColumn("iqr_anomaly", above)
         .select(*df.columns, "iqr_anomaly")
     )

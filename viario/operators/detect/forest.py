@@ -19,12 +19,12 @@ import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark import cloudpickle
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from viario.config import FOREST, FOREST_FEATURES
 from viario.functions.numbers import no_nan
 from viario.operators.quantiles import quantiles
-from viario.operators.sampling import sample_by_group
+from viario.operators.small import join_groups
 from viario.schema import row_hash
 from viario.storage import materialise, path_exists
 
@@ -115,20 +115,17 @@ def features_of(df: DataFrame) -> list[str]:
     return [f for f in FOREST_FEATURES if f in df.columns]
 
 
-def prepare(df: DataFrame, group: str, features: list[str]) -> tuple[DataFrame, int]:
-    """Features as numbers f0, f1, .. with the gaps filled by the median of the group, and
-    the number of rows."""
+def prepare(df: DataFrame, group: str, features: list[str]) -> DataFrame:
+    """Features as numbers f0, f1, .. with the gaps filled by the median of the group."""
     numeric = df.withColumns({f"__f{i}": no_nan(F.col(f)) for i, f in enumerate(features)})
     numeric = numeric.withColumn(_GROUP, F.col(group).cast("string"))
     names = [f"__f{i}" for i in range(len(features))]
-    counts = numeric.agg(
-        F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(n).isNull()).alias(n) for n in names]
-    ).first()
+    counts = numeric.agg(*[F.count_if(F.col(n).isNull()).alias(n) for n in names]).first()
     for n in names:
         if counts[n]:
             middle = quantiles(numeric, n, {"__m": 0.5}, [_GROUP]).select(_GROUP, "__m")
-            numeric = numeric.join(middle, _GROUP, "left").withColumn(n, F.coalesce(n, "__m")).drop("__m")
-    return numeric, counts["rows"]
+            numeric = join_groups(numeric, middle, [_GROUP]).withColumn(n, F.coalesce(n, "__m")).drop("__m")
+    return numeric
 
 
 def _eligible(df: DataFrame, group: str, features: list[str]) -> DataFrame:
@@ -141,27 +138,34 @@ def _eligible(df: DataFrame, group: str, features: list[str]) -> DataFrame:
 
 
 def train(
-    prepared: DataFrame, groups: DataFrame, n_features: int, params: dict, n_rows: int,
+    prepared: DataFrame, groups: DataFrame, n_features: int, params: dict,
     row_id: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Node table of all trees of all groups, and the sample they grew from."""
+    """Node table of all trees of all groups, and the complete rows of these groups.
+
+    Every tree draws its own rows from the whole group: those with the smallest hashes for this
+    tree. A bound on the hash that few groups of this size would miss leaves about as many rows
+    as are drawn, so little more than the drawn rows is moved."""
     names = [f"__f{i}" for i in range(n_features)]
     complete = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
     source = prepared.withColumn(_HASH, row_hash(prepared, row_id, params["seed"]))
-    rows = source.where(complete).select(_GROUP, _HASH, *names).join(
-        groups.select(_GROUP), _GROUP, "left_semi"
-    )
-    sample = materialise(sample_by_group(
-        rows, [_GROUP], lambda size: F.lit(params["train_rows"]), params["seed"],
-        [_HASH, *names], n_rows,
-    ), "forest-sample")
-    trees = F.explode(F.sequence(F.lit(0), F.lit(params["trees"] - 1))).alias("__tree")
-    grow = _grower(names, params["subsample"], params["seed"])
-    nodes = sample.select("*", trees).groupBy(_GROUP, "__tree").applyInPandas(grow, NODES)
-    sizes = sample.groupBy(F.col(_GROUP).alias("grp")).agg(
-        F.least(F.count(F.lit(1)), F.lit(params["subsample"])).cast("int").alias("subsample")
-    )
-    return nodes.join(sizes, "grp"), sample
+    rows = source.where(complete).select(_GROUP, _HASH, *names)
+    sizes = rows.join(F.broadcast(groups.select(_GROUP)), _GROUP, "left_semi").groupBy(_GROUP).agg(
+        F.count(F.lit(1)).alias("__n"))
+    rows = join_groups(rows, sizes, [_GROUP], "inner")
+    wanted = params["subsample"]
+    share = F.least(F.lit(1.0), F.lit(wanted + 8 * math.sqrt(wanted) + 8) / F.col("__n"))
+    own = F.transform(F.sequence(F.lit(0), F.lit(params["trees"] - 1)), lambda t: F.struct(
+        t.alias("tree"), F.shiftrightunsigned(F.xxhash64(_HASH, t), 11).alias("rank")))
+    near = F.filter(own, lambda d: d["rank"] <= share * F.lit(float(1 << 53)))
+    dealt = rows.select(_GROUP, _HASH, *names, F.explode(near).alias("d")).select(
+        _GROUP, _HASH, *names, F.col("d.tree").alias("__tree"), F.col("d.rank").alias("__rank"))
+    place = F.row_number().over(Window.partitionBy(_GROUP, "__tree").orderBy("__rank", _HASH, *names))
+    drawn = dealt.withColumn("__place", place).where(F.col("__place") <= wanted).drop("__place", "__rank")
+    grow = _grower(names, wanted, params["seed"])
+    nodes = drawn.groupBy(_GROUP, "__tree").applyInPandas(grow, NODES)
+    subsample = sizes.select(F.col(_GROUP).alias("grp"), F.least("__n", F.lit(wanted)).cast("int").alias("subsample"))
+    return nodes.join(F.broadcast(subsample), "grp"), rows.drop("__n")
 
 
 def score(prepared: DataFrame, nodes: DataFrame, n_features: int, keep: list[str],
@@ -254,7 +258,7 @@ def detect_forest(
     if group is None or len(features) < MIN_FEATURES:
         return plain
     spark, n = df.sparkSession, len(features)
-    prepared, n_rows = prepare(df, group, features)
+    prepared = prepare(df, group, features)
     path = models_path and f"{models_path}/forest-{model_key(features, group, params)}"
     model = _saved(spark, path)
     missing = _eligible(df, group, features)
@@ -262,13 +266,12 @@ def detect_forest(
         known = model.select(F.col("grp").alias(_GROUP)).distinct()
         missing = missing.join(known, _GROUP, "left_anti")
     if model is None or missing.limit(1).count():
-        nodes, sample = train(prepared, missing, n, params, n_rows, row_id)
+        nodes, rows = train(prepared, missing, n, params, row_id)
         nodes = materialise(nodes, "forest-nodes")
-        own = score(sample, nodes, n, [_HASH], broadcast_nodes, salt_rows)
-        cut = own.groupBy(F.col(_GROUP).alias("grp")).agg(
-            F.percentile("__score", params["contamination"]).alias("cutoff")
-        )
-        trained = nodes.join(cut, "grp")
+        own = materialise(score(rows, nodes, n, [_HASH], broadcast_nodes, salt_rows), "forest-scores")
+        cut = quantiles(own, "__score", {"cutoff": params["contamination"]}, [_GROUP]).select(
+            F.col(_GROUP).alias("grp"), "cutoff")
+        trained = nodes.join(F.broadcast(cut), "grp")
         if path:
             trained.write.mode("overwrite" if model is None else "append").parquet(path)
             model = _saved(spark, path)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from viario import config as fixed
-from viario.functions.numbers import flag, number
+from viario.functions.numbers import flag, no_nan, number
 from viario.operators.quantiles import several_quantiles
 from viario.schema import has
 
@@ -109,8 +109,8 @@ def flow_class(df: DataFrame, slow_pct: float = 0.30, flow_pct: float = 0.70) ->
     """Four classes by the speed and flow quantiles of this very table."""
     names = fixed.FLOW_CLASSES
     limits = several_quantiles(df, {"velocidad_km_h": slow_pct, "intensidad": flow_pct})
-    slow = F.col("velocidad_km_h") <= limits["velocidad_km_h"]
-    busy = F.col("intensidad") >= limits["intensidad"]
+    slow = no_nan(F.col("velocidad_km_h")) <= limits["velocidad_km_h"]
+    busy = no_nan(F.col("intensidad")) >= limits["intensidad"]
     return df.withColumn(
         "criticidad",
         F.when(slow & busy, names["both"]).when(busy, names["flow"])

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from viario.functions.text import area_key
+from viario.operators.small import join_groups
 from viario.schema import has
+from viario.storage import materialise
 
 
 def _pieces(df: DataFrame, text: str, lengths: DataFrame, name: str) -> DataFrame:
@@ -33,7 +35,8 @@ def match_names(
         area_key(F.col(area_name)).alias("area"), F.col(value).alias("v"),
         F.col(position).alias("pos"),
     ).groupBy("area").agg(F.min("pos").alias("pos"), F.max_by("v", "pos").alias("v"))
-    keys = names.select("key").distinct()
+    table = materialise(table, "areas")
+    keys = names.select("key").dropna().distinct()
     exact = keys.join(table, F.col("key") == F.col("area")).select("key", "v")
     open_keys = keys.join(table, F.col("key") == F.col("area"), "left_anti").where("key <> ''")
     named = table.where("area <> ''")
@@ -65,14 +68,16 @@ def join_population(
 
 
 def _name_keys(df: DataFrame, name: str) -> DataFrame:
-    """(__name, key) of the distinct names, so that the key is not made for every row."""
+    """(__name, key) of the distinct names, written once: the key is made per name, and the facts are read once.
+
+    The empty key of a missing or unreadable name is null, which matches nothing."""
     distinct = df.select(F.coalesce(name, F.lit("")).alias("__name")).distinct()
-    return distinct.withColumn("key", area_key(F.col("__name")))
+    return materialise(distinct.withColumn("key", F.nullif(area_key(F.col("__name")), F.lit(""))), "names")
 
 
 def _by_name(df: DataFrame, name: str, figures: DataFrame) -> DataFrame:
     named = df.withColumn("__name", F.coalesce(name, F.lit("")))
-    return named.join(figures, "__name", "left").drop("__name")
+    return join_groups(named, figures, ["__name"]).drop("__name")
 
 
 def join_counts(
@@ -87,7 +92,7 @@ def join_counts(
     )
     means = by_spelling.groupBy(area_key(F.col(name)).alias("key")).agg(
         F.try_divide(F.sum("s"), F.sum("n")).alias(result)
-    )
+    ).where("key <> ''")
     return _by_name(df, name, _name_keys(df, name).join(means, "key", "left").drop("key"))
 
 
@@ -111,14 +116,14 @@ def join_sensors(df: DataFrame, sensors: DataFrame | None, *, key: str = "corred
         means = sensors.dropna(subset=[key]).groupBy(key).agg(
             *[F.avg(s).alias(d) for s, d in used.items()]
         )
-        df = df.join(means, key, "left")
+        df = join_groups(df, means, [key])
     return df.withColumns(missing) if missing else df
 
 
 def flag_members(df: DataFrame, members: DataFrame, key: str, name: str) -> DataFrame:
     """Whether the key occurs in another table."""
     marks = members.select(key).dropna().distinct().withColumn(name, F.lit(True))
-    return df.join(marks, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return join_groups(df, marks, [key]).withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def available(selected: DataFrame, existing: DataFrame, key: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from viario.functions.numbers import number
+from viario.functions.numbers import no_nan, number
 from viario.functions.text import corridor_label
 from viario.operators.features import (
     estimated_capacity, flow_range, peak_hours, service_level, weekdays,
@@ -88,14 +88,14 @@ def hotspots(df: DataFrame, config: dict) -> DataFrame:
         "intensidad": cfg["hotspot_intensidad_pct"] / 100,
     })
     return df.where(
-        (F.col("velocidad_km_h") <= limits["velocidad_km_h"])
-        & (F.col("intensidad") >= limits["intensidad"])
+        (no_nan(F.col("velocidad_km_h")) <= limits["velocidad_km_h"])
+        & (no_nan(F.col("intensidad")) >= limits["intensidad"])
     )
 
 
 def extreme_group(df: DataFrame, key: str, value: str, *, largest: bool = True) -> DataFrame:
     """The group with the largest or smallest mean, the first key on ties."""
-    means = df.dropna(subset=[key]).groupBy(key).agg(F.avg(value).alias(value))
+    means = df.dropna(subset=[key]).groupBy(key).agg(F.avg(no_nan(F.col(value))).alias(value))
     order = F.desc_nulls_last(value) if largest else F.asc_nulls_last(value)
     return means.orderBy(order, key).limit(1)
 

@@ -12,11 +12,13 @@ BUCKET_ROWS = 500_000  # rows that are sorted together to settle the border of a
 
 
 Quota = Callable[[Column], Column]
+_SIGN = -(1 << 63)
 
 
 def _from_whole_groups(df: DataFrame, keys: list[str], quota: Quota, rank: Column) -> DataFrame:
     group = Window.partitionBy(*keys)
-    place = F.row_number().over(group.orderBy("__rank", *df.columns))
+    unsigned = F.col("__rank").bitwiseXOR(F.lit(_SIGN))  # as the buckets order it
+    place = F.row_number().over(group.orderBy(unsigned, *df.columns))
     ranked = df.withColumn("__rank", rank).withColumns(
         {"__size": F.count(F.lit(1)).over(group), "__place": place}
     )
@@ -58,21 +60,24 @@ def _from_buckets(
 def sample_by_group(
     df: DataFrame, keys: list[str], quota: Quota, seed: int = 42,
     row_id: list[str] | None = None, rows: int | None = None, bucket_rows: int = BUCKET_ROWS,
+    rank: Column | None = None,
 ) -> DataFrame:
     """Per group as many rows as `quota` gives for the group size.
 
-    Rows without a key are in no group."""
+    Those with the smallest `rank` are taken, a number spread over all 64 bits and compared
+    without sign; by default a hash of the row. The size of the table decides how they are
+    found, not which they are. Rows without a key are in no group."""
     grouped = df.dropna(subset=keys)
     rows = df.count() if rows is None else rows
     bits = (rows // bucket_rows).bit_length()
-    rank = row_hash(df, row_id, seed)
+    rank = row_hash(df, row_id, seed) if rank is None else rank
     if bits == 0:
         return _from_whole_groups(grouped, keys, quota, rank)
     return _from_buckets(grouped, keys, quota, rank, bits)
 
 
 def sample_rows(
-    df: DataFrame, n: int, seed: int = 42, row_id: list[str] | None = None
+    df: DataFrame, n: int, seed: int = 42, row_id: list[str] | None = None, **options
 ) -> DataFrame:
     """n rows, or all when there are no more."""
     rows = df.count()
@@ -80,12 +85,12 @@ def sample_rows(
         return df
     whole = df.withColumn("__all", F.lit(0))
     return sample_by_group(
-        whole, ["__all"], lambda size: F.lit(n), seed, row_id or df.columns, rows
+        whole, ["__all"], lambda size: F.lit(n), seed, row_id or df.columns, rows, **options
     ).drop("__all")
 
 
 def sample_stratified(
-    df: DataFrame, max_rows: int, seed: int = 42, row_id: list[str] | None = None
+    df: DataFrame, max_rows: int, seed: int = 42, row_id: list[str] | None = None, **options
 ) -> DataFrame:
     """About max_rows rows, shared out over communes (else corridors) by size, at least ten
     each where there are so many; 0 keeps everything."""
@@ -96,9 +101,9 @@ def sample_stratified(
         return df
     key = next((c for c in ("nombre_comuna", "corredor") if c in df.columns), None)
     if key is None:
-        return sample_rows(df, max_rows, seed, row_id)
+        return sample_rows(df, max_rows, seed, row_id, **options)
 
     def quota(size: Column) -> Column:
         return F.greatest(F.lit(10), F.floor(F.lit(max_rows) * size / F.lit(rows)))
 
-    return sample_by_group(df, [key], quota, seed, row_id, rows)
+    return sample_by_group(df, [key], quota, seed, row_id, rows, **options)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from viario.functions.numbers import no_nan
 from viario.operators.quantiles import quantiles
+from viario.operators.small import join_groups
 
 
 def one_row(df: DataFrame, **aggregates: Column) -> Column:
@@ -110,7 +111,7 @@ def box_stats(df: DataFrame, value: str, keys: list[str], factor: float = 1.5) -
     spread = (F.col("p75") - F.col("p25")) * factor
     fences = q.withColumns({"low_fence": F.col("p25") - spread, "high_fence": F.col("p75") + spread})
     inside = F.col(value).between(F.col("low_fence"), F.col("high_fence"))
-    whiskers = df.join(fences, keys).groupBy(*keys).agg(
+    whiskers = join_groups(df, fences, keys, "inner").groupBy(*keys).agg(
         F.min(F.when(inside, F.col(value))).alias("low_whisker"),
         F.max(F.when(inside, F.col(value))).alias("high_whisker"),
         F.count_if(~inside).alias("n_outliers"),

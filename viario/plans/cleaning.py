@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -65,7 +66,7 @@ class CsvCleaner:
         for key in keys or list(self.files):
             try:
                 results[key] = self.clean_file(key)
-            except (ValueError, PySparkException) as error:
+            except (ValueError, PySparkException, Py4JJavaError) as error:
                 results[key] = {"error": str(error)}
         if self._logs and not self.dry_run:
             write_csv(self.log(), self.log_path)

@@ -38,6 +38,7 @@ class AnomalyDetector:
     def detect(self, df: DataFrame, max_rows: int = 0) -> DataFrame:
         """The table with the nine result columns."""
         rows = sample_stratified(df, max_rows, row_id=self.row_id)
+        rows = materialise(rows, "sample") if max_rows > 0 else rows
         if "corredor" in df.columns:
             rows = detect_along_series(rows, row_id=self.row_id, sizes=self.sizes)
         else:
@@ -45,7 +46,7 @@ class AnomalyDetector:
                 "z_score_anomaly": F.lit(False), "speed_drop_anomaly": F.lit(False),
                 "speed_drop_pct": F.lit(None).cast("double"),
             })
-        rows = materialise(detect_iqr(rows), "detectors")
+        rows = materialise(detect_iqr(materialise(rows, "series")), "detectors")
         scored = detect_forest(rows, self.models_path, self.forest, self.row_id)
         return add_score(detect_noise(scored, places=rows))
 

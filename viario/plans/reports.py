@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from viario import config as fixed
 from viario.functions.dates import day_label, with_hour
-from viario.functions.numbers import flag
+from viario.functions.numbers import flag, no_nan
 from viario.functions.text import commune_code
 from viario.operators import features, ranking, stats
 from viario.operators.pivots import count_pivot
@@ -16,7 +16,7 @@ from viario.schema import has, typed
 
 
 def mean(name: str, alias: str) -> Column:
-    return F.avg(name).alias(alias)
+    return F.avg(no_nan(F.col(name))).alias(alias)
 
 
 def speed() -> Column:

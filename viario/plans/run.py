@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import posixpath
+import warnings
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from viario.config import MASTER_COLUMNS, PASSENGER_COLUMNS
@@ -63,10 +66,19 @@ def run(spark: SparkSession, config: dict, detect: bool = True) -> dict:
         "hotspots": hotspots(master, config),
         "pasajeros": passengers,
         "ciclorrutas": tables["ciclorrutas"],
-        "anomalias": AnomalyDetector(config).run(master) if detect else {},
+        "anomalias": _detect(master, config) if detect else {},
     }
 
 
+def _detect(master, config: dict) -> dict:
+    """The detectors' tables; when they fail, the error, and the other tables stay."""
+    try:
+        return AnomalyDetector(config).run(master)
+    except (ValueError, PySparkException, Py4JJavaError) as error:
+        warnings.warn(f"no anomalies: {error}", stacklevel=2)
+        return {"error": str(error)}
+
+
 def load_views(spark: SparkSession, config: dict) -> dict:
     """The written master and its companions; all steps run first when it is not there."""
     processed = str(config["paths"]["processed"])

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from viario.functions.numbers import restore_booleans
+from viario.functions.numbers import number, restore_booleans
 from viario.schema import keep_present
 from viario.storage import path_exists
 
@@ -16,11 +16,33 @@ FILE = "__file"
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores for a file too small to be split into as many parts.
+    """Use all cores for files too few and small to be split into as many parts.
 
-    A large source has more parts than cores and is left as it is."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    Takes the plain scan of a source, whose files are listed without running anything; a source
+    of more files than cores, or of large ones, is left as it is."""
+    spark = scan.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = scan.inputFiles()
+    if len(files) >= cores:
+        return scan
+    part = 4 << 20
+    return scan.repartition(cores) if sum(-(-_size(spark, f) // part) for f in files) < cores else scan
+
+
+def _size(spark: SparkSession, path: str) -> int:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).getLen()
+
+
+WHOLE = {"tinyint", "smallint", "int", "bigint"}
+
+
+def _as_kind(name: str, kind: str) -> Column:
+    """Numbers by the lenient rules, whole ones cut after the point; other kinds as Spark casts them."""
+    c = F.col(f"`{name}`")
+    if kind in WHOLE:
+        return F.coalesce(c.try_cast(kind), number(c).try_cast(kind))
+    return number(c).try_cast(kind) if kind in ("double", "float") else c.try_cast(kind)
 
 
 def csv_header(spark: SparkSession, path: str, encoding: str = "UTF-8", separator: str = ",") -> list[str]:
@@ -101,7 +123,7 @@ def read_columns(
     table = keep_present(read_table(spark, path), columns)
     flags = [b for b in booleans or [] if b in table.columns]
     kinds = {n: k for n, k in columns.items() if n in table.columns and n not in flags}
-    cast = table.withColumns({n: F.col(n).try_cast(k) for n, k in kinds.items()}) if kinds else table
+    cast = table.withColumns({n: _as_kind(n, k) for n, k in kinds.items()}) if kinds else table
     return restore_booleans(cast, flags)
 
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,15 +11,10 @@ _tables: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the checkpoint folder that the cluster names."""
-    folder = spark.sparkContext.getCheckpointDir()
+    """The folder for intermediate tables: the checkpoint folder that the cluster names, else one in the warehouse."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = os.path.join(tempfile.gettempdir(), "viario-tables")
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/viario-tables"
     return folder.rstrip("/")
 
 
@@ -32,6 +26,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _tables:
+        atexit.register(_drop_at_end, df.sparkSession)
     _tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -46,6 +42,15 @@ def drop_tables(spark: SparkSession) -> int:
     return count
 
 
+def _drop_at_end(spark: SparkSession) -> None:
+    """When the program ends with its session still there, its tables go too."""
+    try:
+        if spark.sparkContext._jsc is not None:
+            drop_tables(spark)
+    except Exception:  # the Java side may be gone already
+        _tables.clear()
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
