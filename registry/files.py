@@ -32,16 +32,25 @@ def csv_round_trip(spark, sf):
         F.col("o_orderdate").try_cast("timestamp_ntz").alias("o_orderdate"))
 
 
-@query("csv_quoted_text", """SELECT doc_id, md5(replace(text, chr(10), ' ')) AS huella FROM documents""")
+@query("csv_quoted_text", """SELECT doc_id, md5(text) AS huella FROM documents""")
 def csv_quoted_text(spark, sf):
+    """Texts with line breaks, quotes and separators in their fields."""
     path = _target(spark, "documents")
-    one_line = F.replace("text", F.lit("\n"), F.lit(" "))
-    files.write_csv(table(spark, sf, "documents").select("doc_id", one_line.alias("text")), path)
-    back = files.read_csv(spark, path, encoding="utf-8")
+    files.write_csv(table(spark, sf, "documents").select("doc_id", "text", F.lit("fin").alias("fin")), path)
+    back = files.read_csv(spark, path, encoding="utf-8").where("fin = 'fin'")
     return back.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                        F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("huella"))
 
 
+@query("csv_record_numbers", """SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS fila FROM documents""")
+def csv_record_numbers(spark, sf):
+    """Records are counted, not lines, and in the order of the file."""
+    path = _target(spark, "numbered-documents")
+    files.write_csv(table(spark, sf, "documents").select("doc_id", "text").coalesce(1).sortWithinPartitions("doc_id"), path)
+    back = files.read_csv(spark, path, encoding="utf-8", row_numbers=True)
+    return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(files.ROW_NUMBER).alias("fila"))
+
+
 @query("csv_latin_encoding", """SELECT doc_id, 'Año de ' || lang || ', Medellín' AS etiqueta FROM documents""")
 def csv_latin_encoding(spark, sf):
     """Bytes that are no UTF-8 are found and read as Latin-1."""
@@ -53,15 +62,13 @@ def csv_latin_encoding(spark, sf):
     return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), "etiqueta")
 
 
-@query("csv_line_numbers", """SELECT count(*) AS n, sum(o_orderkey) AS claves FROM orders""")
+@query("csv_line_numbers", """SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS fila FROM orders""")
 def csv_line_numbers(spark, sf):
-    """Line numbers are dense within each file, so the last one counts the file."""
+    """Numbers follow the order of the file, over all of its blocks."""
     path = _target(spark, "numbered")
-    files.write_csv(table(spark, sf, "orders").select("o_orderkey").repartition(4), path)
+    files.write_csv(table(spark, sf, "orders").select("o_orderkey").coalesce(1).sortWithinPartitions("o_orderkey"), path)
     rows = files.read_csv(spark, path, encoding="utf-8", row_numbers=True)
-    by_file = rows.groupBy(files.FILE).agg(
-        (F.max(files.ROW_NUMBER) + 1).alias("n"), F.sum(F.col("o_orderkey").cast("bigint")).alias("k"))
-    return by_file.agg(F.sum("n").cast("bigint").alias("n"), F.sum("k").alias("claves"))
+    return rows.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.col(files.ROW_NUMBER).alias("fila"))
 
 
 @query("scan_wanted_columns", """SELECT l_suppkey, round(sum(l_quantity), 2) AS cantidad, count(*) AS n, 0 AS con_falta FROM lineitem GROUP BY l_suppkey""")

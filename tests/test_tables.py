@@ -148,6 +148,24 @@ def test_line_numbers_over_many_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_records_over_several_lines(spark, tmp_path):
+    """Quoted line breaks, over file blocks of a few bytes."""
+    rows = [("1", "plain", "x"), ("2", "two\nlines", "y"), ("3", 'with ""quotes"" and\n\nblank', "z"), ("4", "a,b\n", "w"),
+            ("5", "last\n\n\n\nlines", None)] * 40
+    text = "k,t,u\n" + "".join(f'{k},"{t}",{u or ""}\n' for k, t, u in rows) + '6,too,many,fields\n7,short\n'
+    (tmp_path / "torn.csv").write_text(text, encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        df = files.read_csv(spark, str(tmp_path / "torn.csv"), row_numbers=True)
+        got = [(r.k, r.t, r.u) for r in df.orderBy(files.ROW_NUMBER).collect()]
+        numbers = sorted(r[files.ROW_NUMBER] for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(k, t.replace('""', '"'), u) for k, t, u in rows] + [("7", "short", None)]
+    assert numbers == [*range(len(rows)), len(rows) + 1]
+
+
 def test_encoding(spark, tmp_path):
     write(tmp_path, "l.csv", "a\nMedellín\n", "latin-1")
     write(tmp_path, "u.csv", "a\nMedellín\n", "utf-8-sig")

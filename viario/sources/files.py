@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from viario.functions.numbers import number, restore_booleans
 from viario.schema import keep_present
+from viario.sources.records import has_torn_lines, read_records
 from viario.storage import path_exists
 
 _SURPLUS = "__surplus"
@@ -67,10 +68,15 @@ def read_csv(
     spark: SparkSession, path: str, *, encoding: str | None = None, separator: str = ",",
     multiline: bool = False, row_numbers: bool = False,
 ) -> DataFrame:
-    """All columns as text. Lines with too many fields are skipped, short ones are filled
-    with nulls, and empty fields are null. `row_numbers` adds FILE and ROW_NUMBER."""
+    """All columns as text. Records with too many fields are skipped, short ones are filled
+    with nulls, and empty fields are null. A line break in quotes is part of its field.
+    `row_numbers` adds FILE and ROW_NUMBER, which counts records from 0."""
     charset = detect_encoding(spark, path) if encoding is None else _spark_encoding(encoding)
     names = csv_header(spark, path, charset, separator)
+    if not multiline and has_torn_lines(spark, path):
+        rows = read_records(spark, path, [*names, _SURPLUS], charset, separator).where(F.col(_SURPLUS).isNull())
+        place = {FILE: F.col("__file"), ROW_NUMBER: F.col("__record") - 1} if row_numbers else {}
+        return rows.select(*[F.col(f"`{n}`") for n in names], *[c.alias(n) for n, c in place.items()])
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _SURPLUS]])
     raw = spark.read.schema(schema).options(
         header=True, sep=separator, encoding=charset, mode="PERMISSIVE", enforceSchema=True,
