@@ -458,6 +458,12 @@ WHERE velocidad_km_h <= v30 AND intensidad >= i70"""))(
     lambda spark, sf: _view("hotspots")(spark, sf).select(*KEYS, "icv"))
 
 
+query("filtered_view_communes", from_master(f"""
+SELECT CAST(row_number() OVER (ORDER BY avg(icv) DESC, nombre_comuna) AS INTEGER) AS rank, nombre_comuna,
+  round(avg(icv), 4) AS icv_medio FROM master WHERE {FILTER} AND es_hora_pico GROUP BY nombre_comuna"""))(
+    lambda spark, sf: _view("comunas")(spark, sf).select("rank", "nombre_comuna", "icv_medio"))
+
+
 CAPACITY_SQL = """
 , named AS (SELECT corredor, CASE WHEN intensidad > 50000 THEN 'Via Regional ' || corredor
   WHEN intensidad > 20000 THEN 'Calle San Juan ' || corredor ELSE corredor END AS via, intensidad, velocidad_km_h FROM master),

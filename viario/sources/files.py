@@ -134,8 +134,10 @@ def read_columns(
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header in every part, quotes only where needed."""
-    df.write.mode("overwrite").options(header=True, escape='"', emptyValue="").csv(path)
+    """CSV with a header in every part, quotes only where needed; white space stays as it is."""
+    df.write.mode("overwrite").options(
+        header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).csv(path)
 
 
 def write_table(df: DataFrame, path: str, **options) -> DataFrame:
