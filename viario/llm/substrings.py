@@ -250,7 +250,8 @@ def _remove(texts: DataFrame) -> DataFrame:
                 [batch.column(1), batch.column(2), pa.array(n_words), pa.array(n_removed),
                  pa.array(text, pa.binary()).cast(pa.string())], ["key", "key2", "n_words", "n_removed", "kept_text"])
 
-    return texts.select("text", "key", "key2", "spans").mapInArrow(
+    # copies comes along so that this and the segments read one and the same exchange of texts
+    return texts.select("text", "key", "key2", "spans", "copies").mapInArrow(
         run, "key long, key2 long, n_words long, n_removed long, kept_text string")
 
 
