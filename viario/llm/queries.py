@@ -173,10 +173,7 @@ FROM doc LEFT JOIN left_over USING (doc_id) LEFT JOIN removed USING (doc_id)"""
 
 @query("op9_substrings", SUBSTRINGS_SQL)
 def op9_substrings(spark: SparkSession, folder: str) -> DataFrame:
-    rows = remove_repeated(table(spark, folder, "documents").select("doc_id", "text"))
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    kept = F.coalesce("kept_text", F.array_join(words, " "))
-    return rows.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+    return remove_repeated(table(spark, folder, "documents").select("doc_id", "text"), digest=True)
 
 
 @query("op3_quality")

@@ -14,6 +14,7 @@ Texts are looked at once, whatever their number of copies; copies count as occur
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Iterator
 
@@ -223,8 +224,13 @@ def _locate(segments: DataFrame, window: int, shard_words: int) -> DataFrame:
     return dealt.sortWithinPartitions("name").mapInArrow(run, "key long, key2 long, start long, stop long")
 
 
-def _remove(texts: DataFrame) -> DataFrame:
-    """key, key2, n_words, n_removed and kept_text (null if nothing is removed) from text and spans."""
+def _remove(texts: DataFrame, digest: bool) -> DataFrame:
+    """key, key2, n_words, n_removed and kept_text (null if nothing is removed) from text and spans.
+
+    `digest` gives kept_sha256, of the words that are left in every text, in place of kept_text.
+    """
+    last = "kept_sha256" if digest else "kept_text"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokeniser()
         for batch in batches:
@@ -246,23 +252,27 @@ def _remove(texts: DataFrame) -> DataFrame:
                             n_removed[i] -= n_words[i] - at
                         n_removed[i] += n_words[i]
                         text[i] = b" ".join(parts)
+                    if digest:
+                        a, b = words.first[i - row:i - row + 2].tolist()
+                        text[i] = hashlib.sha256(words.text(a, b) if text[i] is None else text[i]).hexdigest().encode()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), batch.column(2), pa.array(n_words), pa.array(n_removed),
-                 pa.array(text, pa.binary()).cast(pa.string())], ["key", "key2", "n_words", "n_removed", "kept_text"])
+                 pa.array(text, pa.binary()).cast(pa.string())], ["key", "key2", "n_words", "n_removed", last])
 
     # copies comes along so that this and the segments read one and the same exchange of texts
     return texts.select("text", "key", "key2", "spans", "copies").mapInArrow(
-        run, "key long, key2 long, n_words long, n_removed long, kept_text string")
+        run, f"key long, key2 long, n_words long, n_removed long, {last} string")
 
 
 def find_repeated(documents: DataFrame, text: str = "text", window: int = WINDOW_WORDS, phrase: int = PHRASE_WORDS,
-                  shard_words: int = SHARD_WORDS, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+                  shard_words: int = SHARD_WORDS, crowd: int = CROWD, digest: bool = False) -> tuple[DataFrame, DataFrame]:
     """The texts without the words that a recurring window covers, and the documents with keys to them.
 
     A window is `window` consecutive words of one text; it recurs if its words start anywhere
-    else, the same text and copies of it included. The first frame has key, key2, text (one row
-    per different text, null as empty), n_words, n_removed and kept_text (the words left, joined
-    by one space; null if nothing is removed); the second has all documents with key and key2.
+    else, the same text and copies of it included. The first frame has a row per different text
+    (null as empty): key, key2, n_words, n_removed and kept_text (the words left, joined by one
+    space; null if nothing is removed) or, with `digest`, kept_sha256 of the words left. The
+    second has all documents with __key and __key2.
     """
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     keyed = documents.withColumns({"__key": F.xxhash64(whole), "__key2": F.xxhash64(F.lit(1), whole)})
@@ -287,17 +297,18 @@ def find_repeated(documents: DataFrame, text: str = "text", window: int = WINDOW
         places = windows.select("name", "name2", "key", "key2", "start").join(known, ["name", "name2"])
         ranges = ranges.union(places.select("key", "key2", "start", F.col("start") + F.col("n")))
     spans = ranges.groupBy("key", "key2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return _remove(texts.join(spans, ["key", "key2"], "left")), keyed
+    return _remove(texts.join(spans, ["key", "key2"], "left"), digest), keyed
 
 
 def remove_repeated(documents: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The documents with n_words, n_removed and kept_text, one row per document row.
+    """The documents with n_words, n_removed and kept_text (or kept_sha256), one row per document row.
 
     A null or empty text has no words; texts of fewer words than a window keep all. kept_text
-    is null if nothing is removed. Columns of these names are replaced.
+    is null if nothing is removed. Columns of these names are replaced. The documents are
+    shuffled with all their columns but, with `digest`, the text.
     """
     found, keyed = find_repeated(documents, text, **options)
-    made = ("n_words", "n_removed", "kept_text")
+    made = ("n_words", "n_removed", "kept_text", "kept_sha256", *([text] if options.get("digest") else []))
     own = keyed.select(*[F.col(f"`{c}`") for c in documents.columns if c not in made], "__key", "__key2")
     found = found.withColumnsRenamed({"key": "__key", "key2": "__key2"})
     return own.join(found, ["__key", "__key2"]).drop("__key", "__key2")
