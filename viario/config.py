@@ -10,7 +10,6 @@ PARAMETERS = {
     "paths": {
         "raw": "data/raw",
         "processed": "data/processed",
-        "outputs": "data/outputs",
     },
     "files": {
         "velocidad": "velocidad_e_intensidad_vehicular_en_medellin.csv",
@@ -143,41 +142,37 @@ OFFICIAL_COMMUNE_COLUMNS = {
     "corredores_activos": "bigint", "comuna_mapa": "string",
 }
 
-# Text columns that are cleaned, per dataset; "skip" is never touched.
+# Text columns that are cleaned, per dataset.
 CLEANED_FILES = {
     "aforos": {
-        "filename": "Aforos_Vehiculares.csv", "encoding": "utf-8", "separator": ",",
+        "filename": PARAMETERS["files"]["aforos"], "encoding": "utf-8", "separator": ",",
         "text": ["VÍA_PRINCIPAL", "VÍA_SECUNDARIA", "MOVIMIENTO", "ACCESO", "MES",
                  "INTERSECCIÓN", "TIPO_DE_DIA", "COMUNA", "NOMBRE_COMUNA", "CONSULTOR",
                  "DÍA_AFORO"],
-        "skip": ["FECHA", "FECHA_HORA", "HORA_A", "DIA/MES/AÑO"],
     },
     "ciclorrutas": {
-        "filename": "Ciclorrutas.csv", "encoding": "utf-8", "separator": ",",
-        "text": ["nombre", "estado"], "skip": [],
+        "filename": PARAMETERS["files"]["ciclorrutas"], "encoding": "utf-8", "separator": ",",
+        "text": ["nombre", "estado"],
     },
     "pasajeros": {
-        "filename": "Pasajeros_movilizados.csv", "encoding": "utf-8-sig", "separator": ",",
-        "text": ["MES", "SEM_AÑO", "LÍNEA_O", "AÑO-MES"], "skip": ["AÑO", "NUM_MES"],
+        "filename": PARAMETERS["files"]["pasajeros"], "encoding": "utf-8-sig", "separator": ",",
+        "text": ["MES", "SEM_AÑO", "LÍNEA_O", "AÑO-MES"],
     },
     "poblacion": {
-        "filename": "proyecciones_de_poblacion_medellin_2019.csv",
+        "filename": PARAMETERS["files"]["poblacion"],
         "encoding": "utf-8", "separator": ",",
-        "text": ["tipo_division_geografica", "codigo", "grupo_edad"], "skip": [],
+        "text": ["tipo_division_geografica", "codigo", "grupo_edad"],
     },
     "simm": {
-        "filename": "simmtrafficdata.csv", "encoding": "utf-8", "separator": ",",
+        "filename": PARAMETERS["files"]["simm"], "encoding": "utf-8", "separator": ",",
         "text": ["CORREDOR", "DISPOSITIVO", "MES", "SENTIDO", "INDRA.MENSAJE",
                  "INDRA.PARAMETRO", "INDRA.TIPO", "INDRA.VERSION"],
-        "skip": ["FECHAHORA", "LOCATION", "INDRA.TIMESTAMP", "INDRA.CONSECUTIVO"],
     },
     "velocidad": {
-        "filename": "velocidad_e_intensidad_vehicular_en_medellin.csv",
+        "filename": PARAMETERS["files"]["velocidad"],
         "encoding": "utf-8", "separator": ",",
         "text": ["carril", "dia", "mes", "corredor", "sentido", "operacion",
                  "tipo_subsistema", "nombre_comuna"],
-        "skip": ["fecha_trafico", "fecha", "hora", "longitud", "latitud",
-                 "identificador_f_v", "codigo_comuna", "comuna"],
     },
 }
 # ---------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from viario.functions.numbers import no_nan
@@ -83,6 +85,8 @@ def _in_brackets(df: DataFrame, value: str, probs: dict[str, float], limit: int)
     # Moving the values between two brackets to the next one keeps the order of all values
     # and the values inside the brackets, so the quantiles stay the same.
     brackets = list(zip(at[::2], at[1::2]))
+    if not _hold(df, v, n, sorted(probs.values()), brackets):
+        return _by_position(value_counts_by_group(df, value, []), probs, [])
     snapped = F.when(v.isNull(), v)
     for low, high in brackets:
         snapped = snapped.when(v < low, F.lit(low)).when(v <= high, v)
@@ -90,6 +94,15 @@ def _in_brackets(df: DataFrame, value: str, probs: dict[str, float], limit: int)
     return _from_buffer(value_counts_by_group(moved, value, []), probs)
 
 
+def _hold(df: DataFrame, v: Column, n: int, probs: list[float], brackets: list[tuple]) -> bool:
+    """Whether the values at each quantile's position lie in its bracket, by counting."""
+    counts = df.agg(*[c for low, high in brackets for c in (F.count_if(v < low), F.count_if(v <= high))]).first()
+    return all(
+        counts[2 * i] <= math.floor(p * (n - 1)) and math.ceil(p * (n - 1)) < counts[2 * i + 1]
+        for i, p in enumerate(probs)
+    )
+
+
 def _by_position(counted: DataFrame, probs: dict[str, float], keys: list[str]) -> DataFrame:
     placed = weight_before(counted, [*keys, "__v"], "__n", "__before")
     if keys:

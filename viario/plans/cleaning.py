@@ -46,7 +46,7 @@ class CsvCleaner:
             self.spark, source, encoding=spec["encoding"], separator=spec["separator"],
             row_numbers=True,
         )
-        names = spec.get("text") or text_columns(table.drop(FILE, ROW_NUMBER), spec.get("skip", []))
+        names = spec.get("text") or text_columns(table.drop(FILE, ROW_NUMBER))
         log = materialise(change_log(table, names, spec["filename"], ROW_NUMBER), "cleaning-log")
         self._logs.append(log)
         if not self.dry_run:
