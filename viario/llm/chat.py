@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import sys
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,22 +64,20 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 
 def masked_text(formatted: str, spans: list[tuple[int, int]], starts, stops, mask) -> str:
     """The text under the mask: each span's characters that masked tokens cover, unescaped."""
-    parts = []
     ends = [b for _, b in spans]
-    taken: dict[int, list[tuple[int, int]]] = {}
+    taken: list[list[str]] = [[] for _ in spans]
+    at, i = 0, 0
     for a, b, on in zip(starts, stops, mask):
         if on:
-            i = int(np.searchsorted(ends, a, side="right"))
-            while i < len(spans) and spans[i][0] < b:
-                taken.setdefault(i, []).append((max(a, spans[i][0]), min(b, spans[i][1])))
-                i += 1
-    for i in sorted(taken):
-        at, text = 0, []
-        for a, b in sorted(taken[i]):
-            text.append(formatted[max(a, at):b])  # parts of one character share its place
+            i = bisect_right(ends, a, i)
+            for j in range(i, len(spans)):
+                low, high = max(a, at, spans[j][0]), min(b, spans[j][1])  # parts of one character share its place
+                if spans[j][0] >= b:
+                    break
+                if low < high:
+                    taken[j].append(formatted[low:high])
             at = max(at, b)
-        parts.append(unescape("".join(text)))
-    return "".join(parts)
+    return "".join(unescape("".join(own)) for own in taken)
 
 
 def loss_mask(starts: np.ndarray, stops: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
