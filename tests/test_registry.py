@@ -3,11 +3,11 @@
 import pytest
 
 import __spark_entry__ as contract
+from registry.tables import QUERIES, SQL
 from tests.compare import connect, differences, plan_of
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
-PYTHON = {"isolation_forest", "isolation_forest_salted", "detector_run"}
+PYTHON = {"isolation_forest", "isolation_forest_salted", "detector_run", "forest_by_saved_model"}
 
 
 @pytest.fixture(scope="module")
@@ -29,5 +29,9 @@ def test_query(spark, con, name):
         assert len(df.collect()) > 0
 
 
+def test_all_are_registered():
+    assert QUERIES.items() <= contract.queries().items() and SQL.items() <= contract.oracle_sql().items()
+
+
 def test_entry(spark):
     assert contract.entry(spark).columns == ["rank", "corredor", "icv_medio", "icv_maximo", "n_registros"]
