@@ -26,11 +26,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WINDOW, STEP = 32, 16
 WORD_SIZE, CHAR_SIZE, HIDDEN, ATTENTION = 12, 8, 8, 8
 CHAR_ROWS = 4096
-SAMPLE = {1: 800, 0: 3200}   # labelled texts to learn from, at most, by label
+SAMPLE = {1: 600, 0: 1800}   # labelled texts to learn from, at most, by label
 SAMPLE_CHARS = 20_000        # of each of them
 MIN_TEXTS = 3                # of the sample that must have a word for it to get a vector
 ROUNDS, BATCH, SUSPECTS, RATE = 11, 64, 3, 0.01
 HELD_BACK = 5                # every fifth text of the sample only calibrates
+AT_ONCE = 4096               # windows that go through the network together
 _PAD = -1
 
 
@@ -177,9 +178,9 @@ class Network:
             x, _, row = self.table(words)
             rows = np.where(places >= 0, row[places], _PAD)
             whole = rows[:, -1] >= 0  # windows without gaps need no masks
-            for some in (whole, ~whole):
-                if some.any():
-                    np.maximum.at(best, owner[some], self.forward(x, rows[some])[0])
+            for some in (np.flatnonzero(whole), np.flatnonzero(~whole)):
+                for part in np.array_split(some, -(-len(some) // AT_ONCE)) if len(some) else ():
+                    np.maximum.at(best, owner[part], self.forward(x, rows[part])[0])
         return best
 
     def probability(self, output: np.ndarray) -> np.ndarray:
@@ -189,9 +190,9 @@ class Network:
 def _telling(words: Words, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words in enough texts, sorted by hash, and how strongly each stands for toxic texts (a z-value)."""
     text = np.repeat(np.arange(len(labels)), np.diff(words.first))
-    pairs = np.unique(np.stack([words.hash, text.astype(np.uint64)], axis=1), axis=0)
-    names, row = np.unique(pairs[:, 0], return_inverse=True)
-    toxic = labels[pairs[:, 1].astype(np.int64)]
+    names, row = np.unique(words.hash, return_inverse=True)
+    pairs = np.unique(row * len(labels) + text)  # a word counts once in a text
+    row, toxic = pairs // len(labels), labels[pairs % len(labels)]
     a, b = np.bincount(row, toxic, len(names)), np.bincount(row, 1 - toxic, len(names))
     some = a + b >= MIN_TEXTS
     odds = np.log((a + 1) / (labels.sum() + 2)) - np.log((b + 1) / ((1 - labels).sum() + 2))
@@ -204,13 +205,9 @@ def train(texts: list[str], labels: list[int], share: float | None = None, seed:
     `share` is the share of toxic texts to expect; without it the sample's.
     """
     label = np.array(labels, np.int64)
-    tokens = Tokeniser("letters", lower=True)
-    data = "\n".join(texts).encode()
-    at = np.concatenate([[0], np.cumsum([len(t.encode()) + 1 for t in texts])]).astype(np.int64)
-    at[-1] = len(data)
     if not len(texts) or label.min() == label.max():
         return None
-    words = tokens.words(np.frombuffer(data, np.uint8), at)
+    words = _all_words(texts)
     learn = np.arange(len(texts)) % HELD_BACK != 0
     if len({*label[learn].tolist()}) < 2 or len({*label[~learn].tolist()}) < 2:
         learn[:] = True
@@ -222,7 +219,8 @@ def train(texts: list[str], labels: list[int], share: float | None = None, seed:
     net.p["word"][:-1, 0] = telling / 4
     x, source, row = net.table(words)
     places, owner = windows(words.first)
-    rows = np.where(places >= 0, row[places], _PAD)
+    rows = np.where(places >= 0, row[places], _PAD).astype(np.int32)
+    del places
     hint = np.append(np.append(telling, 0.0)[source[0]], -np.inf)[rows].max(axis=1)
     border = np.searchsorted(owner, np.arange(len(texts) + 1))
     rng = np.random.default_rng(seed)
@@ -277,8 +275,24 @@ def _part(net: Network, source: tuple, rows: np.ndarray) -> tuple[np.ndarray, tu
 
 
 def _forward_some(net: Network, source: tuple, rows: np.ndarray) -> np.ndarray:
-    x, _, small = _part(net, source, rows)
-    return net.forward(x, small)[0]
+    out = []
+    for some in np.array_split(rows, max(1, -(-len(rows) // AT_ONCE))):
+        x, _, small = _part(net, source, some)
+        out.append(net.forward(x, small)[0])
+    return np.concatenate(out)
+
+
+def _all_words(texts: list[str]) -> Words:
+    """The words of all texts, found slice by slice."""
+    tokens, start, end, hashes, first, data, at = Tokeniser("letters", lower=True), [], [], [], [np.zeros(1, np.int64)], [], 0
+    for _, _, words in tokens.slices(pa.array(texts, pa.large_string())):
+        start.append(words.start + at)
+        end.append(words.end + at)
+        hashes.append(words.hash)
+        first.append(words.first[1:] + first[-1][-1])
+        data.append(words.data)
+        at += len(words.data)
+    return Words(*(np.concatenate(parts) for parts in (data, start, end, hashes, first)))
 
 
 def _calibrate(net: Network, output: np.ndarray, label: np.ndarray, share: float) -> None:
