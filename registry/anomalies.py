@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 from registry.tables import (
     ALONG_SQL, CONFIG, DIGITS, FENCE_SQL, MASTER_SQL, Z_OPTIONS, anomalies, flagged, from_flagged,
@@ -208,42 +208,47 @@ def density_noise_split_cells(spark, sf):
     return noise.detect_noise(_located(spark, sf), cell_points=2).select("vec_id", "dbscan_anomaly")
 
 
-@query("stratified_sample", f"""WITH {MASTER_SQL},
-g AS (SELECT nombre_comuna, count(*) AS n FROM master GROUP BY nombre_comuna)
-SELECT nombre_comuna, least(n, greatest(10, CAST(floor(5000 * n / (SELECT count(*) FROM master)) AS BIGINT))) AS n FROM g""")
-def stratified_sample(spark, sf):
-    rows = sampling.sample_stratified(master(spark, sf), 5000)
-    return rows.groupBy("nombre_comuna").agg(F.count(F.lit(1)).alias("n"))
+def _spread_key(key: Column) -> Column:
+    """A rank both engines can compute: odd steps through 63 bits, then the sign bit by the last bit."""
+    mixed = key * F.lit(40503) % F.lit(65521) * F.lit(65521) + key % F.lit(65521)
+    return mixed * F.lit(2147483647) + F.when(key % 2 == 0, F.lit(-(1 << 63))).otherwise(F.lit(0))
 
 
-@query("bounded_sample", "SELECT least(count(*), 3000) AS n, least(count(*), 3000) AS distintos FROM events")
-def bounded_sample(spark, sf):
-    rows = sampling.sample_rows(table(spark, sf, "events"), 3000)
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("distintos"))
+def _spread_sql(key: str) -> str:
+    return (f"((CAST({key} AS HUGEINT) * 40503 % 65521 * 65521 + ({key}) % 65521) * 2147483647 "
+            f"+ CASE WHEN ({key}) % 2 = 0 THEN 9223372036854775808::HUGEINT ELSE 0 END)")
 
 
-def _spread_key(key: str):
-    """A rank both engines can compute: odd steps through 63 bits, then the sign bit by the last bit."""
-    mixed = F.col(key) * F.lit(40503) % F.lit(65521) * F.lit(65521) + F.col(key) % F.lit(65521)
-    return mixed * F.lit(2147483647) + F.when(F.col(key) % 2 == 0, F.lit(-(1 << 63))).otherwise(F.lit(0))
+@query("stratified_sample", f"""WITH {MASTER_SQL},
+r AS (SELECT l_orderkey, l_linenumber, l_partkey, nombre_comuna, count(*) OVER (PARTITION BY nombre_comuna) AS n,
+  row_number() OVER (PARTITION BY nombre_comuna ORDER BY {_spread_sql("l_orderkey * 8 + l_linenumber")}, l_orderkey, l_linenumber, l_partkey) AS place
+  FROM master)
+SELECT l_orderkey, l_linenumber, l_partkey, nombre_comuna FROM r
+WHERE place <= greatest(10, CAST(floor(5000 * n / (SELECT count(*) FROM master)) AS BIGINT))""")
+def stratified_sample(spark, sf):
+    rows = master(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "nombre_comuna")
+    key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    return sampling.sample_stratified(rows, 5000, rank=_spread_key(key))
 
 
-SPREAD_KEY_SQL = """((CAST(event_id AS HUGEINT) * 40503 % 65521 * 65521 + event_id % 65521) * 2147483647
-  + CASE WHEN event_id % 2 = 0 THEN 9223372036854775808::HUGEINT ELSE 0 END)"""
+@query("bounded_sample", f"""SELECT event_id, user_id FROM events ORDER BY {_spread_sql("event_id")}, event_id LIMIT 3000""")
+def bounded_sample(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", "user_id")
+    return sampling.sample_rows(rows, 3000, rank=_spread_key(F.col("event_id")))
 
 
-@query("sampled_rows", f"""SELECT event_id FROM events ORDER BY {SPREAD_KEY_SQL}, event_id LIMIT 777""")
+@query("sampled_rows", f"""SELECT event_id FROM events ORDER BY {_spread_sql("event_id")}, event_id LIMIT 777""")
 def sampled_rows(spark, sf):
     """The sample is the rows with the smallest ranks, whatever the way they are found."""
     events = table(spark, sf, "events")
-    return sampling.sample_rows(events, 777, row_id=["event_id"], rank=_spread_key("event_id")).select("event_id")
+    return sampling.sample_rows(events, 777, row_id=["event_id"], rank=_spread_key(F.col("event_id"))).select("event_id")
 
 
-@query("sampled_rows_in_buckets", f"""SELECT event_id FROM events ORDER BY {SPREAD_KEY_SQL}, event_id LIMIT 777""")
+@query("sampled_rows_in_buckets", f"""SELECT event_id FROM events ORDER BY {_spread_sql("event_id")}, event_id LIMIT 777""")
 def sampled_rows_in_buckets(spark, sf):
     events = table(spark, sf, "events")
     return sampling.sample_rows(
-        events, 777, row_id=["event_id"], rank=_spread_key("event_id"), bucket_rows=100).select("event_id")
+        events, 777, row_id=["event_id"], rank=_spread_key(F.col("event_id")), bucket_rows=100).select("event_id")
 
 
 @query("detector_run")

@@ -130,12 +130,11 @@ def master_table(spark, sf):
 
 
 @query("hotspot_membership", from_hotspots("""
-SELECT corredor, corredor IN (SELECT corredor FROM hotspots WHERE intensidad > 90000 AND franja_horaria = 'noche') AS es_hotspot
-FROM master GROUP BY corredor"""))
+SELECT l_partkey, l_partkey IN (SELECT l_partkey FROM hotspots) AS es_hotspot FROM master GROUP BY l_partkey"""))
 def hotspot_membership(spark, sf):
+    """Parts with and without a row among all hotspots."""
     df = master(spark, sf)
-    spots = ranking.hotspots(df, CONFIG).where("intensidad > 90000 AND franja_horaria = 'noche'")
-    return joins.flag_members(df.select("corredor").distinct(), spots, "corredor", "es_hotspot")
+    return joins.flag_members(df.select("l_partkey").distinct(), ranking.hotspots(df, CONFIG), "l_partkey", "es_hotspot")
 
 
 @query("available_corridors", from_master("""
