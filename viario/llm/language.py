@@ -54,7 +54,7 @@ def learn_dictionaries(documents: DataFrame, text: str = "text", lang: str = "la
     chosen = keys.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= texts)
     rows = (
         labelled.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
-        .join(chosen, ["lang", "key"]).groupBy("lang", "rank")
+        .join(F.broadcast(chosen), ["lang", "key"]).groupBy("lang", "rank")
         .agg(F.min(F.substring("text", 1, size // 20)).alias("text"))
     )
     found: dict[str, bytearray] = {}
