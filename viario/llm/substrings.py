@@ -31,6 +31,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WINDOW_WORDS = 35
 PHRASE_WORDS = 8
 SHARD_WORDS = 400_000     # words of segments behind one automaton
+HELD_BYTES = 16_000_000   # of segments that a task gathers before it sends them
 CROWD = 100_000           # phrases with more occurrences are taken apart into their windows
 _FIRST_LETTER = 0x10000   # words become letters from here on; about a million are free
 _LETTERS = 0x10FFFF - _FIRST_LETTER
@@ -96,18 +97,29 @@ def _phrases(texts: DataFrame, window: int, phrase: int) -> DataFrame:
     return texts.select("text", "key", "key2").mapInArrow(run, "phrase long, key long, key2 long, times long")
 
 
+_OCCURRENCES = ["keys", "keys2", "copies", "starts"]
+
+
 def _segments(texts: DataFrame, window: int, phrase: int, each_window: bool) -> DataFrame:
     """The words of the windows that chose one of a text's `phrases`: runs of neighbours, or each on its own.
 
     `name` is the phrase, or the hash of the window, so that equal passages have equal names.
+    Equal passages of the texts at hand are one row with a list of their places, so what many
+    texts share is sent once per task and not once per text.
     """
-    names = ["name", "key", "key2", "copies", "start", "words"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    names = ["name", "words", *_OCCURRENCES]
+    kinds = [pa.int64(), pa.string(), *[pa.list_(pa.int64())] * 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokeniser()
-        out: list[tuple] = []
+        found: dict[tuple[int, bytes], tuple[list, list, list, list]] = {}
         size = 0
+
+        def flush() -> pa.RecordBatch:
+            columns = [[n - (n >> 63 << 64) for n, _ in found], [t for _, t in found]]
+            columns += [[places[c] for places in found.values()] for c in range(4)]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
         for batch in batches:
             own = [c.to_pylist() for c in batch.columns[1:4]]
             wanted = [np.array(v, np.int64).view(np.uint64) for v in batch.column(4).to_pylist()]
@@ -125,18 +137,23 @@ def _segments(texts: DataFrame, window: int, phrase: int, each_window: bool) ->
                         runs = zip(at[[0, *(cut + 1)]].tolist(), at[[*cut, len(at) - 1]].tolist())
                     for a, b in runs:
                         text = words.text(a, b + window)
-                        name = int(low[a])
-                        out.append((name - (name >> 63 << 64), own[0][i], own[1][i], own[2][i], a - first, text))
-                        size += len(text)
-                if size > 4_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
-                    out, size = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
-
-    schema = "name long, key long, key2 long, copies long, start long, words string"
-    found = texts.select("text", "key", "key2", "copies", "phrases").mapInArrow(run, schema)
-    return found.withColumn("name", F.xxhash64("words")) if each_window else found
+                        places = found.get((int(low[a]), text))
+                        if places is None:
+                            places = found[int(low[a]), text] = ([], [], [], [])
+                            size += len(text) + 200
+                        for column, value in zip(places, (own[0][i], own[1][i], own[2][i], a - first)):
+                            column.append(value)
+                        size += 40
+                if size > HELD_BYTES:
+                    yield flush()
+                    found.clear()
+                    size = 0
+        if found:
+            yield flush()
+
+    schema = "name long, words string, keys array<long>, keys2 array<long>, copies array<long>, starts array<long>"
+    segments = texts.select("text", "key", "key2", "copies", "phrases").mapInArrow(run, schema)
+    return segments.withColumn("name", F.xxhash64("words")) if each_window else segments
 
 
 class _Shard:
@@ -145,16 +162,16 @@ class _Shard:
     def __init__(self, window: int):
         self.window, self.size = window, 0
         self.letters: dict[str, int] = {}
-        self.rows: list[tuple[int, int, int, str]] = []   # key, key2, start, segment in letters
+        self.rows: list[tuple[str, list, list, list]] = []  # segment in letters, its places: keys and starts
         self.passages: set[str] = set()
         self.group: dict[str, int] = {}                   # segments of the phrase at hand, with their number
 
-    def add(self, key: int, key2: int, start: int, copies: int, words: str) -> None:
+    def add(self, words: str, keys: list[int], keys2: list[int], copies: list[int], starts: list[int]) -> None:
         letters = self.letters
         text = "".join([chr(_FIRST_LETTER + letters.setdefault(w, len(letters))) for w in words.split(" ")])
-        self.rows.append((key, key2, start, text))
-        self.group[text] = self.group.get(text, 0) + copies
-        self.size += len(text)
+        self.rows.append((text, keys, keys2, starts))
+        self.group[text] = self.group.get(text, 0) + sum(copies)
+        self.size += len(text) + len(keys)
 
     def close_group(self) -> None:
         """Confirm the longest passages of the group in which every window stands more than once."""
@@ -189,17 +206,14 @@ class _Shard:
             for text in self.passages:
                 machine.add_word(text)
             machine.make_automaton()
-            known: dict[str, list[tuple[int, int]]] = {}
-            for key, key2, start, text in self.rows:
-                if text not in known:
-                    spans: list[tuple[int, int]] = []
-                    for last, length in machine.iter(text):
-                        a = last + 1 - length
-                        while spans and spans[-1][1] >= a:  # ends come in order
-                            a = min(a, spans.pop()[0])
-                        spans.append((a, last + 1))
-                    known[text] = spans
-                found += [(key, key2, start + a, start + b) for a, b in known[text]]
+            for text, keys, keys2, starts in self.rows:
+                spans: list[tuple[int, int]] = []
+                for last, length in machine.iter(text):
+                    a = last + 1 - length
+                    while spans and spans[-1][1] >= a:  # ends come in order
+                        a = min(a, spans.pop()[0])
+                    spans.append((a, last + 1))
+                found += [(k, k2, s + a, s + b) for k, k2, s in zip(keys, keys2, starts) for a, b in spans]
         table = np.array(found, dtype=np.int64).reshape(-1, 4)
         return pa.RecordBatch.from_arrays([pa.array(table[:, i]) for i in range(4)], ["key", "key2", "start", "stop"])
 
@@ -220,7 +234,7 @@ def _locate(segments: DataFrame, window: int, shard_words: int) -> DataFrame:
         shard.close_group()
         yield shard.occurrences()
 
-    dealt = segments.select("name", "key", "key2", "start", "copies", "words").repartition("name")
+    dealt = segments.select("name", "words", *_OCCURRENCES).repartition("name")
     return dealt.sortWithinPartitions("name").mapInArrow(run, "key long, key2 long, start long, stop long")
 
 
@@ -290,12 +304,14 @@ def find_repeated(documents: DataFrame, text: str = "text", window: int = WINDOW
     if not often.where(F.col("n") > crowd).isEmpty():
         # Windows of crowded phrases are added up before they are dealt, and found again by their hash.
         windows = _segments(crowded, window, phrase, each_window=True).withColumn("name2", F.xxhash64(F.lit(1), "words"))
-        added = windows.groupBy("name", "name2", "words").agg(F.sum("copies").alias("copies"))
-        known = _locate(added.select("name", F.col("name").alias("key"), F.col("name2").alias("key2"),
-                                     F.lit(0).cast("long").alias("start"), "copies", "words"), window, shard_words)
+        times = F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c)
+        added = windows.groupBy("name", "name2", "words").agg(F.sum(times).alias("n"))
+        known = _locate(added.select(
+            "name", "words", F.array("name").alias("keys"), F.array("name2").alias("keys2"), F.array("n").alias("copies"),
+            F.array(F.lit(0).cast("long")).alias("starts")), window, shard_words)
         known = known.select(F.col("key").alias("name"), F.col("key2").alias("name2"), (F.col("stop") - F.col("start")).alias("n"))
-        places = windows.select("name", "name2", "key", "key2", "start").join(known, ["name", "name2"])
-        ranges = ranges.union(places.select("key", "key2", "start", F.col("start") + F.col("n")))
+        places = windows.join(known, ["name", "name2"]).select("n", F.explode(F.arrays_zip("keys", "keys2", "starts")).alias("p"))
+        ranges = ranges.union(places.select("p.keys", "p.keys2", "p.starts", F.col("p.starts") + F.col("n")))
     spans = ranges.groupBy("key", "key2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return _remove(texts.join(spans, ["key", "key2"], "left"), digest), keyed
 
