@@ -26,7 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ORDER = 2
 STRENGTH = 300.0          # K
-BLOCK_BYTES = 5_000_000   # of text in a block
+BLOCK_BYTES = 4_000_000   # of text in a block
 SHARD_GRAMS = 2_500_000   # n-grams sent to a shard, about
 _END = 0xA0761D6478BD642E
 _ADD = 0.1
