@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import viario.llm.toxicity as toxicity
 from tests.llm.frames import AWKWARD, documents, prose
+from viario.llm.queries import QUERIES
 from viario.llm.toxicity import Network, learn_toxicity, score_toxicity, train, trigrams, windows
 from viario.llm.words import Tokeniser
 
@@ -110,3 +111,18 @@ def test_given_labels(spark, monkeypatch):
     flagged = found["score"] >= 0.3
     assert (flagged & (found.toxic == 1)).sum() / (found.toxic == 1).sum() > 0.75
     assert (flagged & (found.toxic == 0)).sum() / (found.toxic == 0).sum() < 0.05
+
+
+def test_held_out_labels_have_no_say(spark, tmp_path):
+    seen, labels = texts(4, 400)
+    documents(spark, seen).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(i, y) for i, y in enumerate(labels)]
+    held = {r.doc_id for r in spark.range(400).toDF("doc_id").where(F.crc32(F.col("doc_id").cast("string")) % 4 == 2).collect()}
+    own = [r for r in rows if r[0] not in held]
+    scores = []
+    for given in (rows, [(i, 1 - y if i in held else y) for i, y in rows], own, own + [(10_000 + i, 1) for i in range(500)]):
+        spark.createDataFrame(given, "doc_id long, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+        found = QUERIES["op7_toxicity"](spark, str(tmp_path)).orderBy("doc_id").collect()
+        scores.append([r.score for r in found])
+    assert len(scores[0]) == 400 and max(scores[0]) > 0.5
+    assert all(np.allclose(s, scores[0], atol=1e-6) for s in scores[1:])

@@ -321,16 +321,17 @@ def learn_toxicity(documents: DataFrame, labels: DataFrame, text: str = "text",
                    toxic: str = "toxic", sample: dict[int, int] | None = None) -> Network | None:
     """A network trained on a bounded sample of labelled documents (SAMPLE texts of SAMPLE_CHARS characters).
 
-    The sample is, for each label, the different texts with the smallest hashes. Rows without id,
-    text or label are left out; None if a label is missing.
+    The sample is, for each label, the different texts with the smallest hashes; the share of toxic
+    texts to expect is that of the labelled documents given. Labels of other documents have no say.
+    Rows without id, text or label are left out; None if a label is missing.
     """
     sample = SAMPLE if sample is None else sample
     marks = labels.select(F.col(doc_id).alias("id"), F.col(toxic).cast("int").alias("toxic")).where(
         "id IS NOT NULL AND toxic IN (0, 1)").distinct()
     texts = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("key")).where(
         "text IS NOT NULL")
-    counts = {r.toxic: r.n for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     keys = marks.join(texts.select("id", "key"), "id")
+    counts = {r.toxic: r.n for r in keys.groupBy("toxic").agg(F.count_distinct("id").alias("n")).collect()}
     chosen = None
     for label, most in sample.items():
         some = keys.where(F.col("toxic") == label).groupBy("key").agg(F.min("id").alias("id")).orderBy("key").limit(most)
