@@ -91,3 +91,22 @@ def test_nulls_repeats_and_empty(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in found) == [(0, 0), (0, 0), (4, 4), (4, 4), (9, 4)]
     assert sorted(r.doc_id or 0 for r in keep_one(rows).collect()) == [0, 0, 4]
     assert near_duplicates(rows.where("false")).count() == 0 and keep_one(rows.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("equal_rows", [2, 10_000])
+def test_one_row_of_each_group_whatever_the_ids(spark, equal_rows):
+    a, b, c, d, e = (prose(i, 60) for i in range(500, 505))
+    assert b < c  # the second 5 has the smaller text and is near 3
+    texts = [c, b, b, c, a, d, d.upper(), d, e, e, e, a]
+    ids = [5, 5, 3, 9, None, None, None, None, 7, 7, 7, None]
+    rows = documents(spark, texts, ids=ids, sources=["s"] * len(texts))
+    found = keep_one(rows, equal_rows=equal_rows).collect()
+    prints = [brute_print(t) for t in texts]
+    groups = brute_components(prints)
+    assert sorted(groups[texts.index(r.text)] for r in found) == sorted(set(groups))
+    assert sorted((r.doc_id or 0, r.text.lower()) for r in found) == sorted([(5, c), (3, b), (0, a), (0, d), (7, e)])
+    again = keep_one(rows.orderBy(F.col("text").desc()).repartition(5), equal_rows=equal_rows).collect()
+    assert sorted(map(repr, found)) == sorted(map(repr, again))
+    # columns that are null in turn are not equal
+    odd = rows.limit(1).select(F.lit(1).alias("doc_id"), F.lit(a).alias("text"), F.lit(None).cast("string").alias("x"), F.lit("v").alias("y"))
+    assert keep_one(odd.union(odd.select("doc_id", "text", "y", "x"))).count() == 1

@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from viario.llm.components import connected_components
 from viario.llm.words import kept
@@ -30,6 +30,7 @@ MAX_BITS = 4
 SEED = 42
 GROUPS = 8              # of four segments, a byte each
 CELL_ROWS = 20_000      # different fingerprints of a cell compared in one piece; larger cells are cut
+EQUAL_ROWS = 10_000     # rows equal in all columns that may meet in one task
 _EVEN = 0x5555555555555555
 
 
@@ -186,25 +187,44 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
     """
     rows = materialise(add_fingerprints(documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")),
                                         size=size), "fingerprints")
-    prints = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    links = link_fingerprints(prints.select("fingerprint"), bits, cell_rows)
-    roots = connected_components(links)
-    rooted = prints.join(roots, prints.fingerprint == roots.node, "left").select(
-        "fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
+    rooted = _rooted(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), bits, cell_rows)
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(names, "root").select("fingerprint", "component_id")
     return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id.
+def _rooted(prints: DataFrame, bits: int, cell_rows: int) -> DataFrame:
+    """fingerprint, first and root, which names the component, for rows (fingerprint, first) without repeats."""
+    roots = connected_components(link_fingerprints(prints.select("fingerprint"), bits, cell_rows))
+    return prints.join(roots, prints.fingerprint == roots.node, "left").select(
+        "fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
+
+
+def keep_one(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE_WORDS,
+             bits: int = MAX_BITS, cell_rows: int = CELL_ROWS, equal_rows: int = EQUAL_ROWS) -> DataFrame:
+    """One row of each group of near-duplicates: the one with the smallest id, rows without id last.
 
-    Rows that repeat an id are one document, of which the row with the smallest text stays;
-    rows without an id are not judged and stay.
+    Rows are judged one by one, whatever ids they share; among rows of one id the hash of the text
+    and then that of all columns decides. Of rows that are equal in all columns one stays; those
+    that more than `equal_rows` rows equal become one before they are moved.
     """
-    found = near_duplicates(documents, text, doc_id, **options)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    own = documents.join(kept, F.col(f"`{doc_id}`") == F.col("__kept"))
-    first = Window.partitionBy("__kept").orderBy(F.col(f"`{text}`"))
-    one = own.withColumn("__row", F.row_number().over(first)).where("__row = 1")
-    return one.select(documents.columns).union(documents.where(F.col(f"`{doc_id}`").isNull()))
+    keys = ["__text", "__row"]
+    marks = [m for c in documents.columns for m in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]  # hashes pass over nulls
+    own = documents.withColumns({"__text": F.xxhash64(F.col(f"`{text}`")), "__row": F.xxhash64(*marks)})
+    rows = add_fingerprints(own.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col("__text").alias("text_key"),
+                                       F.col("__row").alias("row_key"), F.col(f"`{text}`").alias("text")), size=size)
+    rows = materialise(rows.groupBy("fingerprint", "doc_id", "text_key", "row_key").agg(F.count("*").alias("n")), "fingerprints")
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_key", "row_key", "n")).alias("first")
+    best = _rooted(rows.groupBy("fingerprint").agg(first), bits, cell_rows).groupBy("root").agg(F.min("first").alias("first"))
+    best = materialise(best.select(F.col("first.text_key").alias("__text"), F.col("first.row_key").alias("__row"), "first.n"), "kept-rows")
+    crowds = rows.where(F.col("n") > equal_rows).select(F.col("text_key").alias("__text"), F.col("row_key").alias("__row"))
+    crowded = not crowds.isEmpty()
+    # There are no more crowds than all rows divided by equal_rows, so their keys may go to every task.
+    alone = own.join(F.broadcast(crowds), keys, "left_anti") if crowded else own
+    kept = alone.join(best.select(keys), keys)
+    if not best.where(F.col("n").between(2, equal_rows)).isEmpty():
+        kept = kept.dropDuplicates(keys)
+    if crowded:
+        heads = best.where(F.col("n") > equal_rows).select(keys)
+        kept = kept.unionByName(own.join(F.broadcast(heads), keys).dropDuplicates(keys))
+    return kept.select([F.col(f"`{c}`") for c in documents.columns])
