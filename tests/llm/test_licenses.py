@@ -77,3 +77,13 @@ def test_nulls_repeats_and_empty(spark):
     assert scan(rows, template_table(spark, {"none": ["", "..."]})).count() == 0
     got = rows.select(shingles(words(F.lit("one two")), 5)).first()[0]
     assert len(got) == 1
+
+
+def test_texts_that_share_an_id_are_judged_each(spark):
+    whole = max(TEMPLATES["Apache-2.0"], key=len)
+    part = " ".join(whole.split()[:len(whole.split()) * 3 // 5])
+    texts = [*[part + " " + prose(300 + i, 40) for i in range(20)], whole, *[part + " " + prose(400 + i, 40) for i in range(20)]]
+    templates = template_table(spark, {"Apache-2.0": [whole]})
+    for i in (1, None):
+        found = scan(documents(spark, texts, ids=[i] * len(texts)), templates).collect()
+        assert [(r.doc_id, r.license, r.containment, r.start) for r in found] == [(i, "Apache-2.0", 1.0, 0)]

@@ -137,14 +137,14 @@ def scan(documents: DataFrame, templates: DataFrame, text: str = "text", doc_id:
         last = F.greatest(F.lit(0), F.size("own") - n)
         starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(max(1, n // 4))), F.array(last)))
         cuts.append(F.transform(starts, _cut(n)))
-    windows = some.select("doc_id", "own", F.explode(F.concat(*cuts)).alias("w")).select(
-        "doc_id", F.col("w.start").alias("start"), F.col("w.n").alias("n"),
+    windows = some.select("doc_id", "own", F.xxhash64("own").alias("key"), F.explode(F.concat(*cuts)).alias("w")).select(
+        "doc_id", "key", F.col("w.start").alias("start"), F.col("w.n").alias("n"),
         F.slice("own", F.col("w.start") + 1, F.col("w.n") + F.floor(F.col("w.n") / 4).cast("int")).alias("own"))
     near = windows.where(F.arrays_overlap("own", every))
     keyed = near.select("*", F.posexplode(_smallest(F.col("own"), bands)).alias("band", "low"))
     wanted = known.select("license", "tag", "n", F.col("own").alias("whole"),
                           F.posexplode(_smallest(F.col("own"), bands)).alias("band", "low"))
-    pairs = keyed.join(wanted, ["n", "band", "low"]).dropDuplicates(["doc_id", "start", "n", "tag"])
+    pairs = keyed.join(wanted, ["n", "band", "low"]).dropDuplicates(["doc_id", "key", "start", "n", "tag"])
     share = F.size(F.array_intersect("own", "whole")) / F.size(F.array_distinct("whole"))
     hits = pairs.withColumn("containment", share).where(F.col("containment") >= min_containment)
     best = F.max_by(F.struct("containment", "start", "n"), F.struct("containment", -F.col("start"), "n")).alias("best")
