@@ -15,10 +15,13 @@ from pyspark import cloudpickle
 
 from viario.llm.chat import format_conversations, masked_text, read_turns
 from viario.llm.decontaminate import find_contamination
+from viario.llm.divergence import divergence
+from viario.llm.exact import exact_duplicates
 from viario.llm.language import identify, learn_dictionaries
 from viario.llm.licenses import TEMPLATES, scan, template_table
 from viario.llm.packing import copy_cluster, pack, word_count
 from viario.llm.quality import judge
+from viario.llm.runs import find_runs
 from viario.llm.scoring import score_documents
 from viario.llm.simhash import near_duplicates
 from viario.llm.substrings import remove_repeated
@@ -230,3 +233,102 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     net = learn_toxicity(rows.where(~F.col("held_out")), table(spark, folder, "labels"))
     return score_toxicity(rows, net, keep=["doc_id", "held_out"]).withColumn(
         "predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
+EXACT_SQL = r"""
+WITH doc AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256
+FROM doc"""
+
+
+@query("op11_exact", EXACT_SQL)
+def op11_exact(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_duplicates(table(spark, folder, "documents"), keep=["doc_id"])
+
+
+DIVERGENCE_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x40\x5B-\x60\x7B-\x7F]+'),
+    lambda w: w <> '') AS words FROM documents),
+word AS (SELECT i, lang, source, unnest(words) AS term FROM doc),
+cell AS (SELECT lang, source, term, count(*) AS c, count(DISTINCT i) AS d FROM word GROUP BY ALL),
+vocabulary AS (SELECT lang, term, sum(c) AS c FROM cell GROUP BY ALL HAVING sum(d) >= 30),
+size AS (SELECT lang, count(*) AS v, sum(c) AS n FROM vocabulary GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM doc),
+total AS (SELECT lang, source, sum(cell.c) AS n FROM cell JOIN vocabulary USING (lang, term) GROUP BY ALL),
+share AS (
+  SELECT g.lang, g.source, t.term, coalesce(cell.c, 0) AS c,
+    1 + CAST(floor((1000000000::HUGEINT * (coalesce(cell.c, 0) + 5)) // (coalesce(total.n, 0) + 5 * size.v)::HUGEINT) AS BIGINT) AS p,
+    1 + CAST(floor((1000000000::HUGEINT * (t.c + 5)::HUGEINT) // (size.n + 5 * size.v)::HUGEINT) AS BIGINT) AS q
+  FROM grp g JOIN vocabulary t ON g.lang = t.lang JOIN size ON size.lang = g.lang
+  LEFT JOIN cell ON cell.lang = g.lang AND cell.source = g.source AND cell.term = t.term
+  LEFT JOIN total ON total.lang = g.lang AND total.source = g.source),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value
+  FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+named AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pair.value, 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM share WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM named)
+WHERE part = 'pair' OR rank <= 50"""
+
+
+@query("op12_divergence", DIVERGENCE_SQL)
+def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence(table(spark, folder, "documents"))
+
+
+# crc32 bit by bit: a number is a byte of the id, -1 one step.
+_CRC_SQL = """xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+    lambda k: [ascii(CAST(doc_id AS VARCHAR)[k]), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"""
+RUNS_SQL = rf"""
+WITH doc AS (
+  SELECT doc_id, {_CRC_SQL} AS h, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda w: w <> '') AS own
+  FROM documents),
+placed AS (SELECT *, len(own) AS n, (h // 10) % greatest(len(own), 1) AS a, 3 + (h // 10) % 8 AS e FROM doc),
+changed AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(0, n), lambda i: own[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // e) END]) ELSE own END AS words
+  FROM placed),
+word AS (SELECT doc_id, n, unnest(words) AS w, unnest(range(0, n)) AS i FROM changed),
+same AS (
+  SELECT a.doc_id, b.i - a.i AS q, a.i FROM word a JOIN word b ON a.doc_id = b.doc_id AND a.w = b.w AND b.i > a.i AND 3 * (b.i - a.i) <= a.n),
+island AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM same),
+stretch AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM island GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(24, 3 * q)),
+run AS (SELECT doc_id, s, l, min(q) AS q FROM stretch GROUP BY doc_id, s, l),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM run GROUP BY doc_id),
+best AS (
+  SELECT a.doc_id, a.s, a.l, a.q FROM run a WHERE NOT EXISTS (
+    SELECT 1 FROM run b WHERE b.doc_id = a.doc_id AND (b.l * a.q > a.l * b.q OR (b.l * a.q = a.l * b.q AND (b.s < a.s OR (b.s = a.s AND b.q < a.q)))))),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM run),
+stays AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS text FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, q AS period, 1000 * l // q AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM doc LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN stays USING (doc_id)"""
+
+
+def with_planted_runs(documents: DataFrame) -> DataFrame:
+    """Every tenth text by the hash of its id becomes periodic from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    inner = F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))
+    chosen = (h % 10 == 0) & (inner != "")
+    rows = documents.withColumns({"g": F.floor(h / 10), "w": F.when(chosen, F.split(inner, r"[\x20\x09-\x0D]+"))})
+    rows = rows.withColumns({"n": F.size("w").cast("long"), "a": F.col("g") % F.size("w")})
+    rows = rows.withColumn("p", F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)) + 1)
+    index = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.when(
+        i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))
+    changed = F.array_join(F.transform(index, lambda i: F.get("w", i)), " ")
+    return rows.select("doc_id", F.when(F.col("w").isNotNull(), changed).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_runs", RUNS_SQL)
+def op13_runs(spark: SparkSession, folder: str) -> DataFrame:
+    rows = with_planted_runs(table(spark, folder, "documents").select("doc_id", "text"))
+    return find_runs(rows, keep=["doc_id"], digest=True).drop("n_words")
