@@ -14,6 +14,9 @@ COLUMNS = {
     "op5_scoring": "doc_id held_out n_tokens n_known train_tokens base_score score",
     "op6_language": "doc_id held_out lang_pred score",
     "op7_toxicity": "doc_id held_out score predicted",
+    "op11_exact": "doc_id keep_id group_size kept text_sha256",
+    "op12_divergence": "lang source part item value rank",
+    "op13_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
 }
 
 
@@ -39,4 +42,4 @@ def test_query(spark, con, name):
 
 def test_contract():
     names = contract.queries()
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13 and "pipeline" in names

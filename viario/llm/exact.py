@@ -33,6 +33,7 @@ TABLE_ROWS = 1 << 16    # rows of a task that may share one record
 HOT_ROWS = 1000         # records of one hash that may meet in one task
 ENTRY = 200             # bytes that an entry takes beside its text
 MAX_TASKS = 20_000
+SPARE = 8               # buckets for as many bytes as fit one table; they are dealt by hash, so not evenly
 _SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -138,7 +139,8 @@ def _records(groups: Groups, kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
 def _collapse(rows: DataFrame, names: list[str], table_bytes: int, table_rows: int) -> DataFrame:
     """Rows (kept columns, __id, __text) to members (kept columns, row, rep) and records, which have h."""
     record = _record_schema(rows.schema["__id"].dataType)
-    schema = T.StructType([*rows.select(names).schema.fields, *record.fields])
+    own = [T.StructField(f.name, f.dataType) for f in rows.select(names).schema.fields]  # null in records
+    schema = T.StructType([*own, *record.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -222,7 +224,7 @@ def _meet(records: DataFrame, bucket: list[str], table_bytes: int, final: bool)
                 yield batch.take(pa.array(spilled, pa.int64())).select(_RECORD)
         yield from close()
 
-    return records.select(*_RECORD, *bucket).mapInArrow(run, schema)
+    return records.select(*_RECORD, *[c for c in bucket if c not in _RECORD]).mapInArrow(run, schema)
 
 
 def _cool(records: DataFrame, hot_rows: int, table_bytes: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -246,9 +248,9 @@ def _resolve(records: DataFrame, table_bytes: int) -> DataFrame:
     done, level, spark = None, 0, records.sparkSession
     while True:
         total = records.agg(F.sum(F.col("size") + ENTRY)).first()[0] or 0
-        buckets = 8 * -(-total // table_bytes) + 1
+        buckets = int(total * SPARE / table_bytes) + 1
         tasks = min(MAX_TASKS, max(buckets // 4, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-        dealt = records.withColumn("__bucket", F.pmod(F.xxhash64("h", F.lit(level)), F.lit(max(buckets, tasks))))
+        dealt = records.withColumn("__bucket", F.pmod(F.xxhash64("h", F.lit(level)), F.lit(buckets)))
         dealt = dealt.repartition(tasks, "__bucket").sortWithinPartitions("__bucket")
         met = materialise(_meet(dealt, ["__bucket"], table_bytes, final=True), "resolved-texts")
         own = met.where("head IS NOT NULL").select("rep", "n", "id", "row", "sha")

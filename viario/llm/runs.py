@@ -23,7 +23,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from viario.llm.words import kept
 
@@ -261,14 +261,15 @@ def find_runs(documents: DataFrame, text: str = "text", keep: list[str] | None =
     schema = rows.drop("__text").schema
     for name in figures:
         schema = schema.add(name, "long")
+    span = T.StructType().add("start", "long").add("length", "long").add("period", "long")
     for name in last:
-        schema = schema.add(name, "array<struct<start:long,length:long,period:long>>" if name == "runs" else "string")
+        schema = schema.add(name, T.ArrayType(span) if name == "runs" else "string")
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cover, grid = Cover(), Grid()
-        span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
-        kinds = [*[pa.int64()] * len(figures), pa.string() if digest else span, pa.string()]
+        spans = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
+        kinds = [*[pa.int64()] * len(figures), pa.string() if digest else spans, pa.string()]
         for batch in batches:
             out = []
             for value in batch.column("__text"):
