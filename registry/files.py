@@ -20,6 +20,11 @@ def _target(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}-{name}"
 
 
+def _write_lines(lines, header: str, path: str) -> None:
+    """Lines as they are, after a header."""
+    lines.sparkSession.createDataFrame([(header,)], "value string").union(lines).coalesce(1).write.text(path)
+
+
 @query("csv_round_trip", """SELECT o_orderkey, o_custkey, o_orderpriority, o_totalprice, o_orderdate FROM orders""")
 def csv_round_trip(spark, sf):
     path = _target(spark, "orders")
@@ -51,6 +56,36 @@ def csv_record_numbers(spark, sf):
     return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(files.ROW_NUMBER).alias("fila"))
 
 
+@query("csv_stray_quotes", """SELECT doc_id, md5(CASE doc_id % 4 WHEN 0 THEN doc_id || '" pipe of "' || source || '"'
+  WHEN 1 THEN 'a "' || chr(10) || '", ' || source WHEN 2 THEN source || '" and, "' ELSE source END) AS huella FROM documents""")
+def csv_stray_quotes(spark, sf):
+    """Quotes inside fields without quotes are characters; in quoted ones they are doubled, or end the quoting."""
+    path = _target(spark, "stray")
+    kind = F.col("doc_id") % 4
+    field = (F.when(kind == 0, F.concat("doc_id", F.lit('" pipe of "'), "source", F.lit('"')))
+             .when(kind == 1, F.concat(F.lit('"a ""\n"", "'), "source")).when(kind == 2, F.concat(F.lit('"'), "source", F.lit('"" and, """')))
+             .otherwise(F.col("source")))
+    _write_lines(table(spark, sf, "documents").select(F.concat_ws(",", "doc_id", field)), "doc_id,campo", path)
+    back = files.read_csv(spark, path, encoding="utf-8")
+    return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5(F.col("campo").cast("binary")).alias("huella"))
+
+
+@query("csv_rejected_records", """
+SELECT o_orderkey % 7 = 0 AS con_comillas, 'too many fields' AS motivo, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS suma,
+  (SELECT count(*) FROM orders WHERE o_orderkey % 5 <> 0) AS leidos FROM orders WHERE o_orderkey % 5 = 0 GROUP BY ALL""")
+def csv_rejected_records(spark, sf):
+    """Records with too many fields come back with the reason; the others are read."""
+    path = _target(spark, "surplus")
+    key = F.col("o_orderkey")
+    extra = F.when(key % 5 == 0, F.concat(F.lit(","), key)).otherwise("")
+    text = F.concat(F.when(key % 7 == 0, F.lit('"two\nlines"')).otherwise("o_orderpriority"), extra)
+    _write_lines(table(spark, sf, "orders").select(F.concat_ws(",", "o_orderkey", text)), "o_orderkey,texto", path)
+    rows, bad, counts = files.read_csv_checked(spark, path, encoding="utf-8")
+    own = F.substring_index("texto", ",", 1).cast("bigint")
+    return bad.groupBy(F.contains("texto", F.lit('"')).alias("con_comillas"), "motivo").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(own).alias("suma")).withColumn("leidos", F.lit(counts["rows"]).cast("bigint"))
+
+
 @query("csv_latin_encoding", """SELECT doc_id, 'Año de ' || lang || ', Medellín' AS etiqueta FROM documents""")
 def csv_latin_encoding(spark, sf):
     """Bytes that are no UTF-8 are found and read as Latin-1."""

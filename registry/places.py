@@ -25,7 +25,8 @@ def _areas(spark, sf):
     regions = table(spark, sf, "region").select(
         F.col("r_name").alias("nombre_area"), (F.col("r_regionkey") * 1000.0).alias("total_2019"),
         (F.col("r_regionkey") + 1000).cast("bigint").alias(POSITION))
-    return nations.unionByName(regions)
+    nameless = spark.createDataFrame([("", 9.0, -1), (" -", 8.0, -2)], regions.schema)
+    return nations.unionByName(regions).unionByName(nameless)
 
 
 def _places(spark, sf):
@@ -43,13 +44,14 @@ def _places(spark, sf):
 
 @query("population_by_name", """
 WITH areas AS (SELECT lower(replace(n_name, '_', ' ')) AS k, n_nationkey * 10.0::DOUBLE + 5 AS v, n_nationkey::BIGINT AS pos FROM nation
-  UNION ALL SELECT lower(r_name), r_regionkey * 1000.0::DOUBLE, r_regionkey + 1000 FROM region),
+  UNION ALL SELECT lower(r_name), r_regionkey * 1000.0::DOUBLE, r_regionkey + 1000 FROM region
+  UNION ALL SELECT '', 9.0::DOUBLE, -1),
 names AS (SELECT s_suppkey, CASE WHEN s_acctbal < 2000 THEN 'zona ' || lower(replace(n_name, '_', ' ')) || ' de ' || lower(r_name)
   WHEN s_acctbal < 4000 THEN lower(substr(r_name, 1, 4)) WHEN s_acctbal < 5000 THEN 'nuble'
   WHEN s_acctbal < 5500 THEN '' ELSE lower(replace(n_name, '_', ' ')) END AS k
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
-SELECT s_suppkey, coalesce((SELECT any_value(v) FROM areas a WHERE a.k = n.k),
-  (SELECT arg_min(v, pos) FROM areas a WHERE n.k <> '' AND (contains(a.k, n.k) OR contains(n.k, a.k)))) AS poblacion_2019
+SELECT s_suppkey, coalesce((SELECT any_value(v) FROM areas a WHERE a.k = n.k AND n.k <> ''),
+  (SELECT arg_min(v, pos) FROM areas a WHERE n.k <> '' AND a.k <> '' AND (contains(a.k, n.k) OR contains(n.k, a.k)))) AS poblacion_2019
 FROM names n""")
 def population_by_name(spark, sf):
     joined = joins.join_population(_places(spark, sf), _areas(spark, sf))

@@ -131,7 +131,8 @@ def test_cleaner(spark, raw, tmp_path):
     with pytest.raises(ValueError):
         dry.clean_file("nada")
     away = CsvCleaner(spark, tmp_path / "away", tmp_path / "x", tmp_path / "y")
-    assert away.clean_file("simm") == {"filas_procesadas": 0, "celdas_modificadas": 0, "columnas_limpias": []}
+    assert away.clean_file("simm") == {
+        "filas_procesadas": 0, "celdas_modificadas": 0, "columnas_limpias": [], "registros_rechazados": 0}
 
 
 def test_line_numbers_over_many_splits(spark, tmp_path):
@@ -188,7 +189,7 @@ def test_population_edge_cases(spark):
     names = spark.createDataFrame(
         [(0, "uno"), (1, "dos"), (2, None), (3, "tres"), (4, "cuatro"), (5, "el uno dos"), (6, "")], "i int, nombre_comuna string")
     got = {r["i"]: r["poblacion_2019"] for r in joins.join_population(names, areas).collect()}
-    assert got == {0: 3.0, 1: 2.0, 2: 9.0, 3: None, 4: None, 5: 3.0, 6: 9.0}
+    assert got == {0: 3.0, 1: 2.0, 2: None, 3: None, 4: None, 5: 3.0, 6: None}
     assert joins.join_population(names, None).first()["poblacion_2019"] is None
 
 

@@ -7,14 +7,15 @@ from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from viario.config import CLEANED_FILES
-from viario.operators.cleaning import LOG_SCHEMA, change_counts, change_log, clean_columns, text_columns
-from viario.sources.files import FILE, ROW_NUMBER, read_csv, write_csv
+from viario.operators.cleaning import LOG_SCHEMA, change_log, clean_columns, text_columns
+from viario.sources.files import FILE, ROW_NUMBER, read_csv_checked, write_csv
 from viario.storage import materialise, path_exists
 
-NOTHING = {"filas_procesadas": 0, "celdas_modificadas": 0, "columnas_limpias": []}
+NOTHING = {"filas_procesadas": 0, "celdas_modificadas": 0, "columnas_limpias": [], "registros_rechazados": 0}
+REJECTED_SCHEMA = "archivo string, registro bigint, motivo string, texto string"
 
 
 class CsvCleaner:
@@ -28,12 +29,18 @@ class CsvCleaner:
         self.log_path, self.dry_run = str(log_path), dry_run
         self.files = CLEANED_FILES if files is None else files
         self._logs: list[DataFrame] = []
+        self._rejected: list[DataFrame] = []
 
     def log(self) -> DataFrame:
         """All changes so far."""
         none = self.spark.createDataFrame([], LOG_SCHEMA)
         return reduce(lambda a, b: a.unionByName(b), self._logs, none)
 
+    def rejected(self) -> DataFrame:
+        """All records that could not be read so far: file, number of the record, reason, text."""
+        none = self.spark.createDataFrame([], REJECTED_SCHEMA)
+        return reduce(lambda a, b: a.unionByName(b), self._rejected, none)
+
     def clean_file(self, key: str) -> dict:
         """Clean one file and return its metrics."""
         if key not in self.files:
@@ -42,22 +49,25 @@ class CsvCleaner:
         source = posixpath.join(self.raw_dir, spec["filename"])
         if not path_exists(self.spark, source):
             return dict(NOTHING)
-        table = read_csv(
-            self.spark, source, encoding=spec["encoding"], separator=spec["separator"],
-            row_numbers=True,
+        table, rejected, counts = read_csv_checked(
+            self.spark, source, encoding=spec["encoding"], separator=spec["separator"], row_numbers=True,
         )
+        self._rejected.append(rejected.withColumn("archivo", F.lit(spec["filename"])))
         names = spec.get("text") or text_columns(table.drop(FILE, ROW_NUMBER))
-        log = materialise(change_log(table, names, spec["filename"], ROW_NUMBER), "cleaning-log")
-        self._logs.append(log)
+        changes, seen = change_log(table, names, spec["filename"], ROW_NUMBER), Observation()
+        per_column = {f"c{i}": n for i, n in enumerate(names)}
+        if names:
+            changes = changes.observe(seen, *[F.count_if(F.col("columna") == n).alias(c) for c, n in per_column.items()])
+        self._logs.append(materialise(changes, "cleaning-log"))
         if not self.dry_run:
             cleaned = clean_columns(table.drop(FILE, ROW_NUMBER), names)
             write_csv(cleaned, posixpath.join(self.clean_dir, spec["filename"]))
-        # At most one row per text column comes back to the driver.
-        touched = {r["columna"]: r["celdas_modificadas"] for r in change_counts(log).collect()}
+        touched = {n: seen.get[c] for c, n in per_column.items() if seen.get[c]}
         return {
-            "filas_procesadas": table.count(),
+            "filas_procesadas": counts["rows"],
             "celdas_modificadas": sum(touched.values()),
             "columnas_limpias": sorted(touched),
+            "registros_rechazados": counts["rejected"],
         }
 
     def clean_all(self, keys: list[str] | None = None) -> dict[str, dict]:

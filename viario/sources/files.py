@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from viario.functions.numbers import number, restore_booleans
 from viario.schema import keep_present
-from viario.sources.records import has_torn_lines, read_records
-from viario.storage import path_exists
+from viario.sources.records import read_records
+from viario.storage import materialise, path_exists
 
-_SURPLUS = "__surplus"
 ROW_NUMBER = "__row_number"
 FILE = "__file"
 
@@ -65,47 +64,42 @@ def _spark_encoding(name: str) -> str:
 
 
 def read_csv(
-    spark: SparkSession, path: str, *, encoding: str | None = None, separator: str = ",",
-    multiline: bool = False, row_numbers: bool = False,
+    spark: SparkSession, path: str, *, encoding: str | None = None, separator: str = ",", row_numbers: bool = False,
 ) -> DataFrame:
-    """All columns as text. Records with too many fields are skipped, short ones are filled
-    with nulls, and empty fields are null. A line break in quotes is part of its field.
-    `row_numbers` adds FILE and ROW_NUMBER, which counts records from 0."""
+    """All columns as text. Records with too many fields are left out (`read_csv_checked` names
+    them), short ones are filled with nulls, and empty fields are null. A line break in quotes
+    is part of its field. `row_numbers` adds FILE and ROW_NUMBER, which counts records from 0."""
+    names, records = _records(spark, path, encoding, separator)
+    return _rows(records, names, row_numbers)
+
+
+def read_csv_checked(
+    spark: SparkSession, path: str, *, encoding: str | None = None, separator: str = ",", row_numbers: bool = False,
+) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """The rows of `read_csv`, the rejected records with reason and number, and how many of each.
+
+    The files are read once into a table, and counted while it is written."""
+    names, records = _records(spark, path, encoding, separator)
+    seen = Observation()
+    counted = records.where("__record > 0").observe(
+        seen, F.count_if(F.col("reason").isNull()).alias("rows"), F.count("reason").alias("rejected"))
+    table = materialise(counted, "csv-checked")
+    rejected = table.where("reason IS NOT NULL").select(
+        F.col("__file").alias("archivo"), (F.col("__record") - 1).alias("registro"),
+        F.col("reason").alias("motivo"), F.col("text").alias("texto"))
+    return _rows(table, names, row_numbers), rejected, seen.get
+
+
+def _records(spark: SparkSession, path: str, encoding: str | None, separator: str) -> tuple[list[str], DataFrame]:
     charset = detect_encoding(spark, path) if encoding is None else _spark_encoding(encoding)
     names = csv_header(spark, path, charset, separator)
-    if not multiline and has_torn_lines(spark, path):
-        rows = read_records(spark, path, [*names, _SURPLUS], charset, separator).where(F.col(_SURPLUS).isNull())
-        place = {FILE: F.col("__file"), ROW_NUMBER: F.col("__record") - 1} if row_numbers else {}
-        return rows.select(*[F.col(f"`{n}`") for n in names], *[c.alias(n) for n, c in place.items()])
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _SURPLUS]])
-    raw = spark.read.schema(schema).options(
-        header=True, sep=separator, encoding=charset, mode="PERMISSIVE", enforceSchema=True,
-        escape='"', multiLine=multiline,
-    ).csv(path)
-    kept = raw.where(F.col(_SURPLUS).isNull())
-    return (_number_lines(kept) if row_numbers else kept).drop(_SURPLUS)
-
-
-def _number_lines(df: DataFrame) -> DataFrame:
-    """Position from 0 within each file, in file order.
-
-    Rows of one file block are read in order by one task. The rows per block are counted
-    first, and a position is the rows of earlier blocks plus the offset in the block; the
-    blocks of a file are few, so summing them up needs no large window."""
-    split = [FILE, "__block"]
-    placed = df.withColumns({
-        FILE: F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"),
-        "__at": F.monotonically_increasing_id(),
-    })
-    earlier = Window.partitionBy(FILE).orderBy("__block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    blocks = placed.groupBy(*split).agg(
-        F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n")
-    ).select(*split, "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    return placed.join(blocks, split).withColumn(
-        ROW_NUMBER, F.col("__before") + F.col("__at") - F.col("__first")
-    ).drop("__block", "__at", "__first", "__before")
+    return names, read_records(spark, path, charset, separator, len(names))
+
+
+def _rows(records: DataFrame, names: list[str], row_numbers: bool) -> DataFrame:
+    kept = records.where((F.col("__record") > 0) & F.col("reason").isNull())
+    place = [F.col("__file").alias(FILE), (F.col("__record") - 1).alias(ROW_NUMBER)] if row_numbers else []
+    return kept.select(*[F.nullif(F.get("fields", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)], *place)
 
 
 def load_dataset(spark: SparkSession, config: dict, key: str, **options) -> DataFrame | None:
