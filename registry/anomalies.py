@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from registry.tables import (
-    ALONG_SQL, CONFIG, DIGITS, FENCE_SQL, MASTER_SQL, Z_OPTIONS, anomalies, flagged, from_flagged,
+    ALONG_SQL, CONFIG, DIGITS, FENCE_SQL, MASTER_SQL, SCORE_SQL, SERIES_SQL, Z_OPTIONS, anomalies, flagged, from_flagged,
     master, query, rounded, series, table,
 )
-from viario.config import ANOMALY_COLUMNS
+from registry.forest_sql import FOREST_SQL
+from viario.config import ANOMALY_COLUMNS, Z_THRESHOLD
 from viario.operators import pivots, sampling
 from viario.operators.detect import fence, forest, noise, score
 from viario.operators.detect.series import detect_along_series, detect_speed_drop, detect_z_score
@@ -167,13 +168,16 @@ def anomalous_slots(spark, sf):
     return rounded(reports.anomalous_slots(anomalies(spark, sf)))
 
 
-@query("isolation_forest")
+FOREST_ROWS_SQL = f"WITH {SERIES_SQL}, {FOREST_SQL} SELECT event_id, isolation_forest_anomaly, round(isolation_score, 4) AS isolation_score FROM forest"
+
+
+@query("isolation_forest", FOREST_ROWS_SQL)
 def isolation_forest(spark, sf):
     rows = forest.detect_forest(series(spark, sf), row_id=ID)
     return rounded(rows.select("event_id", "isolation_forest_anomaly", "isolation_score"), DIGITS)
 
 
-@query("isolation_forest_salted")
+@query("isolation_forest_salted", FOREST_ROWS_SQL)
 def isolation_forest_salted(spark, sf):
     """The way for more models than should be broadcast."""
     rows = forest.detect_forest(series(spark, sf), row_id=ID, broadcast_nodes=0, salt_rows=500)
@@ -251,7 +255,13 @@ def sampled_rows_in_buckets(spark, sf):
         events, 777, row_id=["event_id"], rank=_spread_key(F.col("event_id")), bucket_rows=100).select("event_id")
 
 
-@query("detector_run")
+RUN_SQL = f"""WITH {FENCE_SQL.replace("> 1.5 THEN", f"> {Z_THRESHOLD} THEN")}, {FOREST_SQL},
+marked AS (SELECT fenced.*, isolation_forest_anomaly, isolation_score, false AS dbscan_anomaly FROM fenced JOIN forest USING (event_id)),
+{SCORE_SQL}
+SELECT event_id, {", ".join(f"round({c}, 4) AS {c}" if c in ("speed_drop_pct", "isolation_score") else c for c in ANOMALY_COLUMNS)} FROM flagged"""
+
+
+@query("detector_run", RUN_SQL)
 def detector_run(spark, sf):
     """All detectors, score and severity without a sample."""
     config = {**CONFIG, "paths": {}}

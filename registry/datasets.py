@@ -127,8 +127,9 @@ def forest_by_saved_model(spark, sf):
     groups = rows.select(F.col("nombre_comuna").alias("grp")).distinct().withColumn(
         "node", F.explode(F.array(*[F.lit(t[0]) for t in tree])))
     key = forest.model_key(features, "nombre_comuna", FOREST)
-    nodes.join(groups, "node").select(
-        "grp", "tree", "node", "feature", "threshold", "lo", "hi", "path", "subsample", "cutoff",
-    ).write.parquet(f"{models}/forest-{key}")
+    trained = nodes.join(groups, "node").select(
+        "grp", "tree", "node", "feature", "threshold", "lo", "hi", "path", "subsample", "cutoff")
+    forest.save_model(trained.withColumn("cutoff", F.lit(0.0)), f"{models}/forest-{key}")
+    forest.save_model(trained, f"{models}/forest-{key}")  # takes the place of the first one
     found = forest.detect_forest(rows, models, FOREST, ["event_id"])
     return rounded(found.select("event_id", "isolation_score", "isolation_forest_anomaly"))

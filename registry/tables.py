@@ -181,11 +181,7 @@ fenced AS (
   SELECT a.*, coalesce(n_values >= 4 AND icv > q3 + 1.5 * (q3 - q1), false) AS iqr_anomaly
   FROM along a JOIN fences f USING (corredor, franja_horaria, es_fin_semana))"""
 
-# Flags that no SQL can give are stood in for by the event type and the value.
-FLAGGED_SQL = FENCE_SQL + """,
-marked AS (
-  SELECT *, icv > 120 AS isolation_forest_anomaly, hora = 3 AND icv < 1 AS dbscan_anomaly,
-    0.0::DOUBLE AS isolation_score FROM fenced),
+SCORE_SQL = """
 scored AS (
   SELECT *, round_even(greatest(0.0::DOUBLE, least(100.0::DOUBLE, CAST(
       25 * z_score_anomaly::INT + 20 * iqr_anomaly::INT + 30 * speed_drop_anomaly::INT
@@ -198,6 +194,12 @@ flagged AS (
     WHEN anomaly_score < 75 THEN 'ALTO' ELSE 'CRÍTICO' END AS severity_level FROM scored),
 anomalies AS (SELECT * FROM flagged WHERE severity_level <> 'NORMAL')"""
 
+# Simple stand-ins for the flags that take long in SQL: by the value and the hour.
+FLAGGED_SQL = FENCE_SQL + """,
+marked AS (
+  SELECT *, icv > 120 AS isolation_forest_anomaly, hora = 3 AND icv < 1 AS dbscan_anomaly,
+    0.0::DOUBLE AS isolation_score FROM fenced),""" + SCORE_SQL
+
 
 def flagged(spark: SparkSession, folder: str) -> DataFrame:
     """The series with all flags, score and severity."""

@@ -180,17 +180,57 @@ def test_forest_fills_gaps_and_reuses_models(spark, master, tmp_path):
         "isolation_forest_anomaly").count() == 0
 
 
-def test_tree_paths():
+def test_grown_trees(spark):
+    """Every node splits its own rows inside their extremes, or is a leaf for a reason; the same rows give the same trees."""
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(256, 3))
+    x = np.round(rng.normal(size=(400, 3)), 1)
     x[0] = 40.0
-    nodes = pd.concat([forest.grow_tree(x, np.random.default_rng(i)).assign(tree=i) for i in range(50)])
-    scores = forest.tree_scores(forest.pack_trees(nodes, 256), x)
+    same = np.ones((30, 3))
+    data = pd.DataFrame(np.vstack([x, same, x[:40]]), columns=["__f0", "__f1", "__f2"])
+    data["__grp"] = ["many"] * 400 + ["same"] * 30 + ["few"] * 40
+    data["id"] = np.arange(len(data))
+    df, params = spark.createDataFrame(data), {**FOREST, "trees": 20}
+    groups = spark.createDataFrame([("many", 400), ("same", 30), ("few", 40)], "__grp string, n long")
+    nodes = forest.train(df, groups, 3, params, ["id"]).toPandas()
+    assert nodes[nodes["grp"] == "same"]["node"].eq(0).all() and len(nodes[nodes["grp"] == "same"]) == 20
+    assert set(nodes["subsample"][nodes["grp"] == "many"]) == {256} and set(nodes["subsample"][nodes["grp"] == "few"]) == {40}
+    for _, tree in nodes.groupby(["grp", "tree"]):
+        own = tree.set_index("node")
+        limit = int(np.ceil(np.log2(own["subsample"].iloc[0])))
+        for node, row in own.iterrows():
+            depth = int(np.log2(node + 1))
+            assert depth <= limit and (row["lo"] in own.index) == (row["hi"] in own.index) == (row["feature"] >= 0)
+            if row["feature"] < 0:
+                assert row["path"] >= depth
+    scores = forest.tree_scores(forest.pack_trees(nodes[nodes["grp"] == "many"], 256), x)
     assert scores.argmin() == 0 and scores.min() < -0.7
+    again = forest.train(df.repartition(5), groups, 3, params, ["id"]).toPandas()
+    order = ["grp", "tree", "node"]
+    pd.testing.assert_frame_equal(nodes.sort_values(order, ignore_index=True), again.sort_values(order, ignore_index=True))
     assert forest.expected_path(2) == 1.0 and forest.expected_path(1) == 0.0
     assert forest.expected_path(256) == pytest.approx(10.2448, abs=1e-3)
-    constant = forest.grow_tree(np.ones((9, 2)), rng)
-    assert len(constant) == 1
+
+
+def test_a_model_takes_the_place_of_its_group(spark, tmp_path):
+    def model(groups, cutoff):
+        rows = [(g, 0, 0, -1, 0.0, 1, 2, 1.0, 16, cutoff) for g in groups]
+        return spark.createDataFrame(rows, forest.NODES + ", subsample int, cutoff double")
+
+    path = str(tmp_path / "model")
+    forest.save_model(model(["a", "", "x/y=z"], 0.5), path, afresh=True)
+    forest.save_model(model(["a", "b"], 0.25), path)
+    assert sorted((r.grp, r.cutoff) for r in forest._saved(spark, path).collect()) == [("", 0.5), ("a", 0.25), ("b", 0.25), ("x/y=z", 0.5)]
+
+
+def test_new_groups_join_saved_models(spark, master, tmp_path):
+    path, params = str(tmp_path / "models"), {**FOREST, "trees": 8}
+    communes = sorted(r[0] for r in master.select("nombre_comuna").dropna().distinct().collect())
+    part = forest.detect_forest(master.where(F.col("nombre_comuna") == communes[0]), path, params, ["id"])
+    first = {r["id"]: tuple(r) for r in part.select("id", "isolation_score", "isolation_forest_anomaly").collect()}
+    every = forest.detect_forest(master, path, params, ["id"]).select("id", "isolation_score", "isolation_forest_anomaly").collect()
+    assert len(every) == master.count() and all(tuple(r) == first.get(r["id"], tuple(r)) for r in every)
+    fresh = forest.detect_forest(master, None, params, ["id"]).select("id", "isolation_score", "isolation_forest_anomaly").collect()
+    assert sorted(fresh) == sorted(every)
 
 
 def test_run_result(result, master):

@@ -1,7 +1,9 @@
 """Isolation forest (Liu, Ting and Zhou 2008), one per commune.
 
-Trees grow in parallel from small samples, one task per (group, tree), and become rows of
-a node table. Scoring follows all trees of a group at once on Arrow batches.
+All trees of all groups grow together, a level at a time: each node's rows give its extremes,
+and the split is drawn from them by a hash of (seed, group, tree, node), so the draw depends on
+nothing else. Nodes are numbered as in a heap and become rows of a node table. Scoring follows
+all trees of a group at once on Arrow batches.
 """
 
 from __future__ import annotations
@@ -12,20 +14,18 @@ import math
 import sys
 from collections.abc import Iterator
 from functools import reduce
-from typing import Any
 
 import numpy as np
 import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark import cloudpickle
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from viario.config import FOREST, FOREST_FEATURES
 from viario.functions.numbers import no_nan
 from viario.operators.quantiles import quantiles
 from viario.operators.small import join_groups
-from viario.schema import row_hash
 from viario.storage import materialise, path_exists
 
 MIN_ROWS = 10
@@ -33,6 +33,9 @@ MIN_FEATURES = 3
 BROADCAST_NODES = 2_000_000  # about 80 MB of node arrays per executor
 SALT_ROWS = 200_000          # rows of a group scored in one task when nodes are not broadcast
 
+PRIME = (1 << 31) - 1        # ranks of rows for a tree are multiples of their number modulo this
+NANO = 1_000_000_000         # path lengths are added as whole numbers of this size, so their order does not matter
+
 NODES = "grp string, tree int, node int, feature int, threshold double, lo int, hi int, path double"
 _GROUP, _HASH, _SALT = "__grp", "__hash", "__salt"
 
@@ -48,27 +51,6 @@ def expected_path(n: np.ndarray | int) -> np.ndarray:
     return np.where(n > 2, value, np.where(n == 2, 1.0, 0.0))
 
 
-def grow_tree(x: np.ndarray, rng: np.random.Generator) -> pd.DataFrame:
-    """Split at random until points are alone or the mean depth is reached."""
-    limit = math.ceil(math.log2(max(len(x), 2)))
-    nodes, todo = [], [(0, np.arange(len(x)), 0)]
-    count = 1
-    while todo:
-        node, rows, depth = todo.pop()
-        low, high = x[rows].min(axis=0), x[rows].max(axis=0)
-        varying = np.flatnonzero(high > low)
-        if depth >= limit or len(varying) == 0:
-            nodes.append((node, -1, 0.0, node, node, depth + float(expected_path(len(rows)))))
-            continue
-        feature = int(rng.choice(varying))
-        threshold = float(rng.uniform(low[feature], high[feature]))
-        left = x[rows, feature] <= threshold
-        nodes.append((node, feature, threshold, count, count + 1, 0.0))
-        todo += [(count, rows[left], depth + 1), (count + 1, rows[~left], depth + 1)]
-        count += 2
-    return pd.DataFrame(nodes, columns=["node", "feature", "threshold", "lo", "hi", "path"])
-
-
 def pack_trees(nodes: pd.DataFrame, subsample: int) -> dict:
     """All trees of one group as plain arrays."""
     shape = (nodes["tree"].max() + 1, nodes["node"].max() + 1)
@@ -81,6 +63,7 @@ def pack_trees(nodes: pd.DataFrame, subsample: int) -> dict:
                        ("hi", np.int32), ("path", float)):
         packed[name] = np.zeros(shape, dtype=kind)
         packed[name][at] = nodes[name].to_numpy()
+    packed["path"] = np.rint(packed["path"] * NANO).astype(np.int64)
     return packed
 
 
@@ -94,21 +77,14 @@ def tree_scores(packed: dict, x: np.ndarray) -> np.ndarray:
         left = x[rows, np.maximum(feature, 0)] <= packed["threshold"][trees, at]
         step = np.where(left, packed["lo"][trees, at], packed["hi"][trees, at])
         at = np.where(feature < 0, at, step)
-    return -np.exp2(-packed["path"][trees, at].mean(axis=1) / packed["norm"])
+    total = packed["path"][trees, at].sum(axis=1)
+    return -np.exp2(-(total / NANO / trees.shape[1]) / packed["norm"])
 
 
-def _grower(features: list[str], subsample: int, seed: int):
-    def grow(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        group, tree = key
-        rows = rows.sort_values([_HASH, *features], kind="stable")
-        rng = np.random.default_rng([seed, int(tree)])
-        chosen = rng.choice(len(rows), size=min(subsample, len(rows)), replace=False)
-        nodes = grow_tree(rows[features].to_numpy(dtype=float)[chosen], rng)
-        nodes.insert(0, "tree", np.int32(tree))
-        nodes.insert(0, "grp", group)
-        return nodes
-
-    return grow
+def drawn_number(*parts: Column) -> Column:
+    """A number below 2^52 from the text of some values."""
+    text = F.concat_ws("|", *[p.cast("string") for p in parts])
+    return F.conv(F.substr(F.md5(text.cast("binary")), F.lit(1), F.lit(13)), 16, 10).cast("long")
 
 
 def features_of(df: DataFrame) -> list[str]:
@@ -137,35 +113,82 @@ def _eligible(df: DataFrame, group: str, features: list[str]) -> DataFrame:
     return counts.where(F.col("complete") >= MIN_ROWS)
 
 
-def train(
-    prepared: DataFrame, groups: DataFrame, n_features: int, params: dict,
-    row_id: list[str] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Node table of all trees of all groups, and the complete rows of these groups.
-
-    Every tree draws its own rows from the whole group: those with the smallest hashes for this
-    tree. A bound on the hash that few groups of this size would miss leaves about as many rows
-    as are drawn, so little more than the drawn rows is moved."""
-    names = [f"__f{i}" for i in range(n_features)]
+def _draw(prepared: DataFrame, groups: DataFrame, names: list[str], params: dict, row_id: list[str] | None) -> DataFrame:
+    """The rows of each tree: those with the smallest ranks, `subsample` at most, with __m, their number.
+
+    A bound on the rank that few groups of this size would miss leaves about as many rows as are
+    drawn, so little more than the drawn rows is moved."""
+    own = row_id or [c for c in prepared.columns if c not in names]
+    source = prepared.withColumn(_HASH, drawn_number(F.lit(params["seed"]), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in own]))
     complete = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
-    source = prepared.withColumn(_HASH, row_hash(prepared, row_id, params["seed"]))
-    rows = source.where(complete).select(_GROUP, _HASH, *names)
-    sizes = rows.join(F.broadcast(groups.select(_GROUP)), _GROUP, "left_semi").groupBy(_GROUP).agg(
-        F.count(F.lit(1)).alias("__n"))
-    rows = join_groups(rows, sizes, [_GROUP], "inner")
+    rows = join_groups(source.where(complete).select(_GROUP, _HASH, *names), groups.select(
+        _GROUP, F.col("n").alias("__n")), [_GROUP], "inner")
     wanted = params["subsample"]
     share = F.least(F.lit(1.0), F.lit(wanted + 8 * math.sqrt(wanted) + 8) / F.col("__n"))
-    own = F.transform(F.sequence(F.lit(0), F.lit(params["trees"] - 1)), lambda t: F.struct(
-        t.alias("tree"), F.shiftrightunsigned(F.xxhash64(_HASH, t), 11).alias("rank")))
-    near = F.filter(own, lambda d: d["rank"] <= share * F.lit(float(1 << 53)))
-    dealt = rows.select(_GROUP, _HASH, *names, F.explode(near).alias("d")).select(
-        _GROUP, _HASH, *names, F.col("d.tree").alias("__tree"), F.col("d.rank").alias("__rank"))
-    place = F.row_number().over(Window.partitionBy(_GROUP, "__tree").orderBy("__rank", _HASH, *names))
-    drawn = dealt.withColumn("__place", place).where(F.col("__place") <= wanted).drop("__place", "__rank")
-    grow = _grower(names, wanted, params["seed"])
-    nodes = drawn.groupBy(_GROUP, "__tree").applyInPandas(grow, NODES)
-    subsample = sizes.select(F.col(_GROUP).alias("grp"), F.least("__n", F.lit(wanted)).cast("int").alias("subsample"))
-    return nodes.join(F.broadcast(subsample), "grp"), rows.drop("__n")
+    tree = F.col("__tree").cast("long") + 1
+    rank = (F.col(_HASH) % PRIME * (1 + tree * 1103515245 % (PRIME - 1)) + tree * 12345701 % PRIME) % PRIME
+    dealt = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(params["trees"] - 1))).alias("__tree")).select(
+        _GROUP, _HASH, *names, "__tree", rank.alias("__rank"), share.alias("__share")).where(
+        F.col("__rank") <= F.col("__share") * F.lit(float(PRIME)))
+    tree = Window.partitionBy(_GROUP, "__tree")
+    place = F.row_number().over(tree.orderBy("__rank", _HASH, *names))
+    drawn = dealt.withColumn("__place", place).where(F.col("__place") <= wanted)
+    return drawn.select(_GROUP, "__tree", *names, F.count(F.lit(1)).over(tree).alias("__m"))
+
+
+def _level(rows: DataFrame, names: list[str], depth: int, seed: int) -> DataFrame:
+    """Decide the nodes of a depth: each row adds its node to its trail and goes to a child, or stays at a leaf."""
+    features = ", ".join(names)
+    own = [_GROUP, "__tree", *names, "__m", "__node", "__trail", "__alive"]
+
+    def over(what: str) -> str:
+        return f"{what} OVER (PARTITION BY {_GROUP}, __tree, __node)"
+
+    def number(what: str) -> str:
+        return f"CAST(conv(substr(md5(concat_ws('|', {seed}, {_GROUP}, __tree, __node, '{what}')), 1, 13), 16, 10) AS BIGINT)"
+
+    seen = rows.selectExpr(
+        *own, f"array({', '.join(over(f'min({n})') for n in names)}) AS __low",
+        f"array({', '.join(over(f'max({n})') for n in names)}) AS __high", f"{over('count(1)')} AS __size")
+    seen = seen.selectExpr("*", f"filter(sequence(0, {len(names) - 1}), i -> get(__high, i) > get(__low, i)) AS __varying")
+    # a tree of m rows goes on to the depth ceil(log2(m)), the binary digits of m - 1
+    seen = seen.selectExpr("*", f"""CASE WHEN length(bin(__m - 1)) > {depth} AND size(__varying) > 0
+        THEN get(__varying, CAST({number("feature")} % greatest(size(__varying), 1) AS INT)) ELSE -1 END AS __feature""")
+    least, most = "get(__low, greatest(__feature, 0))", "get(__high, greatest(__feature, 0))"
+    cut = f"({least} + CAST({number('threshold')} AS DOUBLE) / {float(1 << 52)!r}D * ({most} - {least}))"
+    seen = seen.selectExpr("*", f"CASE WHEN __feature < 0 THEN 0D WHEN {cut} < {most} THEN {cut} ELSE {least} END AS __threshold")
+    return seen.selectExpr(
+        _GROUP, "__tree", *names, "__m",
+        f"""CASE WHEN NOT __alive OR __feature < 0 THEN __node
+            WHEN get(array({features}), __feature) <= __threshold THEN 2 * __node + 1 ELSE 2 * __node + 2 END AS __node""",
+        f"""CASE WHEN __alive THEN concat(__trail, array(named_struct('node', __node, 'feature', __feature, 'threshold', __threshold,
+            'depth', {depth}, 'size', __size))) ELSE __trail END AS __trail""",
+        "__alive AND __feature >= 0 AS __alive")
+
+
+def train(
+    prepared: DataFrame, groups: DataFrame, n_features: int, params: dict, row_id: list[str] | None = None,
+) -> DataFrame:
+    """Node table of all trees of the given groups (group, n rows).
+
+    The rows of a (group, tree) are drawn to one place and stay there for all levels: every
+    level is a window over the nodes, and nothing is moved again but the nodes at the end."""
+    names = [f"__f{i}" for i in range(n_features)]
+    rows = _draw(prepared, groups, names, params, row_id)
+    trail = "array<struct<node:int,feature:int,threshold:double,depth:int,size:bigint>>"
+    rows = rows.withColumns({"__node": F.lit(0), "__trail": F.array().cast(trail), "__alive": F.lit(True)})
+    for depth in range((params["subsample"] - 1).bit_length() + 1):
+        rows = _level(rows, names, depth, params["seed"])
+    facts = rows.select(F.col(_GROUP).alias("grp"), F.col("__tree").alias("tree"), F.col("__m").cast("int").alias("subsample"),
+                        F.inline("__trail"))
+    nodes = facts.groupBy("grp", "tree", "node").agg(*[
+        F.any_value(c).alias(c) for c in ("feature", "threshold", "depth", "size", "subsample")])
+    n = F.col("size").cast("double")
+    rest = F.when(n > 2, 2.0 * (F.ln(n - 1) + F.lit(float(np.euler_gamma))) - 2.0 * (n - 1) / n).when(n == 2, 1.0).otherwise(0.0)
+    leaf = F.col("feature") < 0
+    return nodes.select(
+        "grp", "tree", "node", "feature", "threshold", (2 * F.col("node") + 1).alias("lo"), (2 * F.col("node") + 2).alias("hi"),
+        F.when(leaf, F.col("depth") + rest).otherwise(0.0).alias("path"), "subsample")
 
 
 def score(prepared: DataFrame, nodes: DataFrame, n_features: int, keep: list[str],
@@ -198,10 +221,10 @@ def _score_by_broadcast(prepared, nodes, names, keep) -> DataFrame:
 
 
 def _score_by_salt(prepared, nodes, names, keep, salt_rows) -> DataFrame:
-    sizes = prepared.groupBy(_GROUP).agg(
+    sizes = materialise(prepared.dropna(subset=[_GROUP]).groupBy(_GROUP).agg(
         F.ceil(F.count(F.lit(1)) / salt_rows).cast("int").alias("__salts")
-    )
-    rows = prepared.select(*keep, _GROUP, *names).join(sizes, _GROUP)
+    ), "forest-sizes")
+    rows = join_groups(prepared.select(*keep, _GROUP, *names), sizes, [_GROUP], "inner")
     rows = rows.withColumn(_SALT, F.pmod(F.xxhash64(*keep), "__salts").cast("int")).drop("__salts")
     copies = nodes.join(sizes.withColumnRenamed(_GROUP, "grp"), "grp").withColumn(
         _SALT, F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))
@@ -235,7 +258,7 @@ def _saved(spark: SparkSession, path: str | None) -> DataFrame | None:
     """The node table under a path, or nothing when there is none or it cannot be read."""
     if path is None or not path_exists(spark, path):
         return None
-    nodes = spark.read.schema(NODES + ", subsample int, cutoff double").parquet(path)
+    nodes = spark.read.schema(NODES + ", subsample int, cutoff double").parquet(path).drop("part")
     try:
         readable = nodes.agg(F.count("cutoff")).first()[0] > 0
     except (PySparkException, Py4JJavaError):
@@ -265,24 +288,34 @@ def detect_forest(
     if model is not None:
         known = model.select(F.col("grp").alias(_GROUP)).distinct()
         missing = missing.join(known, _GROUP, "left_anti")
-    if model is None or missing.limit(1).count():
-        nodes, rows = train(prepared, missing, n, params, row_id)
-        nodes = materialise(nodes, "forest-nodes")
-        own = materialise(score(rows, nodes, n, [_HASH], broadcast_nodes, salt_rows), "forest-scores")
-        cut = quantiles(own, "__score", {"cutoff": params["contamination"]}, [_GROUP]).select(
-            F.col(_GROUP).alias("grp"), "cutoff")
-        trained = nodes.join(F.broadcast(cut), "grp")
-        if path:
-            trained.write.mode("overwrite" if model is None else "append").parquet(path)
-            model = _saved(spark, path)
-        else:
-            model = materialise(trained, "forest-model")
+    missing = materialise(missing, "forest-groups")
+    if missing.isEmpty():
         if model is None:
             return plain
-    scored = score(prepared, model.drop("cutoff"), n, df.columns, broadcast_nodes, salt_rows)
-    cutoffs = model.select(F.col("grp").alias(_GROUP), "cutoff").distinct()
+        scored, cutoffs = score(prepared, model.drop("cutoff"), n, df.columns, broadcast_nodes, salt_rows), _cutoffs(model)
+    else:
+        nodes = materialise(train(prepared, missing, n, params, row_id), "forest-nodes")
+        every = nodes if model is None else nodes.unionByName(model.select(nodes.columns))
+        # Scored once: the cutoffs of new models come from the same scores.
+        scored = materialise(score(prepared, every, n, df.columns, broadcast_nodes, salt_rows), "forest-scores")
+        own = join_groups(scored.select(_GROUP, "__score"), missing.select(_GROUP), [_GROUP], "left_semi")
+        cutoffs = materialise(quantiles(own, "__score", {"cutoff": params["contamination"]}, [_GROUP]).select(_GROUP, "cutoff"), "forest-cutoffs")
+        if path:
+            trained = join_groups(nodes, cutoffs.withColumnRenamed(_GROUP, "grp"), ["grp"], "inner")
+            save_model(trained, path, afresh=model is None)
+        cutoffs = cutoffs if model is None else cutoffs.unionByName(_cutoffs(model))
     flag = F.coalesce(F.col("__score") < F.col("cutoff"), F.lit(False))
-    return scored.join(cutoffs, _GROUP, "left").select(
+    return join_groups(scored, cutoffs, [_GROUP]).select(
         *df.columns, flag.alias("isolation_forest_anomaly"),
         F.coalesce("__score", F.lit(0.0)).alias("isolation_score"),
     )
+
+
+def _cutoffs(model: DataFrame) -> DataFrame:
+    return materialise(model.groupBy(F.col("grp").alias(_GROUP)).agg(F.max("cutoff").alias("cutoff")), "forest-cutoffs")
+
+
+def save_model(nodes: DataFrame, path: str, afresh: bool = False) -> None:
+    """Write the node tables of some groups, each in the place of its former one; `afresh` drops all others."""
+    nodes.withColumn("part", F.md5("grp")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "static" if afresh else "dynamic").partitionBy("part").parquet(path)
