@@ -1,7 +1,7 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
 Every rule votes good (1) or bad (-1) or abstains (0). Expectation-maximisation over the
-histogram of vote patterns, at most 3 to the number of rules rows, estimates how often each
+histogram of vote patterns, at most 3^7 rows, estimates how often each
 rule votes so on good and on bad documents. The posterior probability of a document
 being good then decides, in place of demanding that all rules pass.
 """
@@ -17,10 +17,8 @@ from viario.storage import materialise
 WINDOW_WORDS = 5
 ROUNDS = 60
 MIN_POSTERIOR = 0.5
-PRIOR = 0.8                                           # first guesses: the share of good documents,
-START = {"good": {1: 0.70, 0: 0.28, -1: 0.02},        # and how good
-         "bad": {1: 0.30, 0: 0.40, -1: 0.30}}         # and bad ones are voted on by any rule
-TRUST = 0.5                                           # the guesses weigh as much as this share of the documents
+PRIOR = 0.8       # first guess at the share of good documents
+TRUST = 0.05      # the first guesses weigh as much as this share of the documents
 FACTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_cries",
          "n_distinct")
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -74,50 +72,58 @@ def add_facts(documents: DataFrame, text: str = "text", keep: list[str] | None =
     return found.select(*[F.col(f"`{c}`") for c in keep], *[F.col(at).cast("long").alias(n) for n, at in names.items()])
 
 
-def _vote(good: Column | None, bad: Column) -> Column:
-    vote = F.when(bad, -1)
-    return (vote if good is None else vote.when(good, 1)).otherwise(0)
-
-
-def rules() -> dict[str, Column]:
-    """The votes, over the columns of FACTS; most rules only know what is bad."""
-    n, chars = F.col("n_words"), F.col("word_chars")
-    return {
-        "length": _vote(n >= 40, n < 10),
-        "word_length": _vote(None, (chars < 2 * n) | (chars > 14 * n)),
-        "symbols": _vote(None, 5 * F.col("n_symbols") > n),
-        "lines": _vote(None, 5 * F.col("n_dup_lines") > F.col("n_lines")),
-        "repeats": _vote(None, 10 * F.col("n_repeat_words") > n),
-        "capitals": _vote(None, 3 * F.col("n_capitals") > chars),
-        "cries": _vote(None, 10 * F.col("n_cries") > n),
-        "variety": _vote(None, 4 * F.col("n_distinct") < n),
-    }
+def _vote(good: Column, bad: Column) -> Column:
+    return F.when(bad, -1).when(good, 1).otherwise(0)
 
 
 Pattern = tuple[tuple[int, ...], int]
 Accuracy = dict[str, dict[int, float]]
+# First guesses: how often a rule votes good, abstains and votes bad, on good and on bad documents.
+CLEAR: Accuracy = {"good": {1: 0.85, 0: 0.12, -1: 0.03}, "bad": {1: 0.40, 0: 0.20, -1: 0.40}}
+VAGUE: Accuracy = {"good": {1: 0.75, 0: 0.17, -1: 0.08}, "bad": {1: 0.50, 0: 0.25, -1: 0.25}}
+
+
+def rules() -> dict[str, tuple[Column, Accuracy]]:
+    """The votes, over the columns of FACTS, and the first guess at each rule's accuracy.
+
+    Every rule knows what is good and what is bad and abstains in between. Rules that would look
+    at the same fault, such as equal lines and equal windows, are one rule, since faults that
+    two rules always see together would pass for a class of documents."""
+    n, chars, distinct = F.col("n_words"), F.col("word_chars"), F.col("n_distinct")
+    marks, cries, capitals = F.col("n_symbols"), F.col("n_cries"), F.col("n_capitals")
+    lines, same, again = F.col("n_lines"), F.col("n_dup_lines"), F.col("n_repeat_words")
+    return {
+        "length": (_vote(n >= 50, n < 25), VAGUE),
+        "word_length": (_vote((2 * chars >= 9 * n) & (2 * chars <= 13 * n), (chars < 4 * n) | (2 * chars > 15 * n)), CLEAR),
+        "symbols": (_vote(100 * marks <= n, 10 * marks > n), CLEAR),
+        "repetition": (_vote((same == 0) & (100 * again <= n), (4 * same > lines) | (10 * again > n)), VAGUE),
+        "capitals": (_vote((200 * capitals >= chars) & (25 * capitals <= chars), (10 * capitals > chars) | (capitals == 0)), VAGUE),
+        "cries": (_vote(cries == 0, 50 * cries > n), VAGUE),
+        "variety": (_vote(distinct >= F.pow(n, F.lit(0.94)), distinct < F.pow(n, F.lit(0.90))), CLEAR),
+    }
 
 
-def estimate(patterns: list[Pattern], n_rules: int, rounds: int = ROUNDS) -> tuple[float, list[Accuracy]]:
+def estimate(patterns: list[Pattern], start: list[Accuracy], rounds: int = ROUNDS, trust: float = TRUST) -> tuple[float, list[Accuracy]]:
     """The share of good documents, and per rule how good and bad ones are voted on, by expectation-maximisation.
 
-    The first guesses stay in as if TRUST times as many documents had been seen with them, so
-    that "good" and "bad" keep their sides. No patterns leave the guesses as they are.
+    The first guesses stay in as if `trust` times as many documents had been seen with them:
+    too few to decide, enough that "good" and "bad" keep their sides. No patterns leave the
+    guesses as they are.
     """
-    prior, tables = PRIOR, [START] * n_rules
+    prior, tables = PRIOR, start
     total = sum(n for _, n in patterns)
     for _ in range(rounds if total else 0):
         good = [(votes, n, n * posterior(votes, prior, tables)) for votes, n in patterns]
-        prior = (sum(g for _, _, g in good) + TRUST * total * PRIOR) / (total * (1 + TRUST))
+        prior = (sum(g for _, _, g in good) + trust * total * PRIOR) / (total * (1 + trust))
         new = []
-        for j in range(n_rules):
+        for j, first in enumerate(start):
             table: Accuracy = {}
             for side in ("good", "bad"):
                 seen = {1: 0.0, 0: 0.0, -1: 0.0}
                 for votes, n, g in good:
                     seen[votes[j]] += g if side == "good" else n - g
                 mass = sum(seen.values())
-                table[side] = {v: (seen[v] + 1 + TRUST * mass * START[side][v]) / (mass * (1 + TRUST) + 3) for v in seen}
+                table[side] = {v: (seen[v] + 1 + trust * mass * first[side][v]) / (mass * (1 + trust) + 3) for v in seen}
             new.append(table)
         tables = new
     return prior, tables
@@ -147,9 +153,9 @@ def judge(documents: DataFrame, text: str = "text", keep: list[str] | None = Non
     votes = rules()
     counted = materialise(add_facts(documents, text, keep), "quality-facts")
     names = [f"__v{i}" for i in range(len(votes))]
-    voted = counted.select("*", *[v.alias(n) for n, v in zip(names, votes.values())])
+    voted = counted.select("*", *[vote.alias(n) for n, (vote, _) in zip(names, votes.values())])
     patterns = sorted((tuple(r)[:-1], r["n"]) for r in voted.groupBy(*names).agg(F.count("*").alias("n")).collect())
-    prior, tables = estimate(patterns, len(votes))
+    prior, tables = estimate(patterns, [first for _, first in votes.values()])
     odds = F.lit(math.log(prior / (1 - prior)))
     for name, own in zip(names, weights(tables)):
         odds = odds + F.when(F.col(name) == 1, own[1]).when(F.col(name) == -1, own[-1]).otherwise(0.0)
