@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tests.llm.frames import AWKWARD, documents
-from viario.llm.language import identify, learn_dictionaries
+from viario.llm.language import identify, learn_dictionaries, normal
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -15,6 +15,55 @@ def test_held_out_accuracy(spark):
     assert right > 0.98 and rejected < 0.01
 
 
+def plain_verdict(text, dictionaries):
+    """Sizes by one compressor per call, and the rule in so many words; ties that are coded again are left out."""
+    import zstandard
+    params = zstandard.ZstdCompressionParameters.from_level(3, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
+    body = normal(text)
+    if not body:
+        return "und", True
+
+    def size(data):
+        raw = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if data else None
+        return sum(len(zstandard.ZstdCompressor(dict_data=raw, compression_params=params).compress(body[i:i + 4000]))
+                   for i in range(0, len(body), 4000))
+
+    sizes = {name: size(data) for name, data in dictionaries.items()}
+    best, second = sorted(sizes.values())[:2]
+    margin = (second - best) / best
+    if margin < 0.02:
+        return None
+    return min(sizes, key=sizes.get), margin < 0.03 or (margin < 0.05 and size(b"") <= best)
+
+
+def test_against_plain_compression_and_a_language_left_out(spark):
+    """At most 0.5 % of right texts and at least 90 % of those of an unknown language are rejected."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text IS NOT NULL").withColumn(
+        "held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
+    learned = learn_dictionaries(rows.where("not held_out"))
+    test = rows.where("held_out AND doc_id % 3 = 0")
+    found = identify(test, learned, keep=["doc_id", "lang", "text"]).collect()
+    right = [r for r in found if r.lang == r.lang_pred]
+    assert sum(r.rejected for r in right) <= 0.005 * len(right) and len(right) > 0.98 * len(found)
+    for r in found[:150]:
+        want = plain_verdict(r.text, learned)
+        assert want in (None, (r.lang_pred, r.rejected))
+    for lang in learned:
+        others = {name: data for name, data in learned.items() if name != lang}
+        gone, n = identify(test.where(F.col("lang") == lang), others, keep=[]).agg(
+            F.sum(F.col("rejected").cast("int")), F.count("*")).first()
+        assert gone >= 0.9 * n, (lang, gone, n)
+    odd = ["Съешь же ещё этих мягких французских булок, да выпей чаю. " * 3, "xqz wvk jjp qqq zzx vbn mkl wqe rty uio asd zxc"]
+    assert all(r.rejected for r in identify(documents(spark, odd), learned, keep=["doc_id"]).collect())
+
+
+def test_the_sample_does_not_depend_on_the_bound(spark):
+    rows = spark.range(5000).select(F.concat(F.lit("text number "), F.conv("id", 10, 16)).alias("text"), F.lit("xx").alias("lang"))
+    keys = sorted((r.key, r.text) for r in rows.select(F.xxhash64("text").alias("key"), "text").collect())
+    want = b"".join(normal(t) + b" " for _, t in keys[:25])
+    assert learn_dictionaries(rows, texts=25) == {"xx": want}
+
+
 def test_awkward_texts(spark):
     rows = documents(spark, AWKWARD)
     learned = {"aa": b"one two words again and again " * 9, "bb": "straße ñandú über und oder ".encode() * 9}

@@ -6,7 +6,7 @@ import corpus_pipeline
 from tests.llm import test_decontaminate, test_simhash, test_substrings
 from tests.llm.frames import AWKWARD, documents, prose
 from tests.llm.test_chat import PARTS
-from viario.llm.language import identify, learn_dictionaries
+from viario.llm.language import learn_dictionaries, normal
 from viario.llm.packing import CAPACITY
 
 LEAK = prose(70, 30)
@@ -33,10 +33,10 @@ def test_stages(spark, tmp_path):
         if i < 4:
             assert docs.columns == documents(spark, []).columns
         if name == "language ID":
-            kept = identify(spark.read.parquet(folder + "/documents.parquet").drop("score"),
-                            learn_dictionaries(spark.read.parquet(folder + "/documents.parquet"))).where("not rejected")
-            assert sorted(map(repr, after)) and len(after) == kept.count()
-            assert all(any(c.isalpha() for c in r.text) for r in after)
+            learned = {"en": bytes(b"".join(normal(t) + b" " for t in texts if t))}
+            assert list(learn_dictionaries(docs)) == list(learned)     # one language: its margin is always wide
+            want = [r for r in before if r.text and any(c.isalpha() for c in r.text)]
+            assert sorted(map(repr, after)) == sorted(map(repr, want)) and len(after) < len(before)
         elif name == "SimHash near-dedup":
             rows = sorted((r for r in before if r.doc_id is not None), key=lambda r: r.doc_id)
             prints = [test_simhash.brute_print(r.text) for r in rows]
@@ -48,7 +48,7 @@ def test_stages(spark, tmp_path):
                 if gone == 0 or gone < n:
                     want.append((r.doc_id, r.text if gone == 0 else text, r.n_chars if gone == 0 else len(text)))
             assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.text, r.n_chars)) for r in after)
-            assert any("ok" for r in after) and len([w for w in want if w[1] is not None]) == len(after)
+            assert any(gone for _, gone, _ in test_substrings.brute(texts, 35))
         elif name == "benchmark decontamination":
             found = test_decontaminate.brute(texts, [(1, LEAK), (2, None)])
             assert sorted(r.text for r, f in zip(before, found) if f[1] == 0) == sorted(r.text for r in after)

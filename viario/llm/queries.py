@@ -91,8 +91,8 @@ def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_language")
 def op6_language(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "documents").select("doc_id", "text", "lang", (fold(4) == 2).alias("held_out"))
-    dictionaries = learn_dictionaries(rows.where(F.coalesce(~F.col("held_out"), F.lit(False))))
+    rows = table(spark, folder, "documents").select("doc_id", "text", "lang", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"))
+    dictionaries = learn_dictionaries(rows.where("NOT held_out AND doc_id IS NOT NULL"))
     return identify(rows, dictionaries, keep=["doc_id", "held_out"])
 
 
@@ -229,8 +229,8 @@ def op5_scoring(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_toxicity")
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "documents").select("doc_id", "text", (fold(4) == 2).alias("held_out"))
-    net = learn_toxicity(rows.where(~F.col("held_out")), table(spark, folder, "labels"))
+    rows = table(spark, folder, "documents").select("doc_id", "text", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"))
+    net = learn_toxicity(rows.where("NOT held_out AND doc_id IS NOT NULL"), table(spark, folder, "labels"))
     return score_toxicity(rows, net, keep=["doc_id", "held_out"]).withColumn(
         "predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
 
@@ -289,7 +289,8 @@ _CRC_SQL = """xor(4294967295, list_reduce(list_concat([4294967295], flatten(list
     lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"""
 RUNS_SQL = rf"""
 WITH doc AS (
-  SELECT doc_id, {_CRC_SQL} AS h, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda w: w <> '') AS own
+  SELECT doc_id, {_CRC_SQL} AS h, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda w: w <> '') AS own
   FROM documents),
 placed AS (SELECT *, len(own) AS n, (h // 10) % greatest(len(own), 1) AS a, 3 + (h // 10) % 8 AS e FROM doc),
 changed AS (
