@@ -32,7 +32,7 @@ SMOOTHING = 5
 SCALE = 1_000_000_000
 TOP_TERMS = 50
 TABLE_BYTES = 16 << 20   # different texts collapsed together in a task
-SUM_ENTRIES = 300_000    # (lang, source, term) sums that a task holds before it sends them
+SUM_ENTRIES = 800_000    # (lang, source, term) sums that a task holds before it sends them
 TASKS_TOGETHER = 1000    # tasks whose copies of a text meet; beyond, a text is cut once per so many tasks
 _LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
