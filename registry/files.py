@@ -13,7 +13,7 @@ from viario.operators import geo
 from viario.schema import typed
 from viario.sources import files
 from viario.storage import shared_dir
-from viario.streaming.text_stream import clean_stream, read_csv_stream
+from viario.streaming.text_stream import clean_stream, clean_stream_with_log, read_csv_stream
 
 
 def _target(spark, name: str) -> str:
@@ -156,3 +156,15 @@ def cleaned_stream(spark, sf):
     rows = read_csv_stream(spark, source, "o_orderkey bigint, o_orderpriority string")
     clean_stream(rows, ["o_orderpriority"], target, progress).awaitTermination()
     return spark.read.parquet(target)
+
+
+@query("cleaned_stream_log", """SELECT 'pedidos.csv' AS archivo, o_orderkey + 2 AS fila, 'o_orderpriority' AS columna,
+  '"' || o_orderpriority || '" ' || chr(1) AS valor_original, o_orderpriority AS valor_limpio FROM orders WHERE o_orderkey % 3 = 0""")
+def cleaned_stream_log(spark, sf):
+    """The log of a stream of several batches, each written once."""
+    source, target, log, progress = (_target(spark, n) for n in ("in", "out", "log", "progress"))
+    dirt = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('"'), "o_orderpriority", F.lit('" \x01'))).otherwise(F.col("o_orderpriority"))
+    files.write_csv(table(spark, sf, "orders").select("o_orderkey", dirt.alias("o_orderpriority")).repartition(3), source)
+    rows = read_csv_stream(spark, source, "o_orderkey bigint, o_orderpriority string", files_at_once=1)
+    clean_stream_with_log(rows, ["o_orderpriority"], "o_orderkey", "pedidos.csv", target, log, progress).awaitTermination()
+    return spark.read.parquet(log).drop("lote")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registry.tables import (
-    CONFIG, MEASUREMENTS_SQL, from_hotspots, from_master, master, measurements, query, rounded, table,
+    CONFIG, MEASUREMENTS_SQL, from_hotspots, from_master, master, measurements, once, query, rounded, table,
 )
-from viario.operators import features, index, pivots, quantiles, ranking, stats
+from viario.operators import features, index, pivots, quantiles, ranking, sketches, stats
 from viario.plans import reports
 
 MEANS = """round(avg(velocidad_km_h), 4) AS velocidad_media, round(avg(intensidad), 4) AS intensidad_media,
@@ -464,6 +464,58 @@ SELECT CAST(row_number() OVER (ORDER BY avg(icv) DESC, nombre_comuna) AS INTEGER
     lambda spark, sf: _view("comunas")(spark, sf).select("rank", "nombre_comuna", "icv_medio"))
 
 
+query("filtered_view_load", from_master(f"""
+, l AS (SELECT coalesce(nullif(upper(trim(regexp_replace(regexp_replace(lower(strip_accents(corredor)),
+    '[^a-z0-9\\s]', '', 'g'), '^[0-9\\s]+', ''))), ''), 'DESCONOCIDO') AS corredor,
+    intensidad, velocidad_km_h FROM master WHERE {FILTER} AND intensidad >= 0 AND velocidad_km_h > 0 AND velocidad_km_h < 120),
+g AS (SELECT corredor, avg(intensidad / 2500) AS ivc, avg(velocidad_km_h) AS v, avg(intensidad) AS i,
+  avg(greatest(0, least(1, 1 - velocidad_km_h / 60))) AS s, count(*) AS n_registros FROM l GROUP BY corredor)
+SELECT CAST(row_number() OVER (ORDER BY ivc DESC, corredor) AS INTEGER) AS rank, corredor,
+  round(ivc, 4) AS ivc_medio, round(v, 4) AS velocidad_media, round(i, 4) AS intensidad_media,
+  round(s, 4) AS icv_simple_medio, n_registros FROM g ORDER BY ivc DESC, corredor LIMIT 15"""))(_view("corredores_ivc"))
+
+
+CELL_MEASURES = ["velocidad_km_h", "intensidad", "icv"]
+
+
+def cells(spark, sf):
+    return once(spark, sf, "cells", lambda: sketches.sketch_cells(
+        master(spark, sf), measures=CELL_MEASURES, distinct=["l_partkey"]))
+
+
+_LATTICE_SQL = ", ".join(
+    f"count({m}) AS {m}_n, round(avg({m}), 4) AS {m}_media, round(stddev_samp({m}), 4) AS {m}_std, round(min({m}), 4) AS {m}_min, round(max({m}), 4) AS {m}_max"
+    for m in CELL_MEASURES)
+
+
+@query("report_lattice", from_master(f"""
+SELECT concat_ws('+', CASE WHEN grouping(corredor) = 0 THEN 'corredor' END, CASE WHEN grouping(nombre_comuna) = 0 THEN 'nombre_comuna' END,
+    CASE WHEN grouping(franja_horaria) = 0 THEN 'franja_horaria' END, CASE WHEN grouping(dia_num) = 0 THEN 'dia_num' END) AS nivel,
+  corredor, nombre_comuna, franja_horaria, dia_num, count(*) AS n, {_LATTICE_SQL}
+FROM master GROUP BY GROUPING SETS ((corredor), (nombre_comuna), (franja_horaria), (dia_num), (nombre_comuna, franja_horaria), ())"""))
+def lattice(spark, sf):
+    """All groupings at once, from cells written once."""
+    return rounded(sketches.report_lattice(cells(spark, sf)))
+
+
+@query("merged_filtered_report", from_master(f"""
+, e AS (SELECT nombre_comuna, franja_horaria, count(*) AS n, round(avg(icv), 4) AS icv_media, round(max(icv), 4) AS icv_max
+  FROM master WHERE {FILTER} GROUP BY ALL)
+SELECT *, true AS cuantiles_en_rango, true AS distintos_en_rango FROM e"""))
+def merged_filtered_report(spark, sf):
+    """Filtered figures from stored cells; approximate ones lie in their bounds around the exact ones."""
+    communes, day = ["NATION_15", "NATION_20", "NATION_8"], "Sabado"
+    by = ["nombre_comuna", "franja_horaria"]
+    found = sketches.merged_report(cells(spark, sf), by, {"p30": 0.3, "p70": 0.7}, communes, None, "Todas", day)
+    facts = features.apply_filters(master(spark, sf), communes, None, "Todas", day)
+    near = facts.join(found, by).groupBy(*by).agg(*[
+        (F.abs(F.avg((F.col("icv") <= F.col(f"icv_{name}")).cast("int")) - p) <= 0.05 + 1 / F.count("icv")).alias(name) for name, p in (("p30", 0.3), ("p70", 0.7))],
+        F.count_distinct("l_partkey").alias("exact"))
+    return rounded(found.join(near, by).select(
+        *by, "n", "icv_media", "icv_max", (F.col("p30") & F.col("p70")).alias("cuantiles_en_rango"),
+        (F.abs(F.col("l_partkey_distintos") - F.col("exact")) <= 0.08 * F.col("exact") + 1).alias("distintos_en_rango")))
+
+
 CAPACITY_SQL = """
 , named AS (SELECT corredor, CASE WHEN intensidad > 50000 THEN 'Via Regional ' || corredor
   WHEN intensidad > 20000 THEN 'Calle San Juan ' || corredor ELSE corredor END AS via, intensidad, velocidad_km_h FROM master),

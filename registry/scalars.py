@@ -193,12 +193,12 @@ WITH spelled AS (SELECT doc_id, strip_accents(replace(replace(replace(
     regexp_replace(text, '[–—]', '-', 'g'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe')) AS t FROM documents)
 SELECT doc_id, md5(trim(regexp_replace(replace(lower(regexp_replace(t, '[^\x00-\x7F\p{L}\p{N}]', '', 'g')), '-', ' '), '\s+', ' ', 'g')))
   AS huella FROM spelled
-UNION ALL SELECT doc_id, md5('привет ' || doc_id) FROM documents""")
+UNION ALL SELECT doc_id, md5('privet omega 漢字 ' || doc_id) FROM documents""")
 def area_key(spark, sf):
-    """Keys of all texts, and of names in another script."""
+    """Keys of all texts, and of names in other scripts: two are spelled in Latin letters, others stay."""
     plain = F.translate("text", "–—", "--")
     documents = table(spark, sf, "documents")
-    other = documents.select("doc_id", F.concat(F.lit("  ПРИВЕТ-"), F.col("doc_id").cast("string")).alias("t"))
+    other = documents.select("doc_id", F.concat(F.lit("  ПРИВЕТ-Ωμέγα-漢字-"), F.col("doc_id").cast("string")).alias("t"))
     return documents.select("doc_id", plain.alias("t")).unionByName(other).select(
         "doc_id", F.md5(text.area_key(F.col("t")).cast("binary")).alias("huella"))
 

@@ -102,6 +102,7 @@ def test_corridor_label(spark, value, label):
 
 @pytest.mark.parametrize("value,key", [
     (None, ""), ("La  América", "la america"), ("Doce–de Octubre", "doce de octubre"), (" Straße ", "strasse"),
+    ("Привет, Щёлково", "privet, shchelkovo"), ("Объезд", "obezd"), ("ΨΥΧΉ Θεά", "psukhe thea"), ("漢字 Ж", "漢字 zh"),
 ])
 def test_area_key(spark, value, key):
     df = spark.createDataFrame([(value,)], "v string")
@@ -121,4 +122,5 @@ def test_labels(spark):
 def test_snake_case():
     assert text.snake_case(" AÑO-MES ") == "ano_mes"
     assert text.snake_case("INDRA.TIPO") == "indra_tipo"
+    assert text.snake_case("Привет") == "privet" and text.snake_case("Αθήνα (км/ч)") == "athena_km_ch"
     assert text.snake_case("VÍA_PRINCIPAL") == "via_principal"

@@ -40,6 +40,27 @@ SINGLE = {
     "¿": "?", "¡": "!", "\u00a0": " ",
 }
 
+# Greek and Cyrillic letters in Latin spelling; hard and soft signs are not spelled.
+GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω",
+                 "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split()))
+CYRILLIC = dict(zip("абвгдежзийклмнопрстуфхцчшщыэюяієїґђћљњџјѕ",
+                    "a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch y e iu ia i ie yi g d c lj nj dzh j dz".split()))
+SIGNS = {"ъ": "", "ь": "", "Ъ": "", "Ь": ""}
+
+
+def _other_scripts() -> dict[str, str]:
+    """Both alphabets in both cases, and their letters with marks, which lose these."""
+    table = {**GREEK, **CYRILLIC}
+    table.update({k.upper(): v.capitalize() for k, v in list(table.items()) if len(k.upper()) == 1})
+    for code in (*range(0x0370, 0x0400), *range(0x0400, 0x0500)):
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and chr(code) not in table and base in table:
+            table[chr(code)] = table[base]
+    return {**table, **SIGNS}
+
+
+OTHER_SCRIPTS = _other_scripts()
+
 
 def _base_letters() -> dict[str, str]:
     """Accented Latin letters whose canonical decomposition is one ASCII letter plus marks."""
@@ -58,6 +79,16 @@ def _translate(c: Column, table: dict[str, str]) -> Column:
     return F.translate(c, "".join(table), "".join(table.values()))
 
 
+def spell_other_scripts(c: Column) -> Column:
+    """Greek and Cyrillic in Latin letters; texts without such letters are not touched."""
+    single = {k: v for k, v in OTHER_SCRIPTS.items() if len(v) == 1}
+    dropped = "".join(k for k, v in OTHER_SCRIPTS.items() if not v)
+    several = {k: v for k, v in OTHER_SCRIPTS.items() if len(v) > 1}
+    plain = F.translate(c, "".join(single) + dropped, "".join(single.values()))
+    spelled = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), several.items(), plain)
+    return F.when(c.rlike(r"[\x{370}-\x{4FF}]"), spelled).otherwise(c)
+
+
 def strip(c: Column) -> Column:
     """Remove any Unicode white space at both ends."""
     return F.btrim(c, F.lit(EDGE_SPACE))
@@ -75,15 +106,15 @@ def to_ascii(c: Column) -> Column:
 
 
 def to_latin(c: Column) -> Column:
-    """Latin text in ASCII; of other scripts letters and digits stay, without their marks."""
-    spelled = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), SPELLED.items(), c)
+    """Latin, Greek and Cyrillic text in ASCII; of other scripts letters and digits stay, without their marks."""
+    spelled = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), SPELLED.items(), spell_other_scripts(c))
     plain = _translate(spelled, BASE_LETTERS | SINGLE)
     return F.regexp_replace(plain, r"[^\x00-\x7F\p{L}\p{N}]|\p{M}", "")
 
 
 def snake_case(name: str) -> str:
     """A column name in ASCII snake case."""
-    table = str.maketrans(BASE_LETTERS | SINGLE | SPELLED)
+    table = str.maketrans(BASE_LETTERS | SINGLE | SPELLED | OTHER_SCRIPTS)
     plain = unicodedata.normalize("NFKD", name.translate(table)).encode("ascii", "ignore").decode()
     words = "".join(ch if ch.isascii() and ch.isalnum() else " " for ch in plain.lower()).split()
     return "_".join(words)
@@ -153,8 +184,8 @@ def blank_to_null(c: Column) -> Column:
 
 
 def area_key(c: Column) -> Column:
-    """Spelling-independent key of an area name: Latin letters in ASCII, letters and digits of
-    other scripts as they are, in lower case and without marks."""
+    """Spelling-independent key of an area name: Latin, Greek and Cyrillic letters in ASCII,
+    letters and digits of other scripts as they are, in lower case and without marks."""
     plain = F.regexp_replace(F.lower(to_latin(F.coalesce(c.cast("string"), F.lit("")))), "-", " ")
     return strip(F.regexp_replace(plain, r"\s+", " "))
 
