@@ -3,12 +3,13 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import viario.llm.scoring as scoring
 from tests.llm.frames import AWKWARD, documents, prose
-from viario.llm.scoring import pack, score_documents, unpack
+from viario.llm.scoring import Automaton, Grams, pack, score_documents, unpack
 
 END = b"</s>"
 
@@ -47,10 +48,11 @@ def corpus():
     return texts + [prose(2, 40)] * 3 + [None]
 
 
-@pytest.mark.parametrize("order,block", [(2, 5_000_000), (2, 400), (3, 300), (1, 500)])
+@pytest.mark.parametrize("order,block", [(3, 5_000_000), (2, 400), (3, 300), (1, 500), (4, 5_000_000)])
 def test_against_brute_force(spark, monkeypatch, order, block):
     monkeypatch.setattr(scoring, "BLOCK_BYTES", block)
     monkeypatch.setattr(scoring, "SHARD_GRAMS", max(20, block // 10))
+    monkeypatch.setattr(scoring, "STRETCH", 7 if order == 4 else 256)
     texts = corpus()
     train = [i % 4 != 1 for i in range(len(texts))]
     rows = documents(spark, texts).withColumn("n_tokens", F.lit("old"))
@@ -72,10 +74,25 @@ def test_nothing_to_learn_repeats_and_empty(spark):
 def test_very_long_text(spark):
     texts = [AWKWARD[-1], "w1x1 w2x2"]
     found = score_documents(documents(spark, texts), F.lit(True), keep=["doc_id"]).orderBy("doc_id").collect()
-    for r, want in zip(found, brute(texts, [1, 1], 2, scoring.STRENGTH)):
+    for r, want in zip(found, brute(texts, [1, 1], scoring.ORDER, scoring.STRENGTH)):
         assert r.n_tokens == want[0] and math.isclose(r["score"], want[4], rel_tol=1e-9)
 
 
+def test_reading_in_stretches(monkeypatch):
+    """The score of a text does not depend on where its stretches are cut."""
+    rng = random.Random(5)
+    texts = pa.chunked_array([pa.array([" ".join(rng.choices("a b c d e f g h i j".split(), k=n)) for n in (0, 1, 5, 150, 2000)])])
+    own = Grams(texts, 3)
+    seen = np.concatenate([at < own.first[4] for at in own.places])   # the last text was not seen in training
+    counts = np.bincount(own.number[seen], minlength=len(own.keys)).astype(np.int64)
+    machine = Automaton(own, counts, 900, 5, 2.0)
+    whole = [machine.scores()]
+    for stretch in (1, 3, 50):
+        monkeypatch.setattr(scoring, "STRETCH", stretch)
+        whole.append(machine.scores())
+    assert all(np.allclose(whole[0], w, rtol=1e-12) for w in whole)
+
+
 def test_packing_of_numbers():
     numbers = np.array([0, 1, 255, 256, 2**63, 2**64 - 1], dtype=np.uint64)
     assert unpack(pack(numbers)).tolist() == numbers.tolist() and len(unpack(pack(numbers[:0]))) == 0
