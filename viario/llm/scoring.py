@@ -17,6 +17,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -26,7 +27,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ORDER = 3
 STRENGTH = 300.0          # K
-KEY_BITS = 20             # of a key beyond those that number the bytes of all texts
+KEY_BITS = 17             # of a key beyond those that number the bytes of all texts
 STRETCH = 256             # words of a text read by one traversal
 BLOCK_BYTES = 4_000_000   # of text in a block
 SHARD_GRAMS = 2_500_000   # n-grams sent to a shard, about
@@ -35,12 +36,14 @@ _ADD = 0.1
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    """64-bit numbers by byte planes, which shuffle compression shortens where high bytes are alike."""
-    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """64-bit numbers by byte planes, compressed: of most numbers the high bytes are alike."""
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").reshape(-1)
 
 
 def _differences(keys: np.ndarray) -> np.ndarray:
@@ -64,11 +67,16 @@ class Grams:
         for m in range(1, order + 1):
             hashes, whole = grams(sequence, m)
             at = np.flatnonzero(whole)
-            self.places.append(at)
+            self.places.append(at.astype(np.int32))
             # the lowest bit tells single words from longer n-grams
             named = (hashes[at] + np.uint64(2 * m)) >> np.uint64(65 - bits)
             keys.append(named << np.uint64(1) | np.uint64(m == 1))
-        self.keys, self.where, self.number = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+            del hashes, whole, at, named
+        del parts, sequence
+        together = np.concatenate(keys)
+        del keys
+        self.keys, number = np.unique(together, return_inverse=True)
+        self.number = number.astype(np.int32)
         self.bounds = np.cumsum([0, *map(len, self.places)])
 
     def shards(self, n: int) -> np.ndarray:
@@ -118,7 +126,7 @@ class Automaton:
 
     def __init__(self, own: Grams, counts: np.ndarray, n_tokens: int, n_types: int, strength: float):
         unit = [own.number[own.bounds[m]:own.bounds[m + 1]] for m in range(len(own.places))]
-        place = [np.full(own.first[-1] + 1, -1, np.int64) for _ in unit]  # n-gram that starts at a place
+        place = [np.full(own.first[-1] + 1, -1, np.int32) for _ in unit]  # n-gram that starts at a place
         for p, at, number in zip(place, own.places, unit):
             p[at] = number
         self.order, self.first = len(unit), own.first
@@ -135,7 +143,7 @@ class Automaton:
         arcs, weights, ends = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
         for m in range(1, self.order + 1):
             numbers, at = np.unique(unit[m - 1], return_index=True)
-            at = own.places[m - 1][at]
+            at = own.places[m - 1][at].astype(np.int64)
             seen = counts[numbers] > 0
             numbers, at = numbers[seen], at[seen]
             if m > 1:
@@ -235,7 +243,7 @@ def score_documents(documents: DataFrame, train: Column, text: str = "text", kee
                             F.coalesce(train, F.lit(False)).alias("__train"))
     size = rows.agg(F.sum(F.octet_length("__text") + 8)).first()[0] or 0
     n_blocks = max(1, -(-size // BLOCK_BYTES))
-    # Bits of a key: an n-gram shares its key with another one in at most one of a million cases, at any size.
+    # Bits of a key: an n-gram shares its key with another one in at most eight of a million cases, at any size.
     bits = min(64, size.bit_length() + KEY_BITS)
     n_shards = max(1, -(-size * order // (6 * SHARD_GRAMS)))
     block = F.pmod(F.xxhash64(*names, "__text"), F.lit(n_blocks)).cast("int")
