@@ -147,6 +147,27 @@ def geojson_features(spark, sf):
     return rounded(geo.commune_labels(files.read_features(spark, path)))
 
 
+@query("geojson_collection", """SELECT l_orderkey, l_linenumber, '} "features":[{ ' || l_returnflag || ' \\' AS modo,
+  l_quantity::DOUBLE AS lon, l_orderkey * 0.5::DOUBLE AS lat FROM lineitem""")
+def geojson_collection(spark, sf):
+    """One collection in one file, with braces, quotes and backslashes in its texts."""
+    path = _target(spark, "lines.geojson")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_quantity").cast("double").alias("lon"))
+    first = lines.agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("first"))
+    text = F.to_json(F.struct(
+        F.lit("Feature").alias("type"),
+        F.struct("l_orderkey", "l_linenumber", F.concat(F.lit('} "features":[{ '), "l_returnflag", F.lit(" \\")).alias("modo")).alias("properties"),
+        F.struct(F.lit("Point").alias("type"), F.array("lon", F.col("l_orderkey") * 0.5).alias("coordinates")).alias("geometry")))
+    comma = F.when(F.struct("l_orderkey", "l_linenumber") == first.scalar(), "").otherwise(",")
+    rows = lines.select("l_orderkey", "l_linenumber", F.concat(comma, text).alias("value")).coalesce(1).sortWithinPartitions("l_orderkey", "l_linenumber")
+    _write_lines(rows.select("value").union(spark.createDataFrame([("]}",)], "value string")),
+                 '{"type":"FeatureCollection","otros":[{"type":"Feature"}],"features":[', path)
+    place = F.from_json("geometry.coordinates", "array<double>")
+    return files.read_features(spark, path).select(
+        F.col("properties.l_orderkey").cast("bigint").alias("l_orderkey"), F.col("properties.l_linenumber").cast("bigint").alias("l_linenumber"),
+        F.col("properties.modo").alias("modo"), place[0].alias("lon"), place[1].alias("lat"))
+
+
 @query("cleaned_stream", """SELECT o_orderkey, o_orderpriority FROM orders""")
 def cleaned_stream(spark, sf):
     """Dirty files cleaned as a stream until none is left."""

@@ -1,5 +1,7 @@
 """Figures of groups brought to the facts, with a hot group."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,3 +52,14 @@ def test_empty_names_match_nothing(spark):
                                    "nombre_comuna string, volumen_total_hora double")
     found = {r.i: r.aforo_medio for r in joins.join_counts(rows, counts).collect()}
     assert found == {1: 10.0, 2: 30.0, 3: None, 4: None, 5: 90.0, 6: 10.0}
+
+
+def test_containment_equals_brute_force(spark):
+    draw = random.Random(3)
+    inner, outer = ({"".join(draw.choice("ab cñ") for _ in range(draw.randrange(9))) for _ in range(n)} for n in (200, 300))
+    inner, outer = sorted(inner | {"común x", "z"}), sorted(outer | {"la común x y", "zz"})
+    a = spark.createDataFrame([(x, i) for i, x in enumerate(inner)] + [(None, -1)], "area string, pos long")
+    b = spark.createDataFrame([(x,) for x in outer] + [(None,)], "key string")
+    found = joins.containing(a, b, "area", "key").select("area", "pos", "key").collect()
+    assert sorted(map(tuple, found)) == sorted((x, i, y) for i, x in enumerate(inner) if x for y in outer if x in y)
+    assert joins.containing(a.where("false"), b, "area", "key").count() == 0

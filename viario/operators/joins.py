@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from viario.functions.text import area_key
 from viario.operators.small import join_groups
@@ -10,15 +10,30 @@ from viario.schema import has
 from viario.storage import materialise
 
 
-def _pieces(df: DataFrame, text: str, lengths: DataFrame, name: str) -> DataFrame:
-    """One row per piece of a text that is as long as some text in `lengths.n`."""
-    wanted = lengths.agg(F.collect_set("n")).scalar()
-    return (
-        df.withColumn("__n", F.explode(wanted)).where(F.col("__n") <= F.length(text))
-        .withColumn("__at", F.explode(F.sequence(F.lit(1), F.length(text) - F.col("__n") + 1)))
-        .withColumn(name, F.substr(F.col(text), F.col("__at"), F.col("__n")))
-        .drop("__n", "__at").distinct()
-    )
+GRAM = 3  # characters of the pieces by which names meet
+
+
+def _grams(text: str, size: Column) -> Column:
+    """The different pieces of `size` characters of a text, as many as its length at most."""
+    at = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.substr(F.col(text), i, size)))
+
+
+def containing(short: DataFrame, long: DataFrame, inner: str, outer: str, gram: int = GRAM) -> DataFrame:
+    """Rows of both tables for which the text `inner` lies inside the text `outer`; neither table repeats its text.
+
+    All pieces of an inner text occur in an outer one, so its rarest piece alone is looked up
+    and the texts are compared then. An inner text shorter than `gram` is its own piece. The
+    rows built are linear in the length of the texts, no pair without a common piece is built,
+    and empty or missing texts are in none."""
+    pieces = long.withColumn("gram", F.explode(F.concat(*[_grams(outer, F.lit(n)) for n in range(1, gram + 1)])))
+    often = pieces.groupBy("gram").agg(F.count("*").alias("n"))
+    own = short.where(F.length(inner) > 0).withColumn("gram", F.explode(_grams(inner, F.least(F.length(inner), F.lit(gram)))))
+    # A piece that no outer text has rules the inner text out.
+    counted = own.join(often, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = counted.groupBy(*short.columns).agg(F.min(F.struct("n", "gram")).alias("least")).where("least.n > 0")
+    probes = rarest.select(*short.columns, F.col("least.gram").alias("gram"))
+    return probes.join(pieces, "gram").where(F.contains(F.col(outer), F.col(inner))).drop("gram")
 
 
 def match_names(
@@ -27,8 +42,8 @@ def match_names(
     """(key, value) for the distinct area keys in `names.key`.
 
     An equal key wins. Else the first area whose key contains the name's key or lies
-    inside it. Containment is an equality join on the pieces of the longer text, so no
-    pair of unrelated names is ever built. Of equal area keys the first gives the
+    inside it. Containment is an equality join on the rarest piece of the shorter text, so
+    no pair of unrelated names is ever built. Of equal area keys the first gives the
     position and the last gives the value.
     """
     table = areas.select(
@@ -40,11 +55,9 @@ def match_names(
     exact = keys.join(table, F.col("key") == F.col("area")).select("key", "v")
     open_keys = keys.join(table, F.col("key") == F.col("area"), "left_anti").where("key <> ''")
     named = table.where("area <> ''")
-    inside = _pieces(open_keys, "key", named.select(F.length("area").alias("n")), "area")
-    around = _pieces(named, "area", open_keys.select(F.length("key").alias("n")), "key")
     found = (
-        inside.join(named, "area").select("key", "pos", "v")
-        .unionByName(around.select("key", "pos", "v").join(open_keys, "key", "left_semi"))
+        containing(named, open_keys, "area", "key").select("key", "pos", "v")
+        .unionByName(containing(open_keys, named, "key", "area").select("key", "pos", "v"))
     )
     partial = found.groupBy("key").agg(F.min(F.struct("pos", "v")).alias("best"))
     return exact.unionByName(partial.select("key", F.col("best.v").alias("v"))).withColumnRenamed(

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from viario.functions.numbers import number, restore_booleans
 from viario.schema import keep_present
+from viario.sources.features import read_collections
 from viario.sources.records import read_records
 from viario.storage import materialise, path_exists
 
@@ -146,24 +147,19 @@ FEATURE = (
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """Features of GeoJSON: one collection per file, or one feature per line (.geojsonl),
-    which large files should use since a collection cannot be split.
+    """Features of GeoJSON: collections, one per file, or one feature per line (.geojsonl).
 
-    Coordinates stay text until the geometry type is known."""
+    Both are read in parts by all tasks. Coordinates stay text until the geometry type is
+    known; `feature_id` rises in the order of files and features. Of a collection that ends
+    too early the last, open feature is left out."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], FEATURE).withColumn("feature_id", F.lit(0).cast("bigint"))
     if path.endswith((".geojsonl", ".jsonl", ".ndjson")):
-        features = spark.read.schema(FEATURE).json(path)
-    else:
-        whole = spark.read.schema(f"features array<struct<{_as_struct(FEATURE)}>>").json(
-            path, multiLine=True
-        )
-        features = whole.select(F.inline("features"))
-    return features.withColumn("feature_id", F.monotonically_increasing_id())
-
-
-def _as_struct(schema: str) -> str:
-    return T.StructType.fromDDL(schema).simpleString()[len("struct<"):-1]
+        return spark.read.schema(FEATURE).json(path).withColumn("feature_id", F.monotonically_increasing_id())
+    parsed = read_collections(spark, path).select(
+        F.from_json("text", FEATURE).alias("feature"),
+        F.shiftleft("__block", 32).bitwiseOR(F.col("__index")).alias("feature_id"))
+    return parsed.select("feature.*", "feature_id")
 
 
 def read_or_compute(spark: SparkSession, path: str, compute) -> DataFrame:
