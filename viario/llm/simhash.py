@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from viario.llm.components import connected_components
 from viario.llm.words import kept
+from viario.operators.small import join_groups
 from viario.storage import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -187,9 +188,11 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
     """
     rows = materialise(add_fingerprints(documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")),
                                         size=size), "fingerprints")
-    rooted = _rooted(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), bits, cell_rows)
-    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(names, "root").select("fingerprint", "component_id")
+    rooted = materialise(_rooted(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), bits, cell_rows), "rooted")
+    # Only roots that others link to need a name, and a crowd of one root stays where its fingerprints are.
+    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    named = join_groups(rooted, names, ["root"]).select(
+        "fingerprint", F.coalesce("component_id", "first").alias("component_id"))
     return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
