@@ -250,6 +250,39 @@ def points_in_area(spark, sf):
     return points.join(found, ["lon", "lat"], "left_semi").select("c_custkey")
 
 
+RAGGED = 720  # corners of a ragged commune
+
+
+def ragged_communes(spark, sf):
+    """Nations on the same grid as rings of many corners whose distance from the centre goes up and down."""
+    key, i = F.col("n_nationkey"), F.col("i")
+    r = (F.lit(6.0) + key * 0.1) * (F.lit(0.7) + (i * 37 + key) % 11 / 40.0)
+    angle = i * F.pi() / (RAGGED / 2)
+    lon = (key % 5) * 20.0 + 10.0 + F.cos(angle) * r
+    lat = F.floor(key / 5) * 20.0 + 10.0 + F.sin(angle) * r
+    corner = F.concat(F.lit("["), lon.cast("string"), F.lit(","), lat.cast("string"), F.lit("]"))
+    corners = table(spark, sf, "nation").select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(RAGGED - 1))).alias("i"))
+    ring = corners.groupBy("n_nationkey").agg(F.array_sort(F.collect_list(F.struct(i, corner.alias("c")))).alias("ring"))
+    return ring.select(F.struct(
+        F.lit("Polygon").alias("type"),
+        F.concat(F.lit("[["), F.array_join("ring.c", ","), F.lit("]]")).alias("coordinates")).alias("geometry"))
+
+
+@query("points_in_ragged_area", f"""WITH p AS (SELECT c_custkey, {CUSTOMER_POINT} AS lon, c_custkey * 7919 % 10007 / 10007 * 100 AS lat FROM customer),
+corners AS (SELECT n_nationkey AS k, i, (6.0 + n_nationkey * 0.1)::DOUBLE * (0.7 + (i * 37 + n_nationkey) % 11 / 40.0) AS r,
+    (n_nationkey % 5) * 20.0::DOUBLE + 10.0 AS x, floor(n_nationkey / 5) * 20.0::DOUBLE + 10.0 AS y FROM nation, (SELECT unnest(range({RAGGED})) AS i)),
+ring AS (SELECT k, i, x + cos(i * pi() / {RAGGED // 2}) * r AS px, y + sin(i * pi() / {RAGGED // 2}) * r AS py FROM corners),
+sides AS (SELECT a.k, a.px AS x1, a.py AS y1, b.px AS x2, b.py AS y2 FROM ring a JOIN ring b ON a.k = b.k AND b.i = (a.i + 1) % {RAGGED}),
+boxes AS (SELECT k, min(px) AS west, max(px) AS east, min(py) AS south, max(py) AS north FROM ring GROUP BY k),
+met AS (SELECT c_custkey, k, count(*) AS n FROM p JOIN boxes ON lon BETWEEN west AND east AND lat BETWEEN south AND north JOIN sides USING (k)
+  WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY c_custkey, k)
+SELECT DISTINCT c_custkey FROM met WHERE n % 2 = 1""")
+def points_in_ragged_area(spark, sf):
+    points = _points(spark, sf)
+    found = geo.points_in_area(points, geo.urban_rings(ragged_communes(spark, sf)))
+    return points.join(found, ["lon", "lat"], "left_semi").select("c_custkey")
+
+
 def _segments(spark, sf):
     return geo.clip_lines(geo.line_points(lines(spark, sf)), geo.urban_rings(communes(spark, sf)))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from viario.functions.text import commune_code, strip
+from viario.operators import cover
+from viario.storage import materialise
 
 RINGS = "array<array<array<double>>>"
 POLYGONS = "array<array<array<array<double>>>>"
@@ -138,25 +140,39 @@ def _cell(value: Column, level: Column) -> Column:
     return F.floor(value / F.pow(F.lit(2.0), level)).cast("bigint")
 
 
-def points_in_area(points: DataFrame, rings: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
+def points_in_area(points: DataFrame, rings: DataFrame, x: str = "lon", y: str = "lat",
+                   ray_edges: int = cover.CELL_EDGES) -> DataFrame:
     """The distinct points that lie in any ring: equality join on grid cells, then box,
-    then ray. A point is filed once per grid in use."""
-    box = F.col("box")
+    then ray. A point is filed once per grid in use.
+
+    Rings of more than `ray_edges` edges are cut into cells, and the ray goes through the edges
+    of the point's cell only; the result is the same.
+    """
+    box, large = F.col("box"), F.size("edges") > ray_edges
+    most, used = rings.agg(F.max(F.size("edges")), F.collect_set("level")).first()
+    cut = (most or 0) > ray_edges
+    if cut:  # equal rings are one node, whatever the order in which the features are read
+        rings = materialise(rings.withColumn("node", F.sha2(F.to_json("edges"), 256)).dropDuplicates(["node"]), "rings")
     filed = rings.withColumn("cx", F.explode(F.sequence(
         _cell(box["x0"], F.col("level")), _cell(box["x1"], F.col("level"))
     ))).withColumn("cy", F.explode(F.sequence(
         _cell(box["y0"], F.col("level")), _cell(box["y1"], F.col("level"))
     )))
-    levels = rings.agg(F.collect_set("level")).scalar()
+    levels = F.array(*map(F.lit, used)).cast("array<int>")
     asked = (
         points.select(x, y).distinct().withColumn("level", F.explode(levels))
         .withColumns({"cx": _cell(F.col(x), F.col("level")), "cy": _cell(F.col(y), F.col("level"))})
     )
     in_box = F.col(x).between(box["x0"], box["x1"]) & F.col(y).between(box["y0"], box["y1"])
-    return (
-        asked.join(filed, ["level", "cx", "cy"])
-        .where(in_box & in_ring(F.col(x), F.col(y), F.col("edges"))).select(x, y).distinct()
-    )
+    near = ["level", "cx", "cy"]
+    ray = asked.join(filed.where(~large) if cut else filed, near).where(
+        in_box & in_ring(F.col(x), F.col(y), F.col("edges"))).select(x, y)
+    if not cut:
+        return ray.distinct()
+    boxes = filed.where(large).select(*near, "box", "node")
+    maybe = asked.join(boxes, near).where(in_box).select("node", F.col(x).alias("x"), F.col(y).alias("y"))
+    inside = cover.in_cover(maybe, cover.cover(rings.where(large)), in_ring)
+    return ray.union(inside.select(F.col("x").alias(x), F.col("y").alias(y))).distinct()
 
 
 def line_points(features: DataFrame, name: str = "corredor") -> DataFrame:

@@ -150,5 +150,50 @@ def several_quantiles(df: DataFrame, probs: dict[str, float]) -> dict[str, Colum
     return {c: quantile(df, c, p, known_distinct=distinct[c]) for c, p in probs.items()}
 
 
+def quantiles_at_once(
+    df: DataFrame, wanted: dict[str, tuple[Column, float]], distinct_values: int | None = None,
+) -> dict[str, Column]:
+    """One exact quantile for each of several expressions, from two reads of the table.
+
+    The first read gives a bracket for each quantile, the second counts the values in the
+    brackets and those on either side. A quantile that its bracket does not hold, or whose
+    bracket may have too many values for one buffer, is found on its own.
+    """
+    limit = DISTINCT_VALUES if distinct_values is None else distinct_values
+    values = {name: no_nan(v).cast("double") for name, (v, _) in wanted.items()}
+
+    def ends(p: float) -> list[float]:
+        return [max(0.0, p - MARGIN), min(1.0, p + MARGIN)]
+
+    seen = df.agg(*[c for name, v in values.items() for c in (
+        F.count(v).alias(f"{name}__n"), F.approx_count_distinct(v).alias(f"{name}__d"),
+        F.percentile_approx(v, ends(wanted[name][1]), ACCURACY).alias(f"{name}__at"))]).first()
+    fits = {name: seen[f"{name}__at"] for name in wanted
+            if seen[f"{name}__n"] and min(seen[f"{name}__d"], seen[f"{name}__n"] * 2 * MARGIN) <= limit}
+    found = {}
+    if fits:
+        def place(name: str, v: Column) -> Column:
+            low, high = fits[name]
+            side = F.when(v < low, -1).when(v > high, 1).otherwise(0)
+            return F.when(v.isNotNull(), F.struct(
+                F.lit(name).alias("name"), side.alias("side"), F.least(F.greatest(v, F.lit(low)), F.lit(high)).alias("v")))
+
+        placed = df.select(F.explode(F.array(*[place(name, values[name]) for name in fits])).alias("p"))
+        counted = placed.where("p is not null").groupBy("p.name", "p.side", "p.v").agg(F.count(F.lit(1)).alias("n"))
+        rows = counted.groupBy("name").agg(
+            F.percentile("v", F.array(*[F.lit(float(p)) for _, p in wanted.values()]), F.col("n")).alias("at"),
+            F.coalesce(F.sum(F.when(F.col("side") < 0, F.col("n"))), F.lit(0)).alias("below"),
+            F.coalesce(F.sum(F.when(F.col("side") <= 0, F.col("n"))), F.lit(0)).alias("upto")).collect()
+        order = list(wanted)
+        for r in rows:
+            n, p = seen[f"{r['name']}__n"], wanted[r["name"]][1]
+            if r.below <= math.floor(p * (n - 1)) and math.ceil(p * (n - 1)) < r.upto:
+                found[r["name"]] = F.lit(r["at"][order.index(r["name"])])
+    missing = [name for name in wanted if name not in found]
+    return {**found, **{
+        name: quantile(df.select(wanted[name][0].alias("__value")), "__value", wanted[name][1],
+                       known_distinct=seen[f"{name}__d"]) for name in missing}}
+
+
 def median(df: DataFrame, value: str, **options) -> Column:
     return quantile(df, value, 0.5, **options)

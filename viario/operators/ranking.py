@@ -82,15 +82,20 @@ def rank_communes(df: DataFrame, config: dict) -> DataFrame:
 
 def hotspots(df: DataFrame, config: dict) -> DataFrame:
     """Rows that are slow and busy by the quantiles of this very table."""
+    return df.where(is_hotspot(several_quantiles(df, hotspot_shares(config))))
+
+
+def hotspot_shares(config: dict) -> dict[str, float]:
     cfg = config["rankings"]
-    limits = several_quantiles(df, {
+    return {
         "velocidad_km_h": cfg["hotspot_velocidad_pct"] / 100,
         "intensidad": cfg["hotspot_intensidad_pct"] / 100,
-    })
-    return df.where(
-        (no_nan(F.col("velocidad_km_h")) <= limits["velocidad_km_h"])
-        & (no_nan(F.col("intensidad")) >= limits["intensidad"])
-    )
+    }
+
+
+def is_hotspot(limits: dict[str, Column]) -> Column:
+    return (no_nan(F.col("velocidad_km_h")) <= limits["velocidad_km_h"]) & (
+        no_nan(F.col("intensidad")) >= limits["intensidad"])
 
 
 def extreme_group(df: DataFrame, key: str, value: str, *, largest: bool = True) -> DataFrame:

@@ -10,9 +10,10 @@ from viario.functions.numbers import flag, no_nan
 from viario.functions.text import commune_code
 from viario.operators import features, ranking, stats
 from viario.operators.pivots import count_pivot
-from viario.operators.quantiles import quantile, quantiles
+from viario.operators.quantiles import quantile, quantiles, quantiles_at_once
 from viario.operators.ranking import extreme_group, ranked_all, ranked_top, top_rows
 from viario.schema import has, typed
+from viario.storage import materialise
 
 
 def mean(name: str, alias: str) -> Column:
@@ -132,21 +133,46 @@ def hotspot_slots(df: DataFrame, config: dict) -> DataFrame:
     )
 
 
+def intervention_cells(df: DataFrame, config: dict) -> DataFrame:
+    """One row per (corridor, commune): sums over weekday rows and the number of hotspot rows.
+
+    Two reads give the quantiles, a third one the cells, which are written; nothing else reads `df`."""
+    day = ~flag(df, "es_fin_semana") if has(df, "es_fin_semana") else F.lit(True)
+    limits = quantiles_at_once(df, {
+        **{c: (F.col(c), p) for c, p in ranking.hotspot_shares(config).items()},
+        "busy": (F.when(day, F.col("intensidad")), 0.80)})
+    added = {m: F.when(day, no_nan(F.col(m))) for m in (
+        "icv", "velocidad_km_h", "intensidad", "ocupacion", "poblacion_2019")}
+    added["pico"] = F.when(day, flag(df, "es_hora_pico").cast("int"))
+    sums = [c for m, v in added.items() for c in (F.sum(v).alias(f"{m}__sum"), F.count(v).alias(f"{m}__n"))]
+    cells = df.dropna(subset=["corredor"]).groupBy("corredor", "nombre_comuna").agg(
+        *sums, F.max(F.when(day, F.col("icv"))).alias("icv_maximo"), F.count(F.when(day, F.col("icv"))).alias("n_registros"),
+        F.count_if(day).alias("n_dias"), F.count_if(ranking.is_hotspot(limits)).alias("n_eventos"))
+    return materialise(cells.withColumn("busy", limits["busy"]), "intervention-cells")
+
+
 def interventions(df: DataFrame, config: dict) -> DataFrame:
     """Weekday corridor profiles with the kind of intervention they call for."""
-    rows = features.weekdays(df)
-    profile = corridor_profile(df, mean("poblacion_2019", "poblacion_2019"))
-    commune = stats.mode_by_group(rows, "nombre_comuna", ["corredor"], "nombre_comuna")
-    base = profile.join(commune, "corredor", "left")
-    busy = quantile(rows, "intensidad", 0.80)
+    cells = intervention_cells(df, config)
+
+    def average(m: str) -> Column:
+        return F.try_divide(F.sum(f"{m}__sum"), F.sum(f"{m}__n"))
+
+    profile = cells.groupBy("corredor").agg(
+        average("icv").alias("icv_medio"), F.max("icv_maximo").alias("icv_maximo"),
+        average("velocidad_km_h").alias("velocidad_media"), average("intensidad").alias("intensidad_media"),
+        average("ocupacion").alias("ocupacion_media"), F.sum("n_registros").alias("n_registros"),
+        (average("pico") * 100).alias("pct_hora_pico"), average("poblacion_2019").alias("poblacion_2019"),
+        F.min(F.when((F.col("n_dias") > 0) & F.col("nombre_comuna").isNotNull(), F.struct(
+            (-F.col("n_dias")).alias("rarity"), "nombre_comuna")))["nombre_comuna"].alias("nombre_comuna"),
+        F.max((F.col("n_eventos") > 0) & F.col("nombre_comuna").isNotNull()).alias("__spot"),
+        F.first("busy").alias("__busy"), F.sum("n_dias").alias("__days"),
+    ).where(F.col("__days") > 0)
     populous = quantile(profile, "poblacion_2019", 0.67)
-    spots = ranking.hotspots(df, config).where(
-        F.col("nombre_comuna").isNotNull()).select("corredor").distinct()
-    marked = base.join(spots.withColumn("__spot", F.lit(True)), "corredor", "left")
     yes = {
         "signals": (F.col("icv_medio") >= 50) & (F.col("velocidad_media") < 25),
-        "routes": (F.col("intensidad_media") >= busy) & (F.col("icv_medio") >= 45),
-        "transit": F.coalesce("__spot", F.lit(False)) & (F.col("poblacion_2019") >= populous),
+        "routes": (F.col("intensidad_media") >= F.col("__busy")) & (F.col("icv_medio") >= 45),
+        "transit": F.col("__spot") & (F.col("poblacion_2019") >= populous),
     }
     yes = {k: F.coalesce(c, F.lit(False)) for k, c in yes.items()}
     names = fixed.INTERVENTIONS
@@ -154,7 +180,7 @@ def interventions(df: DataFrame, config: dict) -> DataFrame:
     kind = F.when(several, names["several"])
     for k, c in yes.items():
         kind = kind.when(c, names[k])
-    return marked.withColumn("intervencion", kind.otherwise(names["none"])).drop("__spot")
+    return profile.withColumn("intervencion", kind.otherwise(names["none"])).drop("__spot", "__busy", "__days")
 
 
 def intervention_counts(df: DataFrame, config: dict) -> DataFrame:
