@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from viario.storage import materialise
 
 CELL_EDGES = 64      # border cells with more edges are cut again
-STRIP_EDGES = 8      # edges per strip and crossing that are aimed at
+STRIP_EDGES = 2      # edges per strip and crossing that are aimed at
+LEVELS = 6           # at most so many times; cells that are still large after it cost longer rays, nothing else
 _ROUNDING = 1e-12    # of the coordinates; far above what a crossing can be off by
 
 
@@ -72,7 +73,8 @@ def _cut(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     crossed = F.sum(((F.col("e.a_out") > 0) != (F.col("e.b_out") > 0)).cast("int")) % 2
     intervals = filed.withColumn("new", apart).withColumn("k", F.sum("new").over(upto)).groupBy(
         "node", "base", "n", "strip", "k").agg(
-        F.min("x0").alias("x0"), F.max("x1").alias("x1"), crossed.alias("own"), F.collect_list("e").alias("edges"))
+        F.min("x0").alias("x0"), F.max("x1").alias("x1"), crossed.alias("own"), F.collect_list("e").alias("edges"),
+        F.count_if((F.col("e.a_out") != 0) & (F.col("e.b_out") != 0)).alias("through"))
     strip = Window.partitionBy("node", "strip").orderBy("k")
     right = F.coalesce(F.sum("own").over(strip.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
     nothing = F.lit(float("-inf")), F.lit(float("inf"))
@@ -81,24 +83,26 @@ def _cut(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("k") == 1, nothing[0]).otherwise(F.col("x0")).alias("x_from"),
         F.coalesce(F.lead("x0").over(strip), nothing[1]).alias("x_to"),
         ((F.col("base") + right) % 2).cast("int").alias("right"), ((F.col("base") + right + F.col("own")) % 2).cast("int").alias("left"),
-        # a cell as large as its node would be cut for ever
-        ((F.size("edges") > CELL_EDGES) & (F.size("edges") < F.col("n"))).alias("again"))
+        # edges that go through the whole strip stay together however thin it is cut
+        ((F.size("edges") > CELL_EDGES) & (F.size("edges") < F.col("n")) & (F.col("through") * 2 < F.size("edges"))).alias("again"))
     return nodes, cells
 
 
 def cover(rings: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """Levels of (nodes, cells) of rings (node, edges), written once; mostly one or two."""
+    """Levels of (nodes, cells) of rings (node, edges), a written table; mostly one or two. Levels are written too."""
     place = F.struct("e.ax", "e.ay", "e.bx", "e.by", F.lit(0).alias("a_out"), F.lit(0).alias("b_out"))
     edges = rings.select("node", F.explode("edges").alias("e")).select(
         "node", F.lit(0).alias("base"), place.alias("e"))
     levels = []
     while True:
-        edges = materialise(edges, "cover-edges")
         nodes, cells = _cut(edges)
         levels.append((materialise(nodes, "cover-nodes"), materialise(cells, "cover-cells")))
         heavy = levels[-1][1].where("again")
         if heavy.isEmpty():
             return levels
+        if len(levels) == LEVELS:
+            levels[-1] = levels[-1][0], levels[-1][1].withColumn("again", F.lit(False))
+            return levels
         edges = heavy.select(_part().alias("node"), F.col("right").alias("base"), F.explode("edges").alias("e"))
 
 
