@@ -28,6 +28,17 @@ def test_both_ways_agree(facts, how):
     assert "BroadcastHashJoin" in plan_of(sent)
 
 
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
+def test_many_figures_are_shuffled_once(facts, how):
+    """However small their files, figures beyond the limit are not sent whole."""
+    figures = facts.dropna(subset=["k"]).where("k <> 'g7'").groupBy("k").agg(F.avg("icv").alias("m"))
+    sent = join_groups(facts, figures, ["k"], how)
+    for hot_rows in (1, 1000, 100_000):
+        salted = join_groups(facts, figures, ["k"], how, broadcast_rows=1, salts=5, hot_rows=hot_rows)
+        assert sorted(map(repr, sent.collect())) == sorted(map(repr, salted.select(sent.columns).collect()))
+        assert "SortMergeJoin" in plan_of(salted)
+
+
 def test_facts_stay_where_they_are(spark, facts):
     """With small figures no fact is shuffled by its group, whatever Spark's own broadcast limit."""
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
