@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from registry.places import communes
 from registry.tables import query, rounded, table
@@ -20,6 +20,13 @@ def _target(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}-{name}"
 
 
+def _in_order(df: DataFrame, key: str, part_rows: int) -> DataFrame:
+    """The rows by their key, in parts of about so many rows; rows with one key as they lie in the table."""
+    parts = max(1, -(-df.count() // part_rows))
+    placed = df.withColumn("__at", F.monotonically_increasing_id())
+    return placed.repartitionByRange(parts, key, "__at").sortWithinPartitions(key, "__at").drop("__at")
+
+
 def _write_lines(lines, header: str, path: str) -> None:
     """Lines as they are, after a header."""
     lines.sparkSession.createDataFrame([(header,)], "value string").union(lines).coalesce(1).write.text(path)
@@ -49,10 +56,10 @@ def csv_quoted_text(spark, sf):
 
 @query("csv_record_numbers", """SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS fila FROM documents""")
 def csv_record_numbers(spark, sf):
-    """Records are counted, not lines, and in the order of the file."""
+    """Records are counted, not lines, and in the order of the files."""
     path = _target(spark, "numbered-documents")
-    files.write_csv(table(spark, sf, "documents").select("doc_id", "text").coalesce(1).sortWithinPartitions("doc_id"), path)
-    back = files.read_csv(spark, path, encoding="utf-8", row_numbers=True)
+    files.write_csv(_in_order(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", 10_000), path)
+    back = files.read_csv(spark, path, encoding="utf-8", row_numbers=True, over_files=True)
     return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(files.ROW_NUMBER).alias("fila"))
 
 
@@ -99,10 +106,10 @@ def csv_latin_encoding(spark, sf):
 
 @query("csv_line_numbers", """SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS fila FROM orders""")
 def csv_line_numbers(spark, sf):
-    """Numbers follow the order of the file, over all of its blocks."""
+    """Numbers follow the order of the files, over all of their blocks."""
     path = _target(spark, "numbered")
-    files.write_csv(table(spark, sf, "orders").select("o_orderkey").coalesce(1).sortWithinPartitions("o_orderkey"), path)
-    rows = files.read_csv(spark, path, encoding="utf-8", row_numbers=True)
+    files.write_csv(_in_order(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 1_000_000), path)
+    rows = files.read_csv(spark, path, encoding="utf-8", row_numbers=True, over_files=True)
     return rows.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.col(files.ROW_NUMBER).alias("fila"))
 
 

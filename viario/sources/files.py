@@ -66,11 +66,13 @@ def _spark_encoding(name: str) -> str:
 
 def read_csv(
     spark: SparkSession, path: str, *, encoding: str | None = None, separator: str = ",", row_numbers: bool = False,
+    over_files: bool = False,
 ) -> DataFrame:
     """All columns as text. Records with too many fields are left out (`read_csv_checked` names
     them), short ones are filled with nulls, and empty fields are null. A line break in quotes
-    is part of its field. `row_numbers` adds FILE and ROW_NUMBER, which counts records from 0."""
-    names, records = _records(spark, path, encoding, separator)
+    is part of its field. `row_numbers` adds FILE and ROW_NUMBER, which counts records from 0,
+    in each file or with `over_files` on from file to file, in the order of their names."""
+    names, records = _records(spark, path, encoding, separator, over_files)
     return _rows(records, names, row_numbers)
 
 
@@ -91,10 +93,12 @@ def read_csv_checked(
     return _rows(table, names, row_numbers), rejected, seen.get
 
 
-def _records(spark: SparkSession, path: str, encoding: str | None, separator: str) -> tuple[list[str], DataFrame]:
+def _records(
+    spark: SparkSession, path: str, encoding: str | None, separator: str, over_files: bool = False,
+) -> tuple[list[str], DataFrame]:
     charset = detect_encoding(spark, path) if encoding is None else _spark_encoding(encoding)
     names = csv_header(spark, path, charset, separator)
-    return names, read_records(spark, path, charset, separator, len(names))
+    return names, read_records(spark, path, charset, separator, len(names), over_files=over_files)
 
 
 def _rows(records: DataFrame, names: list[str], row_numbers: bool) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from viario.operators.small import join_groups
 from viario.storage import materialise
 
 # The code travels with the tasks, so that workers need no copy of the package.
@@ -200,7 +201,10 @@ def _read_whole(texts: DataFrame, separator: str, width: int) -> DataFrame:
     return texts.select("__block", "__index", "text").mapInArrow(run, _OUT)
 
 
-def _with_quotes(spark: SparkSession, path: str, charset: str, separator: str, width: int, broadcast_blocks: int) -> DataFrame:
+def _with_quotes(
+    spark: SparkSession, path: str, charset: str, separator: str, width: int, broadcast_blocks: int,
+) -> tuple[DataFrame, DataFrame]:
+    """The records, and the number of records of each file."""
     lines = _scan(spark, path, lineSep="\n").withColumn("value", F.col("value").cast("binary"))
     blocks = compose(_transitions(lines, charset, separator)).withColumn("__block", F.monotonically_increasing_id())
     blocks = materialise(blocks, "csv-blocks")
@@ -228,7 +232,8 @@ def _with_quotes(spark: SparkSession, path: str, charset: str, separator: str, w
     cut = pieces.where("endless").select("__file", "__record", "__start", F.left("text", F.lit(HEAD)).alias("text"))
     cut = cut.groupBy("__file", "__record").agg(F.min_by("text", "__start").alias("text")).select(
         "__file", "__record", F.lit(None).cast("array<string>").alias("fields"), F.lit(NOT_CLOSED).alias("reason"), "text")
-    return found.where(whole).select(columns).unionByName(stitched.select(columns)).unionByName(cut)
+    records = found.where(whole).select(columns).unionByName(stitched.select(columns)).unionByName(cut)
+    return records, blocks.groupBy("__file").agg(F.max("total").alias("n"))
 
 
 def _quote_free(lines: DataFrame, blocks: DataFrame, charset: str, separator: str, width: int, broadcast_blocks: int) -> DataFrame:
@@ -245,9 +250,10 @@ def _quote_free(lines: DataFrame, blocks: DataFrame, charset: str, separator: st
 
 
 def read_records(spark: SparkSession, path: str, charset: str, separator: str, width: int,
-                 broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
+                 broadcast_blocks: int = BROADCAST_BLOCKS, over_files: bool = False) -> DataFrame:
     """__file, __record, fields, reason, text: the records of each file, numbered from 0, the header.
 
+    With `over_files` the records after the header are numbered on from file to file, by name.
     Blank lines are no records. A record with more than `width` fields has no fields but a
     reason and its text, and so has a last record whose quote is never closed, with the start of
     its text. Files without any quote are read line by line in columns."""
@@ -255,5 +261,16 @@ def read_records(spark: SparkSession, path: str, charset: str, separator: str, w
     blocks = materialise(lines.groupBy(*_BLOCK).agg(
         F.count("*").alias("n"), F.min("__at").alias("first"), F.bool_or(F.contains("value", F.lit('"'))).alias("quoted")), "csv-lines")
     if blocks.where("quoted").isEmpty():
-        return _quote_free(lines, blocks, charset, separator, width, broadcast_blocks)
-    return _with_quotes(spark, path, charset, separator, width, broadcast_blocks)
+        records = _quote_free(lines, blocks, charset, separator, width, broadcast_blocks)
+        counts = blocks.groupBy("__file").agg(F.sum("n").alias("n"))
+    else:
+        records, counts = _with_quotes(spark, path, charset, separator, width, broadcast_blocks)
+    return _over_files(records, counts) if over_files else records
+
+
+def _over_files(records: DataFrame, counts: DataFrame) -> DataFrame:
+    """Add to the numbers the records of earlier files without their headers. There is one row per file to add up."""
+    earlier = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__file", F.coalesce(F.sum(F.greatest(F.col("n") - 1, F.lit(0))).over(earlier), F.lit(0)).alias("__earlier"))
+    number = F.when(F.col("__record") > 0, F.col("__record") + F.col("__earlier")).otherwise(F.col("__record"))
+    return join_groups(records, starts, ["__file"], "inner").withColumn("__record", number).drop("__earlier")
