@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from registry.places import communes
 from registry.tables import query, rounded, table
@@ -20,6 +20,9 @@ def _target(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}-{name}"
 
 
+PART_ROWS = 100_000  # features of one collection
+
+
 def _in_order(df: DataFrame, key: str, part_rows: int) -> DataFrame:
     """The rows by their key, in parts of about so many rows; rows with one key as they lie in the table."""
     parts = max(1, -(-df.count() // part_rows))
@@ -157,18 +160,20 @@ def geojson_features(spark, sf):
 @query("geojson_collection", """SELECT l_orderkey, l_linenumber, '} "features":[{ ' || l_returnflag || ' \\' AS modo,
   l_quantity::DOUBLE AS lon, l_orderkey * 0.5::DOUBLE AS lat FROM lineitem""")
 def geojson_collection(spark, sf):
-    """One collection in one file, with braces, quotes and backslashes in its texts."""
+    """Collections of many features, with braces, quotes and backslashes in their texts."""
     path = _target(spark, "lines.geojson")
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_quantity").cast("double").alias("lon"))
-    first = lines.agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("first"))
     text = F.to_json(F.struct(
         F.lit("Feature").alias("type"),
         F.struct("l_orderkey", "l_linenumber", F.concat(F.lit('} "features":[{ '), "l_returnflag", F.lit(" \\")).alias("modo")).alias("properties"),
         F.struct(F.lit("Point").alias("type"), F.array("lon", F.col("l_orderkey") * 0.5).alias("coordinates")).alias("geometry")))
-    comma = F.when(F.struct("l_orderkey", "l_linenumber") == first.scalar(), "").otherwise(",")
-    rows = lines.select("l_orderkey", "l_linenumber", F.concat(comma, text).alias("value")).coalesce(1).sortWithinPartitions("l_orderkey", "l_linenumber")
-    _write_lines(rows.select("value").union(spark.createDataFrame([("]}",)], "value string")),
-                 '{"type":"FeatureCollection","otros":[{"type":"Feature"}],"features":[', path)
+    parts = max(1, -(-lines.count() // PART_ROWS))
+    dealt = lines.withColumn("part", F.monotonically_increasing_id() % parts)
+    order = Window.partitionBy("part").orderBy("l_orderkey", "l_linenumber")
+    head = '{"type":"FeatureCollection","otros":[{"type":"Feature"}],"features":[\n'
+    first, last = F.lag(F.lit(1)).over(order).isNull(), F.lead(F.lit(1)).over(order).isNull()
+    value = F.concat(F.when(first, head).otherwise(","), text, F.when(last, "\n]}").otherwise(""))
+    dealt.select("part", value.alias("value")).write.partitionBy("part").text(path)
     place = F.from_json("geometry.coordinates", "array<double>")
     return files.read_features(spark, path).select(
         F.col("properties.l_orderkey").cast("bigint").alias("l_orderkey"), F.col("properties.l_linenumber").cast("bigint").alias("l_linenumber"),

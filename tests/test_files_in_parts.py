@@ -27,3 +27,16 @@ def test_numbers_go_on_over_files(spark, tmp_path):
         assert {r.v: r[files.ROW_NUMBER] for r in rows.collect()} == {"1": 0, "4": 2, "5": 3}
         rows = files.read_csv(spark, str(place), encoding="utf-8", row_numbers=True)
         assert {r.v: r[files.ROW_NUMBER] for r in rows.collect()} == {"1": 0, "4": 0, "5": 1}
+
+
+def test_collections_of_many_features(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "PART_ROWS", 60)
+    schema = "l_orderkey long, l_linenumber int, l_returnflag string, l_quantity double"
+    made = [(i % 150, i % 3, "ANR"[i % 3], float(i % 50)) for i in range(300)] * 2 + [(None, 1, "A", 1.0)]
+    for name, data in (("some", made), ("none", [])):
+        monkeypatch.setattr(queries, "_target", lambda spark, label, name=name: str(tmp_path / name / "out"))
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / name / "lineitem.parquet"))
+        found = queries.geojson_collection(spark, str(tmp_path / name)).collect()
+        want = [(k, n, '} "features":[{ ' + f + " \\", q, k * 0.5 if k is not None else None) for k, n, f, q in data]
+        assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, want))
+    assert len(list((tmp_path / "some" / "out").glob("part=*/*.txt"))) > 5

@@ -14,9 +14,11 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -59,16 +61,26 @@ class _Marks:
         return (int(self.quotes[-1]) if len(self.quotes) else 0) + inside & 1
 
 
+def _runs(columns: list[pa.Array]) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of rows with equal values."""
+    rows = len(columns[0])
+    changes = reduce(pc.or_, [pc.not_equal(c.slice(1), c.slice(0, rows - 1)) for c in columns])
+    ends = [*(np.flatnonzero(changes.to_numpy(zero_copy_only=False)) + 1).tolist(), rows]
+    return zip([0, *ends[:-1]], ends)
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bytes]]:
     """(what the columns after the text hold, some bytes of text) in the order of the rows."""
     key, held, size = None, [], 0
     for batch in batches:
-        others = zip(*[c.to_pylist() for c in batch.columns[1:]])
-        for value, own in zip(batch.column(0), others):
+        texts, *others = batch.columns
+        for a, b in _runs(others) if len(texts) else []:
+            own = tuple(c[a].as_py() for c in others)
             if held and (own != key or size >= CHUNK_BYTES):
                 yield key, b"".join(held)
                 held, size = [], 0
-            key, text = own, value.as_py()
+            run = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), texts.slice(a, b - a))
+            key, text = own, pc.binary_join(run, b"}")[0].as_py()
             held += [text, b"}"]
             size += len(text) + 1
     if held:
